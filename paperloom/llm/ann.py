@@ -3,7 +3,8 @@
 On a bounded sample the exact neighbour graph is built and cut into balanced parts; a small
 network is then trained to tell, from a vector alone, in which parts its neighbours lie.  All
 vectors are stored in the part the network finds most probable, queries go to the most probable
-few and are reranked there by exact cosine.  The number of parts follows the number of vectors,
+parts and are reranked there by exact cosine.  How many parts is learned too: a tenth of the sample
+is kept from training, and the fewest parts that cover ``recall`` of its neighbours are visited.  The number of parts follows the number of vectors,
 so that a part stays of about ``part_size`` vectors.  Equal vectors are one candidate that carries
 its smallest ids, which is exact because ties go to smaller ids.
 """
@@ -114,16 +115,28 @@ def part_count(vectors: int, part_size: int = 1000, most: int = 4096) -> int:
     return max(1, min(most, round(vectors / part_size)))
 
 
-def fit(distinct: DataFrame, parts: int, sample: int = 8000, graph_k: int = 10) -> Router | None:
-    """The router, fitted on at most ``sample`` distinct vectors: those of smallest hash."""
+def probes_needed(router: Router, stored, asked, recall: float, k: int = 5) -> int:
+    """The fewest parts to visit so that ``recall`` of the neighbours of ``asked`` among ``stored`` are met."""
+    part = router.scores(stored).argmax(1)
+    place = np.argsort(np.argsort(-router.scores(asked), axis=1, kind="stable"), axis=1)
+    near = np.argsort(-(asked @ stored.T), axis=1)[:, :k]
+    met = place[np.arange(len(asked))[:, None], part[near]]
+    shares = np.cumsum(np.bincount(met.ravel(), minlength=len(router.b2))) / met.size
+    return int(np.argmax(shares >= recall)) + 1
+
+
+def fit(distinct: DataFrame, parts: int, sample: int = 8000, recall: float = 0.96, graph_k: int = 10) -> tuple[Router, int] | None:
+    """(router, parts to visit), from at most ``sample`` distinct vectors: those of smallest hash."""
     rows = distinct.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(sample).select("vector").collect()
-    if parts == 1 or len(rows) <= 2 * graph_k:
+    if parts == 1 or len(rows) <= 20 * graph_k:
         return None
     x = np.array([r[0] for r in rows], np.float32)
     x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-    parts = min(parts, len(rows) // 4)
+    asked, x = x[: len(x) // 10], x[len(x) // 10 :]
+    parts = min(parts, len(x) // 8)
     graph = neighbour_graph(x, graph_k)
-    return train_router(x, graph, balanced_parts(x, graph, parts), parts)
+    router = train_router(x, graph, balanced_parts(x, graph, parts), parts)
+    return router, probes_needed(router, x, asked, recall)
 
 
 def exact_cosines(query, candidates):
@@ -141,10 +154,10 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).where(~bad & some).select(F.col(id_col).alias("vec_id"), v.alias("vector"))
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.5, part_size: int = 1000, sample: int = 8000, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.96, part_size: int = 1000, sample: int = 8000, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row whose id ``every`` divides.
 
-    Queries visit ``probes`` of the parts (two at least), most probable first.  Vectors of unequal
+    Queries visit the most probable parts, as many as promise ``recall``.  Vectors of unequal
     length never meet.  Candidates of a part are searched in blocks of at most ``block`` vectors,
     each with the queries that visit the part.  A score is recomputed from the original vectors.
     Repeated ids are candidates like others, but for the query's own id.
@@ -157,7 +170,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.5,
     by_dims = {r["dims"]: r["count"] for r in distinct.groupBy("dims").count().collect()}
     found = None
     for dims, count in sorted(by_dims.items()):
-        one = _search(distinct.where(F.col("dims") == dims), good.where(F.size("vector") == dims), count, every, k, probes, part_size, sample, block)
+        one = _search(distinct.where(F.col("dims") == dims), good.where(F.size("vector") == dims), count, every, k, recall, part_size, sample, block)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -166,11 +179,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.5,
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(distinct, good, count, every, k, probes, part_size, sample, block):
+def _search(distinct, good, count, every, k, recall, part_size, sample, block):
     parts = part_count(count, part_size)
-    router = distinct.sparkSession.sparkContext.broadcast(fit(distinct, parts, sample))
-    width = len(router.value.b2) if router.value else 1
-    visit = min(width, max(2, round(probes * width)))
+    router, visit = fit(distinct, parts, sample, recall) or (None, 1)
+    router = distinct.sparkSession.sparkContext.broadcast(router)
 
     def route(batches, most):
         import pyarrow as pa

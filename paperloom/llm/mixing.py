@@ -96,10 +96,11 @@ def class_copies(classes: DataFrame, state: DataFrame, most: int = MOST) -> Data
     down = Window.partitionBy("source").orderBy(F.desc("size"))
     upto, before = (F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, x)) for x in (0, -1))
     whole = F.greatest(F.lit(0).cast("long"), F.least(F.floor(upto + 0.5) - F.floor(F.coalesce(before, F.lit(0.0)) + 0.5), F.col("n") * most))
-    counted = rated.select("source", "size", "n", "rate", "target", whole.alias("copies"))
+    least = F.min(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy("source"))
+    counted = rated.select("source", "size", "n", "rate", "target", least.alias("least"), whole.alias("copies"))
     # What is missing (or over) is spent class by class, largest size first, on whole copies.
     rows = F.array_sort(
-        F.collect_list(F.when(F.col("size") > 0, F.struct("size", "n", "copies"))),
+        F.collect_list(F.when(F.col("size") > 0, F.struct("size", "n", "copies", "least"))),
         lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).otherwise(0),
     )
     per = counted.groupBy("source").agg(rows.alias("rows"), F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("now"))
@@ -110,7 +111,10 @@ def class_copies(classes: DataFrame, state: DataFrame, most: int = MOST) -> Data
 
     def spend(acc, row):
         rest, size = acc["rest"], row["size"]
-        units = F.when(rest > 0, F.least(F.floor(rest / size), most * row["n"] - row["copies"])).otherwise(-F.least(F.floor(-rest / size), row["copies"])).cast("long")
+        # The smallest documents, which come last, round to the nearer side.
+        near = F.when(size == row["least"], F.lit(0.5)).otherwise(F.lit(0.0))
+        add, cut = F.floor(rest / size + near), F.floor(-rest / size + near)
+        units = F.when(rest > 0, F.least(add, most * row["n"] - row["copies"])).otherwise(-F.least(cut, row["copies"])).cast("long")
         moves = F.when(units != 0, F.concat(acc["moves"], F.array(F.struct(size.alias("size"), units.alias("more"))))).otherwise(acc["moves"])
         return F.struct((rest - units * size).alias("rest"), moves.alias("moves"))
 
