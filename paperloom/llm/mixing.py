@@ -56,7 +56,7 @@ def _rate(multiplier, most: int = MOST):
     return most / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), multiplier * z))))
 
 
-def balance(classes: DataFrame, goal: DataFrame, rounds: int = 60, tolerance: float = 1e-9, most: int = MOST) -> DataFrame:
+def balance(classes: DataFrame, goal: DataFrame, rounds: int = 60, tolerance: float = 1e-6, most: int = MOST) -> DataFrame:
     """(source, multiplier): Newton's iterations on every source's dual at once.
 
     The state is a table with a row per source; only the number of sources still moving reaches
