@@ -1,5 +1,597 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL.
 
+The driver's tables hold no manuscripts, so inputs are made from their columns by an INPUT in SQL
+that both engines run; what is under test is the operator applied to it, against SQL of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from paperloom.functions import text as T
+from paperloom.functions.titlecase import is_title_case
+from paperloom.operators import captions, citations, geometry, latex, matching, queue, routing, scoring, styles
+from paperloom.plans import upload
+
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "bibitem_issues"
+
+
+#: Line numbers repeat within the driver's orders; here they count an order's lines.
+LINEITEM = """(SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_shipdate,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) AS INT) AS l_linenumber FROM {lineitem})"""
+
+
+def _input(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    return spark.sql(sql, **used)
+
+
+def _query(*inputs: str, sql: str | None = None):
+    """Register a function of the inputs' DataFrames; ``sql`` may use {0}, {1}... for the inputs."""
+
+    inputs = tuple(i.replace("{lineitem}", LINEITEM) for i in inputs)
+
+    def keep(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(_input(spark, sf_dir, i) for i in inputs))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            shown = sql
+            for n, i in enumerate(inputs):
+                shown = shown.replace(f"{{{n}}}", f"({i})")
+            for t in TABLES:
+                shown = shown.replace(f"{{{t}}}", t)
+            ORACLE_SQL[f.__name__] = shown
+        return f
+
+    return keep
+
+
+# --- queue and catalogue
+
+QUEUE = """SELECT o_orderkey AS id, o_custkey AS event_id, o_orderkey % 97 AS contribution_id, o_orderdate AS requested,
+    CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS scan_start, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderdate END AS scanned FROM {orders}"""
+CONFERENCE = "SELECT c_custkey AS id, c_name AS code, c_nationkey % 2 AS is_published FROM {customer}"
+RECENT = "SELECT user_id % 5 AS event_id, event_id % 211 AS contribution_id, ts AS requested FROM {events}"
+REFERENCE = "SELECT o_orderkey AS id, concat('P', CAST(o_orderkey % 500 AS STRING)) AS paper_id, concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING)) AS title FROM {orders}"
+AUTHOR_REFERENCE = "SELECT l_orderkey AS reference_id, l_partkey AS author_id FROM {lineitem} WHERE l_linenumber <= 2 AND l_orderkey % 3 > 0"
+AUTHOR = "SELECT p_partkey AS id, CASE WHEN p_size % 10 > 0 THEN p_name END AS name FROM {part}"
+NOW = "2024-01-30 00:00:00"
+
+
+@_query(QUEUE, sql="SELECT * FROM {0} WHERE scanned IS NULL AND scan_start IS NULL ORDER BY requested, id LIMIT 1")
+def queue_head(items):
+    return queue.head(items)
+
+
+@_query(CONFERENCE, sql="SELECT id, code FROM {0} WHERE is_published = 0 ORDER BY id DESC")
+def unpublished_listing(conferences):
+    return queue.unpublished(conferences)
+
+
+@_query(RECENT, sql=f"SELECT DISTINCT contribution_id FROM {{0}} WHERE event_id = 3 AND requested >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS")
+def recent_distinct_24h(items):
+    return queue.recently_queued(items, 3, NOW)
+
+
+@_query(RECENT, sql="SELECT contribution_id FROM {0} WHERE event_id = 2")
+def cached_contributions(items):
+    return queue.cached_contributions(items, 2)
+
+
+@_query(
+    REFERENCE, AUTHOR_REFERENCE, AUTHOR,
+    sql="""SELECT paper_id, max_by(title, r.id) AS title, coalesce(string_agg(name, '|' ORDER BY r.id, a.id, name) FILTER (name IS NOT NULL), '') AS authors
+        FROM {0} r LEFT JOIN {1} b ON r.id = b.reference_id LEFT JOIN {2} a ON b.author_id = a.id GROUP BY paper_id""",
+)
+def reference_author_lookup(reference, bridge, author):
+    return matching.bibliography(reference, bridge, author).withColumn("authors", F.array_join("authors", "|"))
+
+
+LOG = """SELECT l_orderkey AS id, l_shipdate AS at, CASE WHEN l_returnflag = 'R' THEN 'done' ELSE 'claimed' END AS state, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS failure_reason
+    FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 4 > 0"""
+
+
+@_query(
+    "SELECT o_orderkey AS id FROM {orders}", LOG,
+    sql="""SELECT i.id, CASE WHEN state = 'done' THEN 'done' WHEN state = 'claimed' AND l."at" >= TIMESTAMP '1996-01-01 00:00:00' - INTERVAL 60 MINUTES THEN 'claimed' ELSE 'waiting' END AS status, failure_reason
+        FROM {0} i LEFT JOIN {1} l ON i.id = l.id""",
+)
+def queue_status(items, log):
+    return queue.latest_state(items, log, "1996-01-01 00:00:00")
+
+
+@_query("SELECT event_id AS id, ts AS modificationTime, event_type FROM {events}", sql=f"SELECT count(*) AS deleted FROM {{0}} WHERE modificationTime < TIMESTAMP '{NOW}' - INTERVAL 5 MINUTES")
+def expiry_sweep(objects):
+    return queue.expired(objects, NOW).agg(F.count("*").alias("deleted"))
+
+
+@_query("SELECT p_partkey AS id, p_name AS report FROM {part}", sql="SELECT id, sha1(report) || '.json' AS key, 'This paper has been checked. See the [report](https://x/' || sha1(report) || ').' AS body FROM {0}")
+def content_hash(reports):
+    key = queue.content_key(F.col("report"))
+    return reports.select("id", key.alias("key"), queue.word_comment(key, "https://x/").alias("body"))
+
+
+@_query(
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'No issues found' ELSE o_orderpriority END AS body FROM {orders}",
+    sql="SELECT id, CASE WHEN body <> 'No issues found' THEN concat('The references have been checked:', chr(10), chr(10), body, chr(10), chr(10), '[How references are checked](https://x)') END AS comment FROM {0}",
+)
+def latex_comment(bodies):
+    return bodies.select("id", queue.latex_comment(F.col("body"), "https://x").alias("comment"))
+
+
+# --- routing
+
+NOTICES = """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'create' WHEN 'view' THEN 'update' WHEN 'purchase' THEN NULL ELSE 'delete' END AS action,
+    CASE WHEN event_id % 11 > 0 THEN user_id END AS contrib_id, CASE WHEN event_id % 7 = 0 THEN 'slides' WHEN event_id % 13 > 0 THEN 'paper' END AS editable_type,
+    CASE WHEN event_id % 17 > 0 THEN concat('indico-', event_type, '-', CAST(user_id AS STRING)) END AS event, CASE WHEN event_id % 2 = 0 THEN event_id END AS revision_id FROM {events}"""
+
+
+@_query(
+    NOTICES,
+    sql="""SELECT id, reason, reason IS NULL OR reason LIKE '%not handled' AS logged, reason IS NULL AS queued, CASE WHEN event IS NOT NULL THEN split_part(event, '-', -1) END AS event_id, coalesce(revision_id, -1) AS revision_id
+        FROM (SELECT *, CASE WHEN event IS NULL THEN 'event missing' WHEN contrib_id IS NULL THEN 'contrib_id missing' WHEN action IS NULL THEN 'action missing' WHEN editable_type IS NULL THEN 'editable_type missing'
+            WHEN action NOT IN ('create', 'update') THEN 'action not handled' WHEN editable_type <> 'paper' THEN 'editable_type not handled' END AS reason FROM {0})""",
+)
+def notify_validation(notices):
+    return routing.validate(notices).select("id", "reason", "logged", "queued", "event_id", "revision_id")
+
+
+FILES = """SELECT l_orderkey AS contribution_id, l_suppkey % 9 - 1 AS rev, l_linenumber AS n, CASE l_returnflag WHEN 'A' THEN 'a.docx' WHEN 'N' THEN 'b.tex' ELSE 'c.bib' END AS filename,
+    CASE l_partkey % 5 WHEN 0 THEN 180 WHEN 1 THEN 31 WHEN 2 THEN 182 WHEN 3 THEN 354 ELSE 99 END AS file_type, l_partkey % 50 AS commenter FROM {lineitem}"""
+
+
+def _contributions(files: DataFrame) -> DataFrame:
+    file = F.struct("filename", F.col("file_type").cast("int").alias("file_type"))
+    by_rev = files.groupBy("contribution_id", "rev").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", file.alias("f")))), lambda x: x["f"]).alias("files"),
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "commenter"))), lambda x: F.struct(F.struct(x["commenter"].alias("id")).alias("user"))).alias("comments"),
+    )
+    return by_rev.groupBy("contribution_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rev").alias("id"), "files", "comments"))).alias("revisions")).withColumn("event_id", F.lit(1))
+
+
+REVISION_SQL = """SELECT contribution_id, max(rev) FILTER (rev > -1) AS latest, CASE WHEN max(CASE WHEN rev = 2 THEN 1 END) = 1 THEN 2 END AS second FROM {0} GROUP BY contribution_id"""
+
+
+@_query(FILES, sql=REVISION_SQL)
+def latest_revision(files):
+    c = _contributions(files)
+    return c.select("contribution_id", routing.pick_revision(F.col("revisions"), F.lit(-1))["id"].alias("latest"), routing.pick_revision(F.col("revisions"), F.lit(2))["id"].alias("second"))
+
+
+_HAS = "max(CASE WHEN filename LIKE '%{}' {} THEN 1 ELSE 0 END) = 1"
+TYPE_SQL = f"""SELECT contribution_id, rev,
+    CASE WHEN {_HAS.format('.docx', '')} THEN 'word' WHEN {_HAS.format('.tex', 'AND file_type IN (180, 31, 352)')} THEN CASE WHEN {_HAS.format('.bib', '')} THEN 'bibtex' ELSE 'latex' END ELSE 'unknown' END AS finder,
+    CASE WHEN {_HAS.format('.docx', 'AND file_type IN (180, 31, 352)')} THEN 'word' WHEN {_HAS.format('.tex', 'AND file_type IN (180, 31, 352)')} THEN CASE WHEN {_HAS.format('.bib', 'AND file_type IN (182, 354)')} THEN 'bibtex' ELSE 'latex' END ELSE 'unknown' END AS worker,
+    max(CASE WHEN commenter = 7 THEN 1 ELSE 0 END) = 1 AS commented FROM {{0}} GROUP BY contribution_id, rev"""
+
+
+@_query(FILES, sql=TYPE_SQL)
+def paper_type_routing(files):
+    each = _contributions(files).select("contribution_id", F.explode("revisions").alias("r"))
+    kinds = [routing.paper_type(F.col("r.files"), m).alias(m) for m in ("finder", "worker")]
+    return each.select("contribution_id", F.col("r.id").alias("rev"), *kinds, routing.commented_by(F.col("r.comments"), 7).alias("commented"))
+
+
+DISCOVER_SQL = f"""WITH typed AS ({TYPE_SQL}), top AS (SELECT contribution_id, max(rev) FILTER (rev > -1) AS revision_id FROM {{0}} GROUP BY contribution_id)
+    SELECT top.contribution_id, revision_id, coalesce(finder, 'unknown') AS type, coalesce(commented, false) AS commented,
+        CASE WHEN revision_id IS NULL THEN 'none' WHEN coalesce(finder, 'unknown') NOT IN ('latex', 'word') THEN 'cache' WHEN commented THEN 'none' ELSE 'queue' END AS route
+    FROM top LEFT JOIN typed ON top.contribution_id = typed.contribution_id AND revision_id = rev
+    WHERE top.contribution_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND top.contribution_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '2%')"""
+
+
+@_query(FILES, "SELECT 1 AS event_id, o_orderkey AS contribution_id FROM {orders} WHERE o_orderstatus = 'F'", "SELECT 1 AS event_id, o_orderkey AS contribution_id FROM {orders} WHERE o_orderpriority LIKE '2%'", sql=DISCOVER_SQL)
+def discover_anti_join(files, queued, cached):
+    return routing.discover(_contributions(files), queued, cached, 7).drop("event_id")
+
+
+@_query(
+    "SELECT l_orderkey AS id, l_linenumber AS n, CASE l_returnflag WHEN 'A' THEN 'word' WHEN 'N' THEN 'latex' ELSE 'unknown' END AS kind, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 4 = 1 END AS editor FROM {lineitem}",
+    sql="SELECT id, n, CASE WHEN coalesce(editor, false) THEN 'editor revision' WHEN kind IN ('word', 'latex') THEN kind ELSE 'Unknown file type' END AS target FROM {0}",
+)
+def dispatch_target(items):
+    return items.select("id", "n", routing.dispatch(F.col("kind"), F.col("editor")).alias("target"))
+
+
+# --- titles and authors
+
+_INITIAL = "upper(substr(p_name, 1 + {} % 5, 1))"
+OURS = f"""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS pos, CASE WHEN l_partkey % 7 = 0 THEN concat('X. ', p_brand) WHEN l_partkey % 3 = 0 THEN concat({_INITIAL.format('p_partkey')}, '. Ä', p_name, '*')
+    ELSE concat({_INITIAL.format('p_partkey')}, '.', upper(substr(p_name, 2, 1)), '. ', p_name) END AS name FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey"""
+THEIRS = f"""SELECT l_orderkey AS doc_id, CAST(10 - l_linenumber AS BIGINT) AS pos, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 3 = 0 THEN concat({_INITIAL.format('p_partkey')}, '. AE', p_name)
+    WHEN l_partkey % 5 = 0 THEN concat({_INITIAL.format('p_partkey')}, '. ', p_name) ELSE concat({_INITIAL.format('p_partkey')}, '. ', upper(substr(p_name, 2, 1)), '. ', p_name) END AS name FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey"""
+_VALUE = "trim(translate(replace(replace(name, '.', '. '), '  ', ' '), '-*†', ''))"
+_SURNAME = "CASE WHEN strpos(reverse(value), '.') > 0 THEN right(value, greatest(strpos(reverse(value), '.') - 2, 0)) ELSE substr(value, 2) END"
+_LOOSE = f"replace(replace(left(value, 2) || ' ' || ({_SURNAME}), 'Ä', 'AE'), 'ä', 'ae')"
+AUTHOR_SQL = f"""
+    WITH d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY pos) AS k, {_LOOSE} AS loose FROM (SELECT doc_id, pos, name, {_VALUE} AS value FROM {{0}} WHERE name IS NOT NULL)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY pos) AS k, {_LOOSE} AS loose FROM (SELECT doc_id, pos, name, {_VALUE} AS value FROM {{1}} WHERE name IS NOT NULL)),
+    e AS (SELECT d.doc_id, d.name AS document, c.name AS catalogue, 'ok' AS verdict, 1 AS step, c.pos AS pos FROM d JOIN c ON d.doc_id = c.doc_id AND d.value = c.value AND d.k = c.k),
+    l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, loose ORDER BY pos) AS j FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE d.doc_id = c.doc_id AND d.value = c.value AND d.k = c.k)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, loose ORDER BY pos) AS j FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = c.doc_id AND d.value = c.value AND d.k = c.k)),
+    f AS (SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, coalesce(l.name, '') AS document, coalesce(r.name, '') AS catalogue,
+            CASE WHEN l.name IS NOT NULL AND r.name IS NOT NULL THEN 'unknown' ELSE 'fail' END AS verdict,
+            CASE WHEN l.name IS NOT NULL AND r.name IS NOT NULL THEN 2 WHEN r.name IS NOT NULL THEN 3 ELSE 4 END AS step, coalesce(r.pos, l.pos) AS pos
+          FROM l FULL JOIN r ON l.doc_id = r.doc_id AND l.loose = r.loose AND l.j = r.j)
+    SELECT doc_id, document, catalogue, verdict, row_number() OVER (PARTITION BY doc_id ORDER BY step, pos) AS ord FROM (SELECT * FROM e UNION ALL SELECT * FROM f)"""
+
+
+@_query(OURS, THEIRS, sql=AUTHOR_SQL)
+def author_match(ours, theirs):
+    return matching.match_authors(ours, theirs)
+
+
+_LONG = {k: v for k, v in T.LONGER.items()}
+_TRANSLIT = f"translate(text, '{T.SINGLE[0] + T.DROPPED}', '{T.SINGLE[1]}')"
+for _k, _v in _LONG.items():
+    _TRANSLIT = f"replace({_TRANSLIT}, '{_k}', '{_v}')"
+DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM {documents}"
+
+
+@_query(DOCS, sql=f"SELECT doc_id, sha1({_TRANSLIT}) AS plain FROM {{0}}")
+def transliteration(docs):
+    return docs.select("doc_id", F.sha1(T.transliterate(F.col("text"))).alias("plain"))
+
+
+@_query(DOCS, sql=r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '\p{Lu}')) / nullif(len(regexp_extract_all(text, '\p{L}')), 0) > 0.7, false) AS case_ok FROM {0}")
+def title_case_ratio(docs):
+    return docs.select("doc_id", T.upper_ratio_ok(F.col("text")).alias("case_ok"))
+
+
+TITLES = "SELECT p_partkey AS id, concat('**', upper(p_name), ' of ', p_type, '*') AS ours, CASE WHEN p_size % 2 = 0 THEN concat(p_name, '  OF ', p_type) ELSE p_name END AS theirs FROM {part}"
+
+
+@_query(TITLES, sql=r"SELECT id, CASE WHEN translate(trim(upper(ours), '*'), chr(10) || chr(9) || ' ', '') = translate(regexp_replace(upper(theirs), ' +', ' ', 'g'), chr(10) || chr(9) || ' ', '') THEN 'ok' ELSE 'fail' END AS verdict FROM {0}")
+def title_match(titles):
+    return titles.select("id", matching.title_verdict(F.col("ours"), F.col("theirs")).alias("verdict"))
+
+
+AUTHOR_TEXT = """SELECT o_orderkey AS id, concat('A. Bee', CAST(o_orderkey % 9 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN ' and ' ELSE ', ' END, 'J.-L. Vay', chr(10), 'G. D''Alessandro, M.J. de Loos, Ph. Richerot', ', ', o_orderpriority, ', C. Ü', chr(160), 'Élan') AS text FROM {orders}"""
+
+
+@_query(
+    AUTHOR_TEXT,
+    sql=r"""SELECT id, coalesce(string_agg(x, '|' ORDER BY n), '') AS names FROM (
+        SELECT id, unnest(string_split(replace(replace(replace(text, chr(10), ' , '), chr(160), ' '), ' and ', ', '), ', ')) AS x, generate_subscripts(string_split(replace(replace(replace(text, chr(10), ' , '), chr(160), ' '), ' and ', ', '), ', '), 1) AS n FROM {0})
+        WHERE regexp_matches(x, '^(-?[\pL\pN_]\. ?)+([\pL\pN_]{2,} ?)+') GROUP BY id""",
+)
+def author_tokens(rows):
+    return rows.select("id", F.array_join(T.author_names(F.col("text")), "|").alias("names"))
+
+
+FILENAMES = "SELECT p_partkey AS id, concat(p_brand, CASE p_size % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.v2.DOCX' WHEN 2 THEN '' ELSE '.pdf' END) AS filename FROM {part}"
+
+
+@_query(FILENAMES, sql=r"SELECT id, contains(filename, '.') AND lower(split_part(filename, '.', -1)) = 'docx' AS allowed, upper(regexp_replace(filename, '\.[^.]*$', '')) AS code FROM {0}")
+def file_guard(rows):
+    return rows.select("id", T.extension_ok(F.col("filename")).alias("allowed"), T.paper_code(F.col("filename")).alias("code"))
+
+
+# --- citations
+
+GROUPS = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS n, CASE l_partkey % 6 WHEN 0 THEN CAST(l_linenumber AS STRING) WHEN 1 THEN concat(CAST(l_linenumber AS STRING), '-', CAST(l_linenumber + 2 AS STRING))
+    WHEN 2 THEN concat(CAST(l_linenumber + 1 AS STRING), ', ', CAST(l_linenumber AS STRING)) WHEN 3 THEN ' ' WHEN 4 THEN concat(CAST(l_linenumber AS STRING), ',,', CAST(l_linenumber + 1 AS STRING), '-', CAST(l_linenumber + 1 AS STRING)) ELSE '1 2' END AS g FROM {lineitem}"""
+EXPAND_SQL = r"""SELECT doc_id, n, CASE WHEN bool_and(ok) AND (contains(any_value(g), ',') OR trim(any_value(g)) <> '') THEN coalesce(string_agg(ids, ',' ORDER BY i), '') END AS ids FROM (
+    SELECT doc_id, n, g, i, regexp_matches(p, '^\s*\d+\s*(-\s*\d+\s*)?$') AS ok,
+        array_to_string(CASE WHEN regexp_matches(p, '^\s*\d+\s*(-\s*\d+\s*)?$') THEN range(trim(split_part(p, '-', 1))::BIGINT, trim(split_part(p, '-', -1))::BIGINT + 1) END, ',') AS ids
+    FROM (SELECT doc_id, n, g, unnest(string_split(g, ',')) AS p, generate_subscripts(string_split(g, ','), 1) AS i FROM {0}) WHERE trim(p) <> '' OR NOT contains(g, ','))
+    GROUP BY doc_id, n"""
+
+
+@_query(GROUPS, sql=EXPAND_SQL)
+def citation_expand(groups):
+    return groups.select("doc_id", "n", F.array_join(citations.expand_group(F.col("g")), ",").alias("ids"))
+
+
+def _cited(groups: DataFrame) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("n", "ids"))))
+    return groups.withColumn("ids", citations.expand_group(F.col("g"))).groupBy("doc_id").agg(F.transform(rows, lambda r: r["ids"]).alias("groups"))
+
+
+@_query(GROUPS)
+def citation_order(groups):
+    return _cited(groups).select("doc_id", F.array_join(F.array_sort(citations.out_of_order(F.col("groups"))), ",").alias("out_of_order"))
+
+
+ITEMS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 AS BIGINT) AS para_no, CAST(CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE l_linenumber END AS INT) AS id FROM {lineitem}"
+PLAIN_GROUPS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS n, CAST(l_linenumber AS STRING) AS g FROM {lineitem} WHERE l_returnflag <> 'A'"
+
+
+@_query(
+    ITEMS, PLAIN_GROUPS,
+    sql="""SELECT i.doc_id, para_no, id, place, unique_ok, place = id AND NOT (place IN (SELECT n FROM {1} g WHERE g.doc_id = i.doc_id) AND place > coalesce(k, 0)) AS order_ok, place IN (SELECT n FROM {1} g WHERE g.doc_id = i.doc_id) AS used_ok,
+        count(*) OVER (PARTITION BY i.doc_id) AS total
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS place, row_number() OVER (PARTITION BY doc_id, id ORDER BY para_no) = 1 AS unique_ok FROM {0}) i
+        LEFT JOIN (SELECT doc_id, max(n) FILTER (n = r) AS k FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM {1}) GROUP BY doc_id) m ON m.doc_id = i.doc_id""",
+)
+def reference_items(items, groups):
+    return citations.check_items(items, _cited(groups))
+
+
+LISTED = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS para_no, CASE WHEN l_linenumber = 1 THEN 'Text' WHEN l_linenumber = 2 THEN concat('[1]', chr(9), 'A') WHEN l_partkey % 3 = 0 THEN concat(CAST(l_linenumber - 1 AS STRING), '. B')
+    ELSE concat(' [', CAST(l_linenumber - 1 AS STRING), '] C') END AS text FROM {lineitem}"""
+
+
+@_query(LISTED)
+def reference_list(paragraphs):
+    return citations.list_items(paragraphs)
+
+
+# --- captions
+
+FIGURES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS seq, CASE l_partkey % 6 WHEN 0 THEN concat('Figure ', CAST(l_linenumber AS STRING), ': A beam.') WHEN 1 THEN concat('Fig. ', CAST(l_linenumber AS STRING), ' shows it')
+    WHEN 2 THEN concat('See Fig. ', CAST(l_linenumber + 1 AS STRING), ' and Figure ', CAST(l_linenumber AS STRING), '.') WHEN 3 THEN concat('Figure', CAST(l_linenumber AS STRING), '. Bad') WHEN 4 THEN 'Figure 2: Twice' ELSE 'Nothing' END AS text FROM {lineitem}"""
+FIGURE_SQL = r"""
+    WITH p AS (SELECT doc_id, seq, trim(text) AS text FROM {0}),
+    c AS (SELECT doc_id, seq, text, regexp_extract(text, '^Figure \d+[.:]') AS name FROM p WHERE regexp_matches(text, '^Figure \d+[.:]')),
+    w AS (SELECT doc_id, seq, text, regexp_extract(text, '^Fig.\s?\d+|^Figure\s?\d+[.\s]+') AS name FROM p WHERE regexp_matches(text, '^Fig.\s?\d+|^Figure\s?\d+[.\s]+')),
+    h AS (SELECT doc_id, seq, text, trim(unnest(regexp_extract_all(text, 'Fig.\s?\d+|Figure\s?\d+[.\s-]+'))) AS name, generate_subscripts(regexp_extract_all(text, 'Fig.\s?\d+|Figure\s?\d+[.\s-]+'), 1) AS n FROM p),
+    r AS (SELECT * FROM h WHERE NOT (ends_with(name, '.') AND starts_with(text, name))),
+    ids AS (SELECT *, regexp_replace(name, '\D', '', 'g')::INT AS id FROM (SELECT 'c' AS kind, doc_id, seq, 0 AS n, name, text FROM c UNION ALL SELECT 'w', doc_id, seq, 0, name, text FROM w UNION ALL SELECT 'r', doc_id, seq, n, name, text FROM r)),
+    every AS (SELECT doc_id, unnest(range(1, max(id) + 1))::INT AS id FROM ids GROUP BY doc_id),
+    refs AS (SELECT doc_id, id, string_agg(name, '|' ORDER BY seq, n) AS refs FROM ids WHERE kind = 'r' GROUP BY doc_id, id),
+    counts AS (SELECT doc_id, id, count(*) FILTER (kind = 'c') AS nc, count(*) FILTER (kind = 'w') AS nw FROM ids GROUP BY doc_id, id),
+    shown AS (SELECT i.doc_id, i.id, name, text FROM ids i JOIN counts k ON i.doc_id = k.doc_id AND i.id = k.id WHERE kind = CASE WHEN nc > 0 THEN 'c' ELSE 'w' END)
+    SELECT e.doc_id, e.id, s.name, s.text, coalesce(refs, '') AS refs, refs IS NOT NULL AS used_ok,
+        coalesce(CASE WHEN nc > 0 THEN nc = 1 WHEN nw > 0 THEN nw = 1 END, false) AS unique_ok, coalesce(nc + nw > 0, false) AS found_ok, coalesce(nc = 1 AND ends_with(s.name, ':'), false) AS caption_ok
+    FROM every e LEFT JOIN counts k ON e.doc_id = k.doc_id AND e.id = k.id LEFT JOIN refs r ON e.doc_id = r.doc_id AND e.id = r.id LEFT JOIN shown s ON e.doc_id = s.doc_id AND e.id = s.id"""
+
+
+@_query(FIGURES, sql=FIGURE_SQL)
+def figure_correlation(paragraphs):
+    found = captions.correlate_figures(captions.figure_captions(paragraphs), captions.figure_captions(paragraphs, captions.FIGURE_WRONG), captions.figure_references(paragraphs))
+    return found.withColumn("refs", F.array_join("refs", "|"))
+
+
+TABLES_TEXT = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS table_no, CASE l_partkey % 5 WHEN 0 THEN concat('Table ', CAST(l_linenumber AS STRING), ': Beam Data') WHEN 1 THEN concat('Tables ', CAST(l_linenumber AS STRING), ' and 9 and Table', chr(160), '4')
+    WHEN 2 THEN 'Table 1: Beam data of the Ring.' WHEN 3 THEN concat('In Table ', CAST(l_linenumber AS STRING), '.') ELSE 'Table 2 Rates' END AS text FROM {lineitem}"""
+
+
+@_query(
+    TABLES_TEXT, "SELECT l_orderkey AS doc_id, CASE l_partkey % 5 WHEN 0 THEN concat('Table ', CAST(l_linenumber AS STRING), ': Beam Data') END AS text FROM {lineitem} WHERE l_partkey % 5 = 0",
+    sql=r"""SELECT doc_id, w::INT AS id FROM (SELECT doc_id, unnest(string_split(h, ' ')) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, chr(160), ' '), 'Table\s?\d+|Tables\s?\d+\sand\s\d+')) AS h FROM {0} p
+        WHERE NOT EXISTS (SELECT 1 FROM {1} t WHERE t.doc_id = p.doc_id AND t.text = p.text))) WHERE regexp_matches(w, '^\d+$')""",
+)
+def table_refs(paragraphs, titles):
+    return captions.table_references(paragraphs, titles)
+
+
+@_query(
+    TABLES_TEXT, "SELECT l_orderkey AS doc_id, CAST(l_suppkey % 7 AS INT) AS id FROM {lineitem}",
+    sql=r"""SELECT t.doc_id, t.id, t.text, coalesce(u, 0) AS uses, coalesce(u, 0) > 0 AS used_ok, regexp_extract(trim(text), '^Table \d+') = 'Table ' || t.id AS order_ok,
+        CASE WHEN NOT regexp_matches(trim(text), '^Table \d+:') THEN 'Does not use "Table N: " format|' ELSE '' END || CASE WHEN regexp_matches(trim(text), '\.$') THEN 'Has a . at the end of the sentence' ELSE '' END AS messages
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY table_no) AS id FROM {0}) t LEFT JOIN (SELECT doc_id, id, count(*) AS u FROM {1} GROUP BY doc_id, id) r ON t.doc_id = r.doc_id AND t.id = r.id""",
+)
+def table_order(titles, references):
+    m = captions.caption_messages(F.col("text"))
+    shown = F.concat(F.when(F.array_contains(m, captions.MESSAGES[0]), captions.MESSAGES[0] + "|").otherwise(""), F.when(F.array_contains(m, captions.MESSAGES[1]), captions.MESSAGES[1]).otherwise(""))
+    return captions.number_tables(titles, references).select("doc_id", "id", "text", "uses", "used_ok", "order_ok", shown.alias("messages"))
+
+
+@_query(TABLES_TEXT)
+def caption_format(titles):
+    return captions.caption_format(titles).withColumn("messages", F.array_join("messages", "|"))
+
+
+CAPTION_LENGTHS = "SELECT p_partkey AS id, repeat('x', CAST(p_size * 2 AS INT)) AS text, p_size % 3 > 0 AS good, p_size % 5 > 0 AS known FROM {part}"
+
+
+@_query(
+    CAPTION_LENGTHS,
+    sql="SELECT id, CASE WHEN length(text) > 55 THEN 'table_caption_lines' ELSE 'table_caption_line' END AS rule, CASE WHEN length(text) > 40 AND length(text) < 80 THEN 'unknown' WHEN NOT known THEN 'unknown' WHEN good THEN 'ok' ELSE 'fail' END AS verdict FROM {0}",
+)
+def caption_routing(rows):
+    return rows.select("id", captions.caption_rule(F.col("text"), "table").alias("rule"), captions.caption_style_verdict(F.col("text"), F.col("good"), F.col("known")).alias("verdict"))
+
+
+FLOATS = "SELECT l_orderkey AS id, l_linenumber AS n, l_returnflag = 'A' AS anchored, CASE WHEN l_suppkey % 3 > 0 THEN CAST(l_quantity AS INT) END AS y, CASE WHEN l_linestatus = 'F' THEN 'auto' ELSE 'dxa' END AS w FROM {lineitem}"
+
+
+@_query(FLOATS, sql="SELECT id, n, anchored AND coalesce(y > 11, true) AND w = 'auto' AS floating FROM {0}")
+def floating_tables(tables):
+    return tables.select("id", "n", captions.is_floating(F.col("anchored"), F.col("y"), F.col("w")).alias("floating"))
+
+
+# --- LaTeX
+
+_BS = "chr(92)"
+TEX = f"""SELECT l_orderkey, concat(max(concat('% made of ', o_orderpriority, chr(10))), {_BS}, 'begin{{document}}', chr(10),
+    array_join(sort_array(collect_list(concat({_BS}, 'bibitem{{k', CAST(l_linenumber AS STRING), '}}', ITEM))), ''), {_BS}, 'end{{thebibliography}}', chr(10), {_BS}, 'end{{document}}', chr(10)) AS content"""
+_BODY = f"""concat(CAST(l_linenumber AS STRING), ' 你 A. Author', CASE l_partkey % 4 WHEN 0 THEN ', et al.,' WHEN 1 THEN concat(', ', {_BS}, 'emph{{et al.}},') WHEN 2 THEN ' et al.' ELSE '' END, chr(10), '  in IPAC, ',
+    CASE l_suppkey % 6 WHEN 0 THEN 'doi:10.1234/AB-5678' WHEN 1 THEN concat({_BS}, 'url{{doi:10.18429/JACoW}}') WHEN 2 THEN 'doi: 10.5678/9012' WHEN 3 THEN concat({_BS}, 'url{{10.9012/34.}}') WHEN 4 THEN 'https://doi.org/10.1000/X1' ELSE 'none' END, CASE WHEN l_partkey % 13 = 0 THEN concat(chr(10), '% note', chr(10)) ELSE chr(10) END)"""
+LINES = f"SELECT l_orderkey AS id, CAST(l_linenumber AS INT) AS n, {_BODY.replace('{{', '{').replace('}}', '}')} AS body, concat('% made of ', o_orderpriority, chr(10)) AS head FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"
+LINES = LINES.replace("url{", "url' || chr(123) || '").replace("emph{et al.}", "emph' || chr(123) || 'et al.' || chr(125) || '").replace("JACoW}'", "JACoW' || chr(125)").replace("34.}'", "34.' || chr(125)")
+
+
+def _tex(lines: DataFrame) -> DataFrame:
+    item = F.concat(F.lit("\\bibitem{k"), F.col("n").cast("string"), F.lit("}"), F.col("body"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("t")))), lambda x: x["t"]), "")
+    return lines.groupBy("id").agg(F.concat(F.max("head"), F.lit("\\begin{document}\n"), items, F.lit("\\end{thebibliography}\n\\end{document}\n")).alias("content")).withColumnRenamed("id", "filename")
+
+
+_NOTE = "contains(body, '%')"
+PLACED_SQL = f"""placed AS (SELECT id, n, body, length(max(head) OVER (PARTITION BY id)) + 17
+        + coalesce(sum(length(body) + 11 + length(n::VARCHAR)) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 11 + length(n::VARCHAR) AS start FROM {{0}})"""
+ITEM_SQL = rf"""WITH {PLACED_SQL}
+    SELECT id AS filename, 'k' || n AS name, trim(regexp_replace(body, '\s+', ' ', 'g'), ' ' || chr(10) || chr(9)) AS ref, start::INT AS start, (start + length(body))::INT AS "end",
+        coalesce(list_extract(regexp_extract_all(trim(regexp_replace(body, '\s+', ' ', 'g'), ' ' || chr(10) || chr(9)), '10.\d{{4,9}}/[-._;()/:A-Z0-9]+'), -1), '') AS doi FROM placed WHERE NOT {_NOTE}"""
+
+
+@_query(LINES, sql=ITEM_SQL)
+def bibitem_extract(lines):
+    checked = latex.check_tex(_tex(lines))
+    return checked.select("filename", F.explode("items").alias("i")).select("filename", "i.name", "i.ref", "i.start", "i.end", "i.doi")
+
+
+def _issue_sql(kind: str, raises: str, excuses: str | None) -> str:
+    hit = f"regexp_extract(body, '{raises}')"
+    extra = f" AND NOT regexp_matches(body, '{excuses}')" if excuses else ""
+    return f"SELECT id AS filename, '{kind}' AS type, (start + strpos(body, {hit}) - 1)::INT AS start, (start + strpos(body, {hit}) - 1 + length({hit}))::INT AS \"end\" FROM placed WHERE NOT {_NOTE} AND regexp_matches(body, '{raises}'){extra}"
+
+
+ISSUE_SQL = f"WITH {PLACED_SQL} " + " UNION ALL ".join(_issue_sql(k, *v) for k, v in latex.ISSUES.items())
+
+
+@_query(LINES, sql=ISSUE_SQL)
+def bibitem_issues(lines):
+    checked = latex.check_tex(_tex(lines))
+    return checked.select("filename", F.explode("issues").alias("i")).select("filename", "i.type", "i.start", "i.end")
+
+
+DOIS = "SELECT p_partkey AS id, concat('First DOI: 10.1234/', CAST(p_size AS STRING), CASE WHEN p_size % 2 = 0 THEN concat(', last 10.9012/Q', CAST(p_partkey AS STRING), '.') ELSE ' 10.12/no' END) AS text FROM {part}"
+
+
+@_query(DOIS, sql=r"SELECT id, coalesce(list_extract(regexp_extract_all(text, '10.\d{4,9}/[-._;()/:A-Z0-9]+'), -1), '') AS doi, regexp_replace(coalesce(list_extract(regexp_extract_all(text, '10\.\d{4,9}/[-._;()/:A-Za-z0-9]+'), -1), ''), '[.;:]+$', '') AS clean FROM {0}")
+def last_doi(rows):
+    return rows.select("id", latex.last_doi(F.col("text")).alias("doi"), latex.last_doi(F.col("text"), compat=False).alias("clean"))
+
+
+# --- pages and styles
+
+PAGES = """SELECT p_partkey AS doc_id, 0 AS section_no, CAST(CASE p_size % 4 WHEN 0 THEN 7560000 WHEN 1 THEN 7772400 WHEN 2 THEN 7556500 ELSE 7000000 END AS BIGINT) AS page_w, CAST(CASE WHEN p_size % 3 = 0 THEN 10062000 ELSE 10692000 END AS BIGINT) AS page_h,
+    CAST(CASE WHEN p_size % 5 = 0 THEN 684000 WHEN p_size % 5 = 1 THEN 685800 ELSE 1332000 END AS BIGINT) AS top, CAST(684000 AS BIGINT) AS bottom, CAST(720000 AS BIGINT) AS left, CAST(CASE WHEN p_size % 7 = 0 THEN 932688 ELSE 720000 END AS BIGINT) AS right,
+    CAST(CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS INT) AS cols_num, CAST(CASE WHEN p_size % 2 = 0 THEN 289 ELSE 720 END AS INT) AS cols_space_twips FROM {part}"""
+PAGES = PAGES.replace(" AS left,", " AS `left`,").replace(" AS right,", " AS `right`,").replace("`left`", "l_margin").replace("`right`", "r_margin")
+_UNIT = "CASE WHEN page_size = 'Letter' THEN round_even({0} / 914400.0, 2) WHEN page_size IN ('A4', 'JACoW') THEN round_even({0} / 36000.0, 0) END"
+PAGE_SQL = f"""WITH c AS (SELECT *, CASE WHEN round_even(page_w / 10000.0, 0) = 756 THEN CASE WHEN round_even(page_h / 10000.0, 0) = 1006 THEN 'JACoW' ELSE 'A4' END WHEN round_even(page_w / 10000.0, 0) = 777 THEN 'Letter'
+        ELSE round_even(page_w / 36000.0, 0)::INT || ' x ' || round_even(page_h / 36000.0, 0)::INT || ' mm' END AS page_size FROM {{0}}),
+    m AS (SELECT *, {_UNIT.format('top')} AS t, {_UNIT.format('bottom')} AS b, {_UNIT.format('l_margin')} AS l, {_UNIT.format('r_margin')} AS r, round_even(cols_space_twips * 635 / 360000.0, 2) AS gutter_cm FROM c)
+    SELECT doc_id, page_size, t::DOUBLE AS top_margin, r::DOUBLE AS right_margin, gutter_cm::DOUBLE AS gutter_cm,
+        coalesce(CASE page_size WHEN 'A4' THEN t = 37 AND b = 19 AND l = 20 AND r = 20 WHEN 'JACoW' THEN t = 19 AND b = 19 AND l = 20 AND r = 20 WHEN 'Letter' THEN t = 0.75 AND b = 0.75 AND l = 0.79 AND r = 1.02 END, false) AS margins_ok,
+        coalesce(cols_num, 1) = 1 OR (cols_num = 2 AND gutter_cm = 0.51) AS columns_ok FROM m"""
+
+
+@_query(PAGES, sql=PAGE_SQL)
+def page_margins(sections):
+    checked = geometry.check_sections(sections.withColumnsRenamed({"l_margin": "left", "r_margin": "right"}))
+    return checked.select("doc_id", "page_size", "top_margin", "right_margin", "gutter_cm", "margins_ok", "columns_ok")
+
+
+STYLES = """SELECT CAST(r_regionkey AS BIGINT) AS doc_id, n_name AS name, r_name AS base_name, CASE WHEN n_nationkey % 2 = 0 THEN 'CENTER' END AS alignment, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 38100 END AS BIGINT) AS before_emu, CAST(NULL AS BIGINT) AS after_emu,
+    CAST(NULL AS BIGINT) AS first_line_emu, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 187325 END AS BIGINT) AS hanging_emu, CAST(NULL AS BIGINT) AS left_emu, CASE WHEN n_nationkey % 4 = 0 THEN true END AS bold, CAST(NULL AS BOOLEAN) AS italic, CAST(NULL AS BOOLEAN) AS all_caps,
+    CAST(CASE WHEN n_nationkey % 4 = 1 THEN 127000 END AS BIGINT) AS size_emu, CAST(NULL AS STRING) AS font_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+    UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name, CAST(NULL AS STRING), 'JUSTIFY', CAST(0 AS BIGINT), CAST(38100 AS BIGINT), CAST(118745 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN), CAST(114300 AS BIGINT), 'Times' FROM {region}"""
+PARAS = """SELECT CAST(n_regionkey AS BIGINT) AS doc_id, c_custkey AS para_no, n_name AS style_name, CASE WHEN c_custkey % 7 = 0 THEN 'LEFT' END AS alignment, CAST(NULL AS BIGINT) AS before_emu, CAST(CASE WHEN c_custkey % 5 = 0 THEN 152400 END AS BIGINT) AS after_emu,
+    CAST(CASE WHEN c_custkey % 6 = 0 THEN 0 END AS BIGINT) AS first_line_emu, CAST(NULL AS BIGINT) AS hanging_emu, CAST(NULL AS BIGINT) AS left_emu FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""
+RUNS = """SELECT CAST(n_regionkey AS BIGINT) AS doc_id, o_custkey AS para_no, CAST(o_orderkey AS INT) AS run_no, CASE WHEN o_orderkey % 9 = 0 THEN '  ' WHEN o_orderkey % 8 = 0 THEN 'doi:10' ELSE 'run' END AS text, CASE WHEN o_orderkey % 3 = 0 THEN true END AS bold,
+    CASE WHEN o_orderkey % 5 = 0 THEN false END AS italic, CAST(NULL AS BOOLEAN) AS all_caps, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 177800 END AS BIGINT) AS size_emu, CAST(NULL AS STRING) AS font_name
+    FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
+RESOLVE_SQL = """
+    WITH s AS (SELECT a.doc_id, a.name, coalesce(a.alignment, b.alignment) AS alignment, coalesce(a.before_emu, b.before_emu) AS be, coalesce(a.after_emu, b.after_emu) AS ae, coalesce(a.first_line_emu, b.first_line_emu) AS fe,
+            coalesce(a.hanging_emu, b.hanging_emu) AS he, coalesce(a.bold, b.bold) AS bold, coalesce(a.italic, b.italic) AS italic, coalesce(a.size_emu, b.size_emu) AS size, coalesce(a.font_name, b.font_name) AS font
+        FROM {1} a LEFT JOIN {1} b ON a.doc_id = b.doc_id AND a.base_name = b.name),
+    f AS (SELECT doc_id, para_no, max_by(bold, run_no) FILTER (bold IS NOT NULL) AS bold, max_by(italic, run_no) FILTER (italic IS NOT NULL) AS italic, max_by(size_emu, run_no) FILTER (size_emu IS NOT NULL) AS size
+        FROM {2} WHERE trim(text) <> '' AND NOT starts_with(text, 'doi:') GROUP BY doc_id, para_no),
+    r AS (SELECT p.doc_id, p.para_no, p.style_name, nullif(coalesce(p.alignment, s.alignment), 'LEFT') AS alignment, coalesce(p.before_emu, be) / 12700 AS before, coalesce(p.after_emu, ae) / 12700 AS after,
+            CASE WHEN coalesce(p.first_line_emu, fe, 0) <> 0 THEN coalesce(p.first_line_emu, fe) / 12700 WHEN coalesce(he, 0) <> 0 THEN -he / 12700 ELSE coalesce(p.first_line_emu, fe)::DOUBLE END AS first_line,
+            coalesce(f.bold, s.bold) AS bold, coalesce(f.italic, s.italic) AS italic, coalesce(coalesce(f.size, s.size) / 12700, 10.0) AS font_size, coalesce(s.font, 'Times new Roman') AS font_name
+        FROM {0} p LEFT JOIN s ON p.doc_id = s.doc_id AND p.style_name = s.name LEFT JOIN f ON p.doc_id = f.doc_id AND p.para_no = f.para_no)
+    """
+
+
+def _resolved(paragraphs, sheet, runs):
+    return styles.resolve(paragraphs, sheet, styles.run_fonts(runs, citations.URL_STARTS))
+
+
+@_query(PARAS, STYLES, RUNS, sql=RESOLVE_SQL + "SELECT doc_id, para_no, alignment, before, after, first_line, bold, italic, font_size, font_name FROM r")
+def style_resolution(paragraphs, sheet, runs):
+    return _resolved(paragraphs, sheet, runs).select("doc_id", "para_no", "alignment", "before", "after", "first_line", "bold", "italic", "font_size", "font_name")
+
+
+@_query(
+    PARAS, STYLES, RUNS,
+    sql=RESOLVE_SQL + """SELECT doc_id, para_no, CASE para_no % 3 WHEN 0 THEN 'body' WHEN 1 THEN 'authors' ELSE 'figure_caption_line' END AS rule,
+        coalesce(CASE para_no % 3 WHEN 0 THEN alignment = 'JUSTIFY' ELSE alignment = 'CENTER' END, false) AS alignment_ok,
+        coalesce(CASE para_no % 3 WHEN 0 THEN coalesce(after, 0) = 0 WHEN 1 THEN after = 12 ELSE after >= 3 END, false) AS after_ok,
+        CASE para_no % 3 WHEN 0 THEN NULL WHEN 1 THEN bold IS NULL OR NOT bold ELSE bold IS NULL END AS bold_ok,
+        CASE WHEN para_no % 3 = 0 THEN coalesce(first_line = 9.35, false) END AS first_line_ok FROM r""",
+)
+def style_rules(paragraphs, sheet, runs):
+    rule = F.when(F.col("para_no") % 3 == 0, "body").when(F.col("para_no") % 3 == 1, "authors").otherwise("figure_caption_line")
+    checked = styles.check_style(_resolved(paragraphs, sheet, runs).withColumn("rule", rule))
+    return checked.select("doc_id", "para_no", "rule", "alignment_ok", "after_ok", "bold_ok", "first_line_ok")
+
+
+EMBEDDED = "SELECT l_orderkey AS doc_id, CASE l_linenumber WHEN 1 THEN 'JACoW_Paper Title' WHEN 2 THEN 'JACoW_Author List' ELSE 'Normal' END AS name FROM {lineitem}"
+
+
+@_query(EMBEDDED, sql="SELECT d.doc_id, s.style, EXISTS (SELECT 1 FROM {0} e WHERE e.doc_id = d.doc_id AND e.name = s.style) AS style_ok FROM (SELECT DISTINCT doc_id FROM {0}) d, (VALUES " + ", ".join(f"('{s}')" for s in styles.REQUIRED_STYLES) + ") s(style)")
+def embedded_styles(sheet):
+    return styles.embedded_styles(sheet.select("doc_id").distinct(), sheet)
+
+
+INVENTORY = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS para_no, CASE WHEN l_returnflag = 'A' THEN 'cell' ELSE 'body' END AS scope, 1 AS table_no, CAST(l_linenumber AS INT) AS row_no, 2 AS col_no,
+    CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE 'text' END AS text, CASE l_suppkey % 4 WHEN 0 THEN 'JACoW_Paper Title' WHEN 1 THEN 'Caption' WHEN 2 THEN 'Normal' ELSE 'Odd Style' END AS style_name FROM {lineitem}"""
+
+
+@_query(INVENTORY, sql="SELECT doc_id, para_no, style_name, CASE WHEN scope = 'cell' THEN 'Table ' || table_no || ':<br/>row ' || row_no || ', col ' || col_no ELSE 'No' END AS in_table, CASE WHEN style_name IN ('Normal', 'Odd Style') THEN 'unknown' ELSE 'ok' END AS verdict FROM {0} WHERE trim(text) <> ''")
+def paragraph_inventory(paragraphs):
+    return styles.paragraph_inventory(paragraphs)
+
+
+@_query(INVENTORY, sql="SELECT doc_id, style_name, count(*) AS count FROM {0} WHERE trim(text) <> '' GROUP BY doc_id, style_name")
+def style_histogram(paragraphs):
+    return styles.style_histogram(paragraphs)
+
+
+@_query(INVENTORY, sql="SELECT doc_id, para_no FROM {0} WHERE trim(text) <> '' AND scope = 'body' AND style_name NOT IN ('JACoW_Paper Title', 'Caption', 'Normal')")
+def foreign_paragraphs(paragraphs):
+    return styles.foreign_paragraphs(paragraphs).select("doc_id", "para_no")
+
+
+RUN_TEXTS = "SELECT l_orderkey AS doc_id, 1 AS para_no, CAST(l_linenumber AS INT) AS run_no, concat(l_shipmode_, 'é') AS text, l_returnflag = 'A' AS all_caps, CASE WHEN l_linestatus = 'F' THEN l_partkey % 2 = 0 END AS superscript FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'air' ELSE 'rail' END AS l_shipmode_ FROM {lineitem})"
+
+
+@_query(
+    RUN_TEXTS,
+    sql="SELECT doc_id, para_no, string_agg(CASE WHEN all_caps THEN upper(text) ELSE text END, '' ORDER BY run_no) AS cased, coalesce(string_agg(text, '' ORDER BY run_no) FILTER (NOT coalesce(superscript, false)), '') AS plain FROM {0} GROUP BY doc_id, para_no",
+)
+def run_texts(runs):
+    cased = styles.cased_text(runs).withColumnRenamed("text", "cased")
+    return cased.join(styles.without_superscripts(runs).withColumnRenamed("text", "plain"), ["doc_id", "para_no"])
+
+
+SEGMENTS = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS para_no, 'body' AS scope, CASE WHEN l_linenumber = 4 THEN ' Abstract ' WHEN l_linenumber = 6 THEN 'REFERENCES' WHEN l_partkey % 6 = 0 THEN ' ' ELSE 'text' END AS text,
+    CASE WHEN l_linenumber <= 1 + l_orderkey % 3 THEN 'Title' ELSE 'Other' END AS style_name FROM {lineitem}"""
+SEGMENT_SQL = """WITH b AS (SELECT *, lower(trim(text)) AS t, trim(text) <> '' AS shown FROM {0}),
+    x AS (SELECT *, min(CASE WHEN t = 'abstract' THEN para_no END) OVER d AS a, min(CASE WHEN shown THEN para_no END) OVER d AS ti,
+        last_value(CASE WHEN shown THEN style_name END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b WINDOW d AS (PARTITION BY doc_id)),
+    y AS (SELECT *, min(CASE WHEN t = 'references' AND para_no > coalesce(a, -1) THEN para_no END) OVER d AS r, min(CASE WHEN shown AND para_no > ti AND style_name IS DISTINCT FROM prev THEN para_no END) OVER d AS au FROM x WINDOW d AS (PARTITION BY doc_id))
+    SELECT doc_id, para_no, CASE WHEN para_no >= coalesce(r, 99) THEN 'references' WHEN para_no > coalesce(a, 99) THEN 'body' WHEN para_no = coalesce(a, 99) THEN 'head'
+        WHEN para_no >= ti AND para_no < least(coalesce(au, a, 99), coalesce(a, 99)) THEN 'title' WHEN para_no >= au AND para_no < coalesce(a, 99) THEN 'authors' ELSE 'before' END AS part FROM y"""
+
+
+@_query(SEGMENTS, sql=SEGMENT_SQL)
+def paper_segments(paragraphs):
+    return upload.segments(paragraphs).select("doc_id", "para_no", "part")
+
+
+# --- verdicts
+
+FINDINGS = """SELECT l_orderkey AS doc_id, CASE l_linenumber % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'Figures' ELSE 'Languages' END AS section, CASE WHEN l_partkey % 7 > 0 THEN CASE l_returnflag WHEN 'A' THEN 'fail' WHEN 'N' THEN 'ok' ELSE 'unknown' END END AS verdict FROM {lineitem}"""
+
+
+@_query(
+    FINDINGS,
+    sql="""SELECT doc_id, CASE WHEN grouping(section) = 1 THEN 'total' ELSE section END AS section, count(*) FILTER (verdict = 'ok') AS positive, count(*) FILTER (verdict = 'unknown') AS unknown, count(*) FILTER (verdict = 'fail') AS negative
+        FROM {0} WHERE section <> 'Languages' GROUP BY GROUPING SETS ((doc_id, section), (doc_id))""",
+)
+def verdict_score(findings):
+    return scoring.score(findings)
+
+
+@_query(
+    FINDINGS,
+    sql="SELECT doc_id, section, CASE WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (verdict = 'unknown') > 0 THEN 'unknown' ELSE 'ok' END AS verdict FROM {0} GROUP BY doc_id, section",
+)
+def tri_state_fold(findings):
+    return scoring.section_verdicts(findings)
+
+
+@_query("SELECT p_partkey AS id, concat(p_name, ' of the ', p_type) AS text FROM {part}")
+def title_case(rows):
+    return rows.select("id", is_title_case(F.col("text")).alias("title_case"))
