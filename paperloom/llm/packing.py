@@ -13,8 +13,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import arrow_batches, materialise
-from .tokens import PieceEncoder
+from .shared import arrow_batches, materialise, text_rows
+from .tokens import encoder_of
 
 
 class Tournament:
@@ -76,21 +76,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     def cut(batches):
         import numpy as np
 
-        encoder, end = PieceEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def rows() -> Iterator[tuple]:
             serial = None
-            for batch in batches:
-                for doc, text, row in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "row"))):
-                    serial = row if serial is None else serial  # first row's number: no two tasks share one
-                    data = encoder.encode(text) + end
-                    total = len(data) // 4
-                    for start in range(0, total, capacity):
-                        piece = data[4 * start : 4 * (start + capacity)]
-                        n = len(piece) // 4
-                        full = n == capacity
-                        yield doc, start, n, piece if full else _narrow(piece), total, 2 * serial if full else None, row
-                        serial += full
+            for (doc, _, row), ids in encoder.stream(text_rows(batches, "doc_id", "text", "row"), 1):
+                serial = row if serial is None else serial  # first row's number: no two tasks share one
+                data = ids + end
+                total = len(data) // 4
+                for start in range(0, total, capacity):
+                    piece = data[4 * start : 4 * (start + capacity)]
+                    n = len(piece) // 4
+                    full = n == capacity
+                    yield doc, start, n, piece if full else _narrow(piece), total, 2 * serial if full else None, row
+                    serial += full
 
         yield from arrow_batches(rows(), schema, weight=lambda r: len(r[3]))
 

@@ -18,8 +18,8 @@ import struct
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import arrow_batches, fresh_path, materialise, put_file
-from .tokens import PieceEncoder
+from .shared import arrow_batches, fresh_path, materialise, put_file, text_rows
+from .tokens import encoder_of
 
 #: Fixed values: (values in a word, bits of each) by selector; 0 escapes, 15 is not used.
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
@@ -183,7 +183,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, end, part = PieceEncoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        encoder, end, part = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
 
         def files():
             held, load, seq = [], 0, 0
@@ -193,15 +193,14 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
                 put_file(folder, name, pack_file(held))
                 return name, part, seq, len(held), load
 
-            for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    if doc is None:
-                        raise ValueError("a doc_id is null")
-                    held.append((doc, encoder.encode(text) + end))
-                    load += len(held[-1][1]) // 4
-                    if load >= file_ids:
-                        yield flush()
-                        held, load, seq = [], 0, seq + 1
+            for (doc, _), ids in encoder.stream(text_rows(batches, "doc_id", "text"), 1):
+                if doc is None:
+                    raise ValueError("a doc_id is null")
+                held.append((doc, ids + end))
+                load += len(held[-1][1]) // 4
+                if load >= file_ids:
+                    yield flush()
+                    held, load, seq = [], 0, seq + 1
             if held:
                 yield flush()
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARK = r"\s!-/:-@\[-`{-~"
@@ -33,7 +34,7 @@ class PieceEncoder:
     ``cache_size``: distinct pieces remembered per Python worker; further ones are encoded anew.
     """
 
-    def __init__(self, path: str, cache_size: int = 500_000):
+    def __init__(self, path: str, cache_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,30 +59,54 @@ class PieceEncoder:
         return None, False
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.pattern is None or ODD.search(text):
-            return self._whole([text])[0]
+    def _pieces(self, text: str) -> list[str]:
         if self.folds:  # the library lower-cases; within Latin-1 Python does so alike
             try:
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        pieces, cache = self.pattern.findall(text), self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
+        return self.pattern.findall(text)
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, new pieces of all of them encoded in one call."""
+        cut = [t and (None if self.pattern is None or ODD.search(t) else self._pieces(t)) for t in texts]
+        new = list(set().union(*filter(None, cut)).difference(self.cache))
         found = dict(zip(new, self._whole(new)))
-        if len(cache) + len(found) <= self.room:
-            cache.update(found)
-            return b"".join([cache[p] for p in pieces])
-        return b"".join([found[p] if p in found else cache[p] for p in pieces])
+        if len(self.cache) + len(found) <= self.room:
+            self.cache.update(found)
+            look = self.cache.__getitem__
+        else:
+
+            def look(piece, held=self.cache.get, more=found):
+                return held(piece) or more[piece]
+
+        return [b"" if not t else self._whole([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, cut)]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
+    def stream(self, rows, text_at: int, most_rows: int = 64, most_chars: int = 1 << 20):
+        """(row, ids) of each row of an iterator, encoded some rows at a time."""
+        held, load = [], 0
+        for row in rows:
+            held.append(row)
+            load += len(row[text_at] or "")
+            if len(held) >= most_rows or load >= most_chars:
+                yield from zip(held, self.encode_many([r[text_at] for r in held]))
+                held, load = [], 0
+        if held:
+            yield from zip(held, self.encode_many([r[text_at] for r in held]))
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    """This worker process's encoder of a tokenizer; its pieces serve all the worker's tasks."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
