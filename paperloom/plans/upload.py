@@ -34,8 +34,8 @@ def segments(paragraphs: DataFrame) -> DataFrame:
     w = w.withColumn("abstract_at", F.min(F.when(F.lower("t") == "abstract", F.col("para_no"))).over(doc))
     w = w.withColumn("references_at", F.min(F.when((F.lower("t") == "references") & (F.col("para_no") > F.coalesce("abstract_at", F.lit(-1))), F.col("para_no"))).over(doc))
     before = F.last(F.when(F.col("shown"), F.col("style_name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    w = w.withColumn("title_at", F.min(F.when(F.col("shown"), F.col("para_no"))).over(doc)).withColumn("before", before)
-    changed = F.col("shown") & (F.col("para_no") > F.col("title_at")) & ~F.col("style_name").eqNullSafe(F.col("before"))
+    w = w.withColumn("title_at", F.min(F.when(F.col("shown"), F.col("para_no"))).over(doc)).withColumn("_style_before", before)
+    changed = F.col("shown") & (F.col("para_no") > F.col("title_at")) & ~F.col("style_name").eqNullSafe(F.col("_style_before"))
     w = w.withColumn("authors_at", F.min(F.when(changed, F.col("para_no"))).over(doc))
     n, end = F.col("para_no"), F.coalesce("abstract_at", F.lit(2**40))
     part = (
@@ -44,7 +44,7 @@ def segments(paragraphs: DataFrame) -> DataFrame:
         .when((n >= F.col("title_at")) & (n < F.least(F.coalesce("authors_at", end), end)), "title")
         .when((n >= F.col("authors_at")) & (n < end), "authors").otherwise("before")
     )
-    return w.withColumn("part", part).drop("before")
+    return w.withColumn("part", part).drop("_style_before")
 
 
 def _finding(section: str, check: str, verdict: Column, message: Column | None = None, item: Column | None = None):
