@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .shared import slices
+
 UNKNOWN = "und"
 _letters = None
 
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, per_language: int = 800, centroids: int = 4, dims: int
     def counted(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             langs, slots, counts = [], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 found = ngram_counts(text, dims)
@@ -168,7 +170,7 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
             if keep:
                 mask = pa.array([not f[2] for f in found], pa.bool_())

@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import slices
+
 #: The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Labels of the method's own phrases.
@@ -187,7 +189,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = ["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = list(zip(*(scan(r.as_py()) for r in batch.column("raw")))) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(found, kinds))], names=names)
 

@@ -59,9 +59,16 @@ def put_file(folder: str, name: str, data: bytes) -> str:
     return os.path.join(folder, name)
 
 
+def slices(batches, rows: int = 512):
+    """The batches in slices of a few rows, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_rows(batches, *names):
     """Tuples of the named columns over an iterator of Arrow batches."""
-    for batch in batches:
+    for batch in slices(batches):
         yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 

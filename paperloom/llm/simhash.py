@@ -16,7 +16,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import arrow_batches, materialise
+from .shared import materialise, slices
 
 BITS, BYTES = 64, 8
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values = [_fingerprint(r.as_py(), shingle) for r in batch.column("raw")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, pa.int64())], names=["id", "fp"])
 

@@ -34,7 +34,7 @@ class PieceEncoder:
     ``cache_size``: distinct pieces remembered per Python worker; further ones are encoded anew.
     """
 
-    def __init__(self, path: str, cache_size: int = 700_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
