@@ -70,6 +70,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     numbered: even numbers hold one full piece, odd ones are packed.  ``sequence_length`` is
     ``capacity``, or the ids held where that is a power of two.  Repeated rows are packed each.
     """
+    import pyarrow as pa
+
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
 
@@ -93,8 +95,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
         yield from arrow_batches(rows(), schema, weight=lambda r: len(r[3]))
 
-    import pyarrow as pa
-
     schema = pa.schema([
         ("doc_id", _arrow_type(docs, id_col)), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("row", pa.int64()),
@@ -104,19 +104,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     groups = max(1, -(-rest.count() // group_size))
     dealt = rest.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)))
 
-    def fit(key, frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["row", "start"], kind="stable", ignore_index=True)
-        bins, offsets = zip(*first_fit_decreasing(frame["length"].tolist(), capacity))
-        frame["sequence_id"] = [2 * ((int(key[0]) << 32) + b) + 1 for b in bins]
-        frame["offset"] = offsets
-        used = frame.groupby("sequence_id")["length"].transform("sum")
-        frame["sequence_length"] = [padded(int(u), capacity) for u in used]
-        frame["ids"] = [_widen(x) for x in frame["ids"]]
-        return pd.DataFrame(frame[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_length"]])
-
-    packed = dealt.drop("sequence_id").groupBy("g").applyInPandas(fit, PIECE.format(kind))
+    def fit(key, table):
+        # Arrow, not pandas: ids stay exact where a group holds nulls.
+        table = table.sort_by([("row", "ascending"), ("start", "ascending")])
+        bins, offsets = zip(*first_fit_decreasing(table["length"].to_pylist(), capacity))
+        used: dict[int, int] = {}
+        for b, n in zip(bins, table["length"].to_pylist()):
+            used[b] = used.get(b, 0) + n
+        first = key[0].as_py() << 32
+        made = {
+            "ids": pa.array([_widen(x.as_py()) for x in table["ids"]], pa.binary()),
+            "sequence_id": pa.array([2 * (first + b) + 1 for b in bins], pa.int64()),
+            "offset": pa.array(offsets, pa.int64()),
+            "sequence_length": pa.array([padded(used[b], capacity) for b in bins], pa.int64()),
+        }
+        names = [x.split()[0] for x in PIECE.split(", ")]
+        return pa.table([made[n] if n in made else table[n] for n in names], names=names)
+
+    packed = dealt.drop("sequence_id").groupBy("g").applyInArrow(fit, PIECE.format(kind))
     whole = pieces.where("sequence_id is not null").drop("row").withColumn("offset", F.lit(0).cast("long")).withColumn("sequence_length", F.col("length"))
     return whole.unionByName(packed)
 

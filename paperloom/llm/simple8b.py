@@ -6,8 +6,8 @@ bits.  Values are coded in blocks of ``BLOCK`` ids; a block starts at a word of
 first word's index is stored, so blocks are decoded independently and, without an escape, by whole
 arrays per selector.
 
-File: magic, counts, doc ids, document lengths, block offsets, block escape flags, words; all
-little-endian.  Files are written in ascending doc_id order: the rows are range-partitioned, and a
+File: magic, counts, doc ids, document lengths, flags of documents without an id (their ids read
+0), block offsets, block escape flags, words; all little-endian.  Files are written in ascending doc_id order: the rows are range-partitioned, and a
 file's name tells partition and place.
 """
 
@@ -25,7 +25,7 @@ from .tokens import encoder_of
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 ESCAPE = 0
 BLOCK = 1 << 14
-MAGIC = b"PLS8v001"
+MAGIC = b"PLS8v002"
 _HEAD = struct.Struct("<8sQQQQ")
 
 
@@ -130,7 +130,7 @@ def decode_block(words, n: int, escaped: bool):
     return out[:n]
 
 
-def pack_file(docs: list[tuple[int, bytes]]) -> bytes:
+def pack_file(docs: list[tuple[int | None, bytes]]) -> bytes:
     """A file of (doc_id, ids as little-endian uint32 bytes), in the order given."""
     lengths = np.array([len(d) // 4 for _, d in docs], "<u8")
     ids = np.frombuffer(b"".join(d for _, d in docs), "<u4").astype(np.uint64)
@@ -138,22 +138,23 @@ def pack_file(docs: list[tuple[int, bytes]]) -> bytes:
     offsets = np.cumsum([0] + [len(w) for w, _ in blocks]).astype("<u8")
     return b"".join((
         _HEAD.pack(MAGIC, len(docs), len(ids), len(blocks), int(offsets[-1])),
-        np.array([d for d, _ in docs], "<i8").tobytes(), lengths.tobytes(), offsets.tobytes(),
+        np.array([d or 0 for d, _ in docs], "<i8").tobytes(), lengths.tobytes(), np.array([d is None for d, _ in docs], np.uint8).tobytes(), offsets.tobytes(),
         np.array([e for _, e in blocks], np.uint8).tobytes(), *(w.astype("<u8").tobytes() for w, _ in blocks),
     ))
 
 
 def read_file(data: bytes):
-    """(doc ids, start of each document and the end, ids) of a file; ValueError if it is damaged."""
+    """(doc ids or None, start of each document and the end, ids) of a file; ValueError if it is damaged."""
     if len(data) < _HEAD.size:
         raise ValueError("the file is too short")
     magic, n_docs, n_ids, n_blocks, n_words = _HEAD.unpack_from(data)
-    if magic != MAGIC or len(data) != _HEAD.size + 16 * n_docs + 8 * (n_blocks + 1) + n_blocks + 8 * n_words:
+    if magic != MAGIC or len(data) != _HEAD.size + 17 * n_docs + 8 * (n_blocks + 1) + n_blocks + 8 * n_words:
         raise ValueError("not such a file, or cut short")
     at = _HEAD.size
     names = np.frombuffer(data, "<i8", n_docs, at)
     lengths = np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
-    at += 16 * n_docs
+    nameless = np.frombuffer(data, np.uint8, n_docs, at + 16 * n_docs)
+    at += 17 * n_docs
     offsets = np.frombuffer(data, "<u8", n_blocks + 1, at).astype(np.int64)
     flags = np.frombuffer(data, np.uint8, n_blocks, at + 8 * (n_blocks + 1))
     words = np.frombuffer(data, "<u8", n_words, at + 8 * (n_blocks + 1) + n_blocks)
@@ -164,7 +165,7 @@ def read_file(data: bytes):
     starts = np.concatenate(([0], np.cumsum(lengths)))
     if starts[-1] != n_ids:
         raise ValueError("the documents' lengths do not add up")
-    return names, starts, ids
+    return [None if gone else name for name, gone in zip(names.tolist(), nameless.tolist())], starts, ids
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, file_ids: int = 2_000_000) -> DataFrame:
@@ -172,7 +173,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
 
     Rows go to ranges of doc_id (rows that share one by the hash of their text) and are sorted
     there, so files in order of (part, seq) hold ascending ids.  Null and empty texts are one id.
-    A file ends once it holds ``file_ids`` ids.  A null doc_id is refused.
+    A file ends once it holds ``file_ids`` ids.  Documents without a doc_id come first.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-ids")
@@ -194,8 +195,6 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
                 return name, part, seq, len(held), load
 
             for (doc, _), ids in encoder.stream(text_rows(batches, "doc_id", "text"), 1):
-                if doc is None:
-                    raise ValueError("a doc_id is null")
                 held.append((doc, ids + end))
                 load += len(held[-1][1]) // 4
                 if load >= file_ids:
@@ -235,7 +234,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 for base, content in zip(batch.column("base"), batch.column("content")):
                     names, starts, ids = read_file(content.as_buffer().to_pybytes())
                     small = ids.astype("<u4")
-                    for k, name in enumerate(names.tolist()):
+                    for k, name in enumerate(names):
                         a, b = int(starts[k]), int(starts[k + 1])
                         yield name, base.as_py() + a, b - a, small[a:b].tobytes()
 

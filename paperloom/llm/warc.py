@@ -42,18 +42,18 @@ class Record:
     block: bytes
 
     @property
-    def page_id(self) -> int:
+    def page_id(self) -> int | None:
         return _page(self.headers["WARC-Record-ID"])
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:x-page:{page_id}>"
+def _urn(page_id: int | None) -> str:
+    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
 
 
-def _page(urn: str) -> int:
+def _page(urn: str) -> int | None:
     if not urn.startswith("<urn:x-page:") or not urn.endswith(">"):
         raise WarcError(f"not a page's id: {urn}")
-    return int(urn[12:-1])
+    return None if urn[12:-1] == "none" else int(urn[12:-1])
 
 
 def _clean(url: str) -> str:
@@ -169,7 +169,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) with size, sha1 and refers_to (null: a response).
 
     Equal payloads are told by SHA-1; payloads under ``min_bytes`` are all responses.  Null html is
-    empty.  Rows that repeat the smallest page_id of their payload are responses too.
+    empty.  Rows that repeat the smallest page_id of their payload are responses too, as are rows
+    without a page_id.
     The first page of each payload is found by a pre-aggregated minimum.
     """
     told = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))

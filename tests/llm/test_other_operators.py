@@ -89,6 +89,9 @@ def test_pages_edges(spark):
     bodies = {r.page_id: r.payload for r in warc.read_warcs(warc.write_warcs(df), payloads=True).collect()}
     assert bodies[3] == b"same" and bodies[5] is None
     assert warc.read_warcs(warc.write_warcs(df.limit(0))).count() == 0
+    nameless = spark.createDataFrame([(None, "u", "same"), (3, "u", "same"), (4, "u", "same")], "page_id bigint, url string, html string")
+    found = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_warcs(warc.write_warcs(nameless)).collect()}
+    assert found == {(None, "response", None), (3, "response", None), (4, "revisit", 3)}
 
 
 # --- neighbours

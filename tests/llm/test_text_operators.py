@@ -23,6 +23,7 @@ def docs_of(spark, texts, source=lambda i: f"s{i % 3}", lang=lambda i: "en"):
     return spark.createDataFrame([(i, t, lang(i), source(i), len(t or "")) for i, t in enumerate(texts)], SCHEMA)
 
 
+BIG = (1 << 62) + 1
 EDGES = [None, "", "   ", "one", "One two", "a b c", "a b c", "A B C", "x " * 3000, "été à Noël", "😀 emoji 😀", "tab\tand\x0bvertical\x1cunit", "don't can't we'll", "<|endoftext|> plain"]
 
 
@@ -297,7 +298,7 @@ def test_simple8b_density_and_damage():
     assert len(words) == 150  # four of 15 bits in a word
     data = simple8b.pack_file([(5, np.arange(10, dtype="<u4").tobytes()), (7, b"")])
     names, starts, ids = simple8b.read_file(data)
-    assert names.tolist() == [5, 7] and starts.tolist() == [0, 10, 10] and ids.tolist() == list(range(10))
+    assert names == [5, 7] and starts.tolist() == [0, 10, 10] and ids.tolist() == list(range(10))
     for broken in (data[:-1], b"X" + data[1:], data[:10]):
         with pytest.raises(ValueError):
             simple8b.read_file(broken)
@@ -320,6 +321,24 @@ def test_ids_written_and_read(spark):
     assert simple8b.read_ids(simple8b.write_ids(df.limit(0), path)).count() == 0
 
 
+def test_documents_without_an_id(spark):
+    rows = [(None, "one two three"), (None, None), (None, "one two three"), (BIG, "four five six"), (-3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    ids = [i for i, _ in rows]
+    order = lambda found: sorted(found, key=lambda i: (i is not None, i or 0))
+    words, pieces = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    read = simple8b.read_ids(simple8b.write_ids(docs, words)).orderBy("start").collect()
+    assert [r.doc_id for r in read] == order(ids) and sum(r.n_tokens for r in read[:3]) == read[3].start
+    assert order(r.doc_id for r in packing.pack(docs, pieces).collect()) == order(ids)
+    groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert groups == {(None, None), (None, -3), (BIG, BIG), (-3, -3)}
+    assert order(r.doc_id for r in mixing.mix(docs).collect()) == order(ids)
+    assert order(r.doc_id for r in license.licenses(docs).collect()) == order(ids)
+    labels = spark.createDataFrame([(None, 1), (BIG, None)], "doc_id bigint, quality int")
+    assert order(r.doc_id for r in quality.judge(docs, labels).collect()) == order(ids)
+    assert order(r.doc_id for r in langid.predict(docs, langid.fit(docs)).collect()) == order(ids)
+
+
 # --- packing
 
 
