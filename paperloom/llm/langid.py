@@ -96,15 +96,22 @@ def _clusters(x, k: int, rounds: int, rng):
 def training_rows(docs: DataFrame, per_language: int = 800, max_languages: int = 64) -> DataFrame:
     """(lang, text): at most ``per_language`` rows of each language, by smallest hash of the id.
 
-    The ids are chosen without their texts; each map task passes on ``per_language`` rows at most.
-    The chosen ids number ``per_language * max_languages`` at most, which is why they are broadcast.
+    The ids are chosen without their texts.  Hashes are counted in steps of an eighth of a power of
+    two (at most 520 a language), and the step in which the ``per_language``-th row falls ends the
+    search, so a language's task ranks little more than the rows it gives, whatever the input's
+    size and the number of map tasks.  The languages are the first ``max_languages`` by name, and the
+    ids number ``per_language * max_languages`` at most, which is why both are broadcast.
     """
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    step = F.floor(8 * F.log2(F.col("h").cast("double") + F.lit(2.0**63) + 1)).cast("int")  # never falls as h grows
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("step", step)
+    counts = known.groupBy("lang", "step").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = counts.withColumn("below", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("below") < per_language)
+    cuts = cuts.groupBy("lang").agg(F.max("step").alias("last")).orderBy("lang").limit(max_languages)
+    near = known.join(F.broadcast(cuts), "lang").where("step <= last")
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-    top = Window.partitionBy(F.lit(0)).orderBy("lang")
-    names = known.select("lang").distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_languages)
-    ids = ids.join(F.broadcast(names.select("lang")), "lang", "left_semi").select("doc_id", F.col("lang").alias("_lang")).distinct()
+    ids = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language)
+    ids = ids.select("doc_id", F.col("lang").alias("_lang")).distinct()
     texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     return texts.join(F.broadcast(ids), ["doc_id"], "inner").where("lang = _lang").select("lang", "text")
 

@@ -412,3 +412,16 @@ def test_languages_edges(spark):
     none = langid.fit(docs.where("false"))
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("per_language, max_languages", [(1, 64), (37, 3), (100_000, 64)])
+def test_languages_training_rows_are_those_of_smallest_hash(spark, per_language, max_languages):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(spark, [None if i % 11 == 0 else f"text {i}" for i in range(4000)], lang=lambda i: None if i % 13 == 0 else "abcd"[min(3, i % 7)])
+    found = sorted(tuple(r) for r in langid.training_rows(docs, per_language, max_languages).collect())
+    groups = {}
+    for r in docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect():
+        groups.setdefault(r.lang, []).append((r.h, r.doc_id, r.text))
+    want = sorted((g, t) for g in sorted(groups)[:max_languages] for _, _, t in sorted(groups[g])[:per_language])
+    assert found == want
