@@ -220,9 +220,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows that repeat an id and its text are one document.  Ids should be unique: rows that share an
     id (or have none) but not the text stand or fall together.
     """
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, budget), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names their component in ``marked`` (id, component_id)."""
     from pyspark.sql import Window
 
-    marked = near_duplicates(docs, id_col, text_col, shingle, budget)
     chosen = marked.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
     one = Window.partitionBy("_kept", F.xxhash64(text_col)).orderBy(F.lit(0))
     kept = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_kept")))
