@@ -160,10 +160,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.96
     Queries visit the most probable parts, as many as promise ``recall``.  Vectors of unequal
     length never meet.  Candidates of a part are searched in blocks of at most ``block`` vectors,
     each with the queries that visit the part.  A score is recomputed from the original vectors.
-    Repeated ids are candidates like others, but for the query's own id.
+    Repeated ids are candidates like others, but for the query's own id; rows that repeat an id and
+    its vector are one, and of unequal vectors of a query's id the smallest of each length asks.
     """
     good = materialise(usable(vectors), "ann-vectors")
-    keyed = good.select("vec_id", "vector", F.size("vector").alias("dims"), F.xxhash64("vector").alias("h"))
+    keyed = good.select("vec_id", "vector", F.size("vector").alias("dims"), F.xxhash64("vector").alias("h")).distinct()
     low = Window.partitionBy("h", "vector").orderBy("vec_id")
     few = keyed.withColumn("n", F.row_number().over(low)).where(F.col("n") <= k + 1)
     distinct = materialise(few.groupBy("h", "vector", "dims").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-distinct")
@@ -205,7 +206,7 @@ def _search(distinct, good, count, every, k, recall, part_size, sample, block):
     # Part sizes, at most `width` rows: how many blocks each part's candidates are dealt into.
     blocks = {r["part"]: -(-r["count"] // block) for r in placed.groupBy("part").count().collect()}
     lengths = F.create_map(*[F.lit(x) for p, n in sorted(blocks.items()) for x in (p, n)])
-    queries = good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = queries.mapInArrow(lambda b: route(b, visit), f"vec_id bigint, vector {kind}, parts array<int>")
     asked = asked.select("vec_id", "vector", F.explode("parts").alias("part"))
     asked = asked.where(lengths[F.col("part")].isNotNull()).select("vec_id", "vector", "part", F.explode(F.sequence(F.lit(0), lengths[F.col("part")] - 1)).alias("block"))

@@ -130,6 +130,15 @@ def test_neighbours_edges(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(50, [1.0, 0.0])] * 7 + [(51, [1.0, 0.0]), (52, [0.0, 1.0])] + [(100, [0.0, 1.0]), (100, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.search(df, k=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in got.items()} == {50: [(1, 51, 1.0), (2, 52, 0.0)], 100: [(1, 52, 0.0), (2, 50, -1.0)]}
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 8))
