@@ -4,8 +4,8 @@ Texts become L2-normalised TF-IDF vectors of letter n-grams (1 to 3 letters, low
 between words) hashed to ``dims`` slots.  Spherical k-means gives each language a few centroids;
 the prediction is the language of the centroid with the largest cosine, which is the score.
 A text is rejected when that cosine falls below the language's threshold, or when it has no
-letter.  The model is fitted on a bounded sample: ``per_language`` rows for each of at most
-``max_languages`` languages, those with the smallest hash of their id.
+letter.  Every language is learned, from a bounded sample of ``per_language`` of its rows: those
+with the smallest hash of their id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import slices
+from .shared import materialise, slices
 
 UNKNOWN = "und"
 _letters = None
@@ -93,73 +93,74 @@ def _clusters(x, k: int, rounds: int, rng):
     return centroids
 
 
-def training_rows(docs: DataFrame, per_language: int = 800, max_languages: int = 64) -> DataFrame:
-    """(lang, text): at most ``per_language`` rows of each language, by smallest hash of the id.
+def training_rows(docs: DataFrame, per_language: int = 800) -> DataFrame:
+    """(lang, text): at most ``per_language`` rows of each language, by smallest hash of the id, then of the text.
 
-    The ids are chosen without their texts.  Hashes are counted in steps of an eighth of a power of
-    two (at most 520 a language), and the step in which the ``per_language``-th row falls ends the
-    search, so a language's task ranks little more than the rows it gives, whatever the input's
-    size and the number of map tasks.  The languages are the first ``max_languages`` by name, and the
-    ids number ``per_language * max_languages`` at most, which is why both are broadcast.
+    The hash below which a language's rows lie is found without the texts.  Hashes are counted in
+    steps of an eighth of a power of two (at most 520 a language), and the step in which the
+    ``per_language``-th row falls ends the search, so a language's task ranks little more than the
+    rows it gives, whatever the input's size.  The table of languages and last steps has one row for
+    each language; rows beyond a language's last step leave before any text is moved.
     """
     step = F.floor(8 * F.log2(F.col("h").cast("double") + F.lit(2.0**63) + 1)).cast("int")  # never falls as h grows
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("step", step)
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h")).withColumn("step", step)
     counts = known.groupBy("lang", "step").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     cuts = counts.withColumn("below", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("below") < per_language)
-    cuts = cuts.groupBy("lang").agg(F.max("step").alias("last")).orderBy("lang").limit(max_languages)
-    near = known.join(F.broadcast(cuts), "lang").where("step <= last")
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language)
-    ids = ids.select("doc_id", F.col("lang").alias("_lang")).distinct()
-    texts = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    return texts.join(F.broadcast(ids), ["doc_id"], "inner").where("lang = _lang").select("lang", "text")
+    cuts = materialise(cuts.groupBy("lang").agg(F.max("step").alias("last")), "language-steps")
+    near = known.join(cuts, "lang").where("step <= last")
+    # Map tasks cut each language to its first rows before the shuffle, repeated ids included.
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("lang", "text")
 
 
-def fit(docs: DataFrame, per_language: int = 800, centroids: int = 4, dims: int = 4096, max_languages: int = 64, rounds: int = 12, slack: float = 0.5, seed: int = 7) -> Model:
-    """The model of ``docs`` (doc_id, text, lang); without a labelled letter it predicts ``und`` for all."""
-    sample = training_rows(docs, per_language, max_languages)
+MODEL = "lang string, centroids binary, floor double"
 
-    def counted(batches):
-        import pyarrow as pa
 
+def fit(docs: DataFrame, per_language: int = 800, centroids: int = 4, dims: int = 4096, rounds: int = 12, slack: float = 0.5, seed: int = 7) -> Model:
+    """The model of ``docs`` (doc_id, text, lang); without a labelled letter it predicts ``und`` for all.
+
+    Every language is learned, each in a task of its own from its ``per_language`` rows; document
+    frequencies are summed by slot before.  The driver holds the model alone: ``centroids`` times
+    ``dims`` numbers of 4 bytes for each language.
+    """
+    import pyarrow as pa
+
+    sample = training_rows(docs, per_language)
+
+    def counted(batches):
         for batch in slices(batches):
             langs, slots, counts = [], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 found = ngram_counts(text, dims)
                 if found is not None:
                     langs.append(lang)
-                    slots.append(found[0].astype("<u2").tobytes())
-                    counts.append(np.minimum(found[1], 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "slots", "counts"])
-
-    rows = sorted(tuple(r) for r in sample.mapInArrow(counted, "lang string, slots binary, counts binary").collect())
-    # A key given more rows than asked for (repeated ids) is cut back here: the bound holds.
-    held: dict[str, list] = {}
-    for lang, slots, counts in rows:
-        group = held.setdefault(lang, [])
-        if len(group) < per_language:
-            group.append((np.frombuffer(slots, "<u2").astype(np.int64), np.frombuffer(counts, "<u2")))
-    languages = sorted(held)
-    present = np.zeros(dims)
-    for group in held.values():
-        for slots, _ in group:
-            present[slots] += 1
-    total = sum(map(len, held.values()))
+                    slots.append(found[0].astype("<u4").tolist())
+                    counts.append(found[1].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.binary())], names=["lang", "slots", "counts"])
+
+    rows = materialise(sample.mapInArrow(counted, "lang string, slots array<int>, counts binary"), "language-counts")
+    present, total = np.zeros(dims), rows.count()
+    for slot, n in rows.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect():
+        present[slot] = n
     idf = np.log((1 + total) / (1 + present)) + 1
-    rng = np.random.default_rng(seed)
-    stacks, owner, floor = [], [], []
-    for n, lang in enumerate(languages):
-        x = np.zeros((len(held[lang]), dims), np.float32)
-        for i, (slots, counts) in enumerate(held[lang]):
-            x[i, slots] = (1 + np.log(counts)) * idf[slots]
+
+    def learn(table):
+        slots, counts = table["slots"].to_pylist(), table["counts"].to_pylist()
+        order = sorted(range(len(slots)), key=lambda i: (slots[i], counts[i]))  # whatever order the rows came in
+        x = np.zeros((len(slots), dims), np.float32)
+        for at, i in enumerate(order):
+            x[at, slots[i]] = (1 + np.log(np.frombuffer(counts[i], "<i8"))) * idf[slots[i]]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        found = _clusters(x, centroids, rounds, rng)
-        stacks.append(found.astype(np.float64))
-        owner += [n] * len(found)
-        floor.append(slack * float(np.min((x @ found.T).max(axis=1))))
-    stack = np.concatenate(stacks) if stacks else np.zeros((0, dims))
-    return Model(languages, np.array(owner, np.int64), stack, idf, np.array(floor))
+        found = _clusters(x, centroids, rounds, np.random.default_rng(seed))
+        least = slack * float(np.min((x @ found.T).max(axis=1)))
+        return pa.table({"lang": table["lang"][:1].cast(pa.string()), "centroids": pa.array([found.astype("<f4").tobytes()], pa.binary()), "floor": pa.array([least])})
+
+    made = sorted(tuple(r) for r in rows.groupBy("lang").applyInArrow(learn, MODEL).collect())
+    stacks = [np.frombuffer(c, "<f4").reshape(-1, dims) for _, c, _ in made]
+    owner = np.repeat(np.arange(len(made)), [len(x) for x in stacks])
+    stack = np.concatenate(stacks) if stacks else np.zeros((0, dims), np.float32)
+    return Model([lang for lang, _, _ in made], owner.astype(np.int64), stack, idf, np.array([f for _, _, f in made]))
 
 
 def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
@@ -197,5 +198,5 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
 
 def held_out(column="doc_id"):
-    """True for the third of the ids that no model may learn from."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1
+    """True for the third of the ids that no model may learn from; a null id is not of it."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))

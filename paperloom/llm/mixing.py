@@ -16,39 +16,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import materialise
+from .shared import fresh_names, materialise, numbered
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-PARTS = 256
+#: A word, as ASCII white space parts them.
+WORD = r"[^\x20\x09-\x0D]++"
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, size): words of each whole text, 0 for null."""
-    count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count.alias("size"))
 
 
-def targets(classes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def targets(classes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, rounds: int = 100) -> DataFrame:
     """(source, source_size, target) from (source, size, n).
 
-    Sources in code-point order, null last, take the weights in turn.  The level at which all
-    excess has been reshared is found in one ordered pass over the sources: with sources sorted by
-    limit / weight, it is the first level not above the next source's ratio.
+    Sources in code-point order, null last, take the weights in turn; their places come from a
+    range-partitioned sort and the counts of its partitions, so no task sees all sources.  The level
+    (words for each unit of weight) at which all excess has been reshared is raised until no further
+    source is full; it never falls, and each round is one aggregate.
     """
     by_source = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    place = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
-    ranked = by_source.withColumn("k", F.row_number().over(place)).withColumn(
-        "weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("k") - 1) % len(weights) + 1).cast("int"))
-    )
-    ranked = ranked.withColumn("limit", (most * F.col("source_size")).cast("double"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("limit") / F.col("weight"), "k")
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    budget = share * F.sum("source_size").over(whole)
-    full = F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    heavy = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = ranked.withColumn("level", (budget - full) / heavy).withColumn("fits", F.col("level") <= F.col("limit") / F.col("weight"))
-    level = level.withColumn("water", F.min(F.when(F.col("fits"), F.struct(F.col("limit") / F.col("weight"), "k", "level"))).over(whole)["level"])
-    return level.select("source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("water") * F.col("weight"), F.col("limit"))).alias("target"))
+    sort = [F.col("source").isNull(), F.col("source")]
+    lined = by_source.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("at", F.monotonically_increasing_id())
+    lined = materialise(lined, "mix-sources").withColumn("part", F.shiftright("at", 33)).withColumn("row", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    # One row for each partition of that sort, as many as the session's shuffle partitions at most.
+    parts = lined.groupBy("part").agg(F.count("*").alias("m"))
+    skip = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    k = (F.col("row") + F.col("skip")) % len(weights) + 1
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), k.cast("int"))
+    ranked = lined.join(parts.select("part", skip.alias("skip")), "part").select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("limit"))
+    ranked = materialise(ranked, "mix-weights")
+    level, full = 0.0, F.col("limit") <= F.lit(0.0) * F.col("weight")
+    for _ in range(rounds):
+        words, held, heavy = ranked.agg(F.sum("source_size"), F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not heavy or (share * words - (held or 0)) / heavy <= level:
+            break
+        level = (share * words - (held or 0)) / heavy
+        full = F.col("limit") <= F.lit(level) * F.col("weight")
+    else:
+        raise RuntimeError("the level did not settle")
+    return ranked.select("source", "source_size", F.least(F.col("limit").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _rate(multiplier, most: int = MOST):
@@ -56,11 +65,12 @@ def _rate(multiplier, most: int = MOST):
     return most / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), multiplier * z))))
 
 
-def balance(classes: DataFrame, goal: DataFrame, rounds: int = 60, tolerance: float = 1e-6, most: int = MOST) -> DataFrame:
+def balance(classes: DataFrame, goal: DataFrame, rounds: int = 100, tolerance: float = 1e-6, most: int = MOST) -> DataFrame:
     """(source, multiplier): Newton's iterations on every source's dual at once.
 
     The state is a table with a row per source; only the number of sources still moving reaches
     the driver.  A source at its limit of ``most`` copies, or without words, needs no iteration.
+    A RuntimeError says that sources were still moving after ``rounds``.
     """
     means = classes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     state = goal.join(means, goal.source.eqNullSafe(means.source)).select(
@@ -86,6 +96,8 @@ def balance(classes: DataFrame, goal: DataFrame, rounds: int = 60, tolerance: fl
         state = materialise(step.select(*state.columns), "mix-state")
         if state.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError("the rates did not settle")
     return state.select("source", "target", "mean", "multiplier")
 
 
@@ -128,9 +140,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     Null texts have size 0 and are copied once; null is a source of its own; repeated rows are
     documents like any other.  Documents of one class that share an id are told apart by nothing,
-    so which of them is copied more is left open; the sums aren't.
+    so which of them is copied more is left open; the sums aren't.  Other columns aren't read.
     """
-    listed = materialise(sizes(docs, id_col, source_col, text_col), "mix-sizes")
+    return _mixed(materialise(sizes(docs, id_col, source_col, text_col), "mix-sizes"), (), weights, share, most)
+
+
+def _mixed(listed: DataFrame, ties: tuple[str, ...], weights, share: float, most: int) -> DataFrame:
+    """``mix`` of a table (doc_id, source, size); ``ties`` names columns that order rows of one id, and stay."""
     classes = materialise(listed.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-classes")
     goal = materialise(targets(classes, weights, share, most), "mix-targets")
     plan = materialise(class_copies(classes, balance(classes, goal, most=most), most), "mix-copies")
@@ -143,26 +159,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     parts = dealt.groupBy("source", "size", "part").agg(F.count("*").alias("m"))
     earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("ps"), F.col("size").alias("pz"), F.col("part").alias("pp"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("skip"))
-    within = Window.partitionBy("source", "size", "part").orderBy("h", "doc_id")
+    within = Window.partitionBy("source", "size", "part").orderBy("h", "doc_id", *ties)
     ranked = dealt.withColumn("rank", F.row_number().over(within))
     ranked = ranked.join(parts, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz")) & (F.col("part") == F.col("pp")))
     both = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     each = F.floor(F.col("copies") / F.col("n"))
     copies = (each + (F.col("skip") + F.col("rank") <= F.col("copies") - each * F.col("n")).cast("long")).alias("copies")
-    out = both.select("doc_id", "source", "size", "source_size", "target", "rate", copies)
+    out = both.select("doc_id", "source", "size", "source_size", "target", "rate", copies, *ties)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each document repeated as often as the mix takes it (0 to 2 times)."""
-    counted = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    # Repeated rows pair up one to one: the copies of all rows alike are summed and dealt evenly.
-    total = counted.groupBy("_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    own = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
-    alike = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))
-    joined = docs.withColumn("_words", own).join(
-        total, docs.doc_id.eqNullSafe(F.col("_id")) & docs.source.cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    )
-    each = F.floor(F.col("_copies") / F.col("_rows"))
-    times = each + (F.row_number().over(alike) <= F.col("_copies") - each * F.col("_rows")).cast("long")
-    return joined.withColumn("_times", times).where("_times > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it (0 to ``most`` times), all columns kept, whatever they are called.
+
+    Copies are counted on a table without texts and come back by the rows' places in the input, so
+    rows that share an id, or have none, each get their own.
+    """
+    rows, file, at = numbered(docs)
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    listed = rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(file).alias("tie_file"), F.col(at).alias("tie_at"))
+    counted = _mixed(materialise(listed, "mix-sizes"), ("tie_file", "tie_at"), weights, share, most).where("copies > 0")
+    (times,) = fresh_names(rows, "_times")
+    chosen = materialise(counted.select(F.col("tie_file").alias(file), F.col("tie_at").alias(at), F.col("copies").cast("int").alias(times)), "mix-chosen")
+    taken = rows.join(chosen, [file, at])
+    (copy,) = fresh_names(taken, "_copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(file, at, times, copy)

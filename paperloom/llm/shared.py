@@ -1,8 +1,8 @@
-"""Tables and files in the folder that driver and executors share.
+"""Tables and files in the folder that driver and executors share, and identities of rows.
 
 The folder is the session's ``spark.checkpoint.dir``.  A table written there cuts lineage and
-survives the loss of any executor; nothing is ever kept in a machine-local folder.  Intermediate
-tables stay until the owner of the folder clears it, because the DataFrames returned are lazy.
+survives the loss of any executor; only a local session that names no folder gets one of its own.
+Intermediate tables stay until ``release`` is called, because the DataFrames returned are lazy.
 """
 
 from __future__ import annotations
@@ -10,23 +10,52 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 KEY = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; one of our own only where the session names none, as in tests."""
+    """The shared folder's URI, its scheme filled in from the cluster's default filesystem.
+
+    Where the session names none, a local session gets a folder of its own and any other an error.
+    """
     base = spark.conf.get(KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{KEY} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set(KEY, base)
-    return base.rstrip("/")
+    return (base if "://" in base else _hadoop(spark, base)[1]).rstrip("/")
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    """(Hadoop filesystem, qualified URI) of a path."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(uri)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    return files, files.makeQualified(path).toString()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/paperloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/paperloom/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table and file folder this process has written to the shared folder; how many.
+
+    DataFrames that read them are of no use afterwards.
+    """
+    gone = 0
+    while _written:
+        uri = _written.pop()
+        gone += bool(_hadoop(spark, uri)[0].delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri), True))
+    return gone
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -37,15 +66,63 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` doesn't have, in any case, as near to ``wanted`` as may be."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame, label: str = "rows") -> tuple[DataFrame, str, str]:
+    """(``docs`` and two columns more, their names): the file's hash and the place in it name a row.
+
+    A table read from Parquet has both already; anything else is written first.  Decisions on slim
+    tables come back to the rows by these, whatever ids the rows repeat or lack.
+    """
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if not plain or "_metadata" in (c.lower() for c in docs.columns) or not _is_parquet(docs):
+        docs = materialise(docs, label)
+    names = fresh_names(docs, "_file", "_at")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), *names
+
+
+def _is_parquet(docs: DataFrame) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
+#: Hadoop's schemes and Arrow's for the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The URI by which Arrow opens what Hadoop knows as ``uri``; ValueError for an unknown scheme."""
+    parts = urlsplit(uri)
+    if parts.scheme not in SCHEMES:
+        raise ValueError(f"no way is known to write files to {parts.scheme}://")
+    place = parts.netloc
+    if parts.scheme.startswith("wasb"):
+        place = place.replace(".blob.core.", ".dfs.core.")
+    return f"{SCHEMES[parts.scheme]}://{place}{parts.path}"
+
+
 def open_filesystem(uri: str):
-    """(filesystem, path) of a URI, on driver or executor."""
+    """(filesystem, path) of a URI, on driver or executor; a path without a scheme is a local one."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def put_file(folder: str, name: str, data: bytes) -> str:

@@ -16,7 +16,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialise, slices
+from .shared import materialise, numbered, slices
 
 BITS, BYTES = 64, 8
 
@@ -165,13 +165,14 @@ def connected(edges: DataFrame, label: str = "components", max_rounds: int = 60)
     """(node, root): every node of ``edges`` (a, b) with the smallest node it reaches.
 
     Alternates large-star and small-star rounds until the table of edges stays the same; each
-    round's table is written to the shared folder.  Minima are pre-aggregated before the shuffle,
-    so a star with very many leaves loads no single task.
+    round's table is written to the shared folder.  Minima are pre-aggregated before the shuffle.
+    A star with very many leaves meets its one centre in a join, as the larger side, which AQE
+    splits over tasks.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialise(pairs, label)
     mark = _mark(now)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if mark[0] else 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -199,7 +200,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id): one row per row of ``docs``; near-duplicates share the smallest id they reach.
 
     Repeated rows stay repeated, equal texts share a fingerprint, null ids give way to any other id
-    of their component, an empty table gives an empty table.
+    of their component, an empty table gives an empty table, other columns aren't read.  The last
+    join meets a fingerprint with very many rows (such as that of empty texts) as its larger side,
+    which AQE splits.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     least = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct-fingerprints")
@@ -215,19 +218,26 @@ def hex_fingerprint(column):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group, all columns kept.
+    """One row of each component of ``docs``, that of the smallest id, with all its columns, whatever they are called.
 
-    Rows that repeat an id and its text are one document.  Ids should be unique: rows that share an
-    id (or have none) but not the text stand or fall together.
+    Rows that share the smallest id (or, with no id in the component, have none) are told apart by
+    their place in the input, and the first stays.
     """
-    return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, budget), id_col, text_col)
+    rows, file, at = numbered(docs)
+    slim = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(at).alias("at")).alias("row"), F.col(text_col).alias("text"))
+    prints = materialise(fingerprints(slim, "row", "text", shingle), "fingerprints")
+    links = connected(linked_pairs(prints.select("fp").distinct(), budget))
+    return rows_of_heads(rows, prints, links, "fp", file, at)
 
 
-def first_of_each(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id names their component in ``marked`` (id, component_id)."""
-    from pyspark.sql import Window
+def rows_of_heads(rows: DataFrame, prints: DataFrame, links: DataFrame, key: str, file: str, at: str) -> DataFrame:
+    """Of ``rows`` those that come first in their component, by prints (row, key) and links (node, root) of keys.
 
-    chosen = marked.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    one = Window.partitionBy("_kept", F.xxhash64(text_col)).orderBy(F.lit(0))
-    kept = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_kept")))
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[docs[c] for c in docs.columns])
+    The smallest row of each key is found first, so a key with very many rows weighs no more than
+    another; what comes back to the rows is a table of places, one of each component.
+    """
+    least = prints.groupBy(key).agg(F.min("row").alias("row"))
+    placed = least.join(links, F.col(key) == F.col("node"), "left").select("row", F.coalesce("root", key).alias("root"))
+    heads = placed.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.file").alias(file), F.col("row.at").alias(at))
+    kept = materialise(heads, "kept-rows")
+    return rows.join(kept, [file, at], "left_semi").drop(file, at)

@@ -145,32 +145,3 @@ def test_parts_are_balanced():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     side = ann.balanced_parts(x, ann.neighbour_graph(x, 10), 6)
     assert np.bincount(side).max() <= 166
-
-
-# --- pipeline
-
-
-def test_pipeline_matches_its_stages(spark):
-    import corpus_pipeline as cp
-    from paperloom.llm import langid, mixing, quality, simhash
-    from paperloom.llm.shared import materialise
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = langid.fit(docs.where(~langid.held_out()))
-    first = [r for r in docs.collect() if not model.predict(r.text)[2]]
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    frame = spark.createDataFrame(first, docs.schema)
-    kept = {r.doc_id for r in quality.judge(frame, labels).where("kept").collect()}
-    second = [r for r in first if r.doc_id in kept]
-    frame = spark.createDataFrame(second, docs.schema)
-    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
-    third = [r for r in second if prints[r.doc_id] == r.doc_id]
-    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(third, docs.schema)).collect()}
-    pieces = cp.run(spark, SF).collect()
-    got = {}
-    for p in pieces:
-        got.setdefault(p.doc_id, []).append(p)
-    assert set(got) == {i for i, c in copies.items() if c}
-    for i, ps in got.items():
-        assert sum(p.length for p in ps) == copies[i] * ps[0].doc_tokens
-    assert [len(f(spark, docs, SF).columns) for _, f in cp.STAGES[:-1]] == [5] * 4

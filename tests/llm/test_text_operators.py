@@ -4,9 +4,9 @@ import random
 import re
 import zlib
 from collections import Counter
-from fractions import Fraction
 
 import numpy as np
+import plain
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -106,23 +106,7 @@ def test_keep_one_keeps_one_of_each_group(spark):
 # --- mixing
 
 
-def plain_targets(size):
-    order = sorted(size, key=lambda s: (s is None, s or ""))
-    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
-    target, open_, left = dict.fromkeys(order, Fraction(0)), set(order), Fraction(3, 2) * sum(size.values())
-    while left > 0 and open_:
-        total = sum(w[s] for s in open_)
-        over = [s for s in open_ if target[s] + left * w[s] / total > 2 * size[s]]
-        if not over:
-            for s in open_:
-                target[s] += left * w[s] / total
-            break
-        # Those over stop at their limit; all that was given is dealt again.
-        for s in over:
-            target[s] = Fraction(2 * size[s])
-            left -= target[s]
-            open_.remove(s)
-    return {s: float(t) for s, t in target.items()}
+plain_targets = plain.targets
 
 
 @pytest.mark.parametrize("case", ["sf", "edges", "hot"])
@@ -245,10 +229,38 @@ def test_quality_cutoffs_hold_their_risk(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def test_quality_verdicts_are_those_of_a_plain_version(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(2600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        junk = rng.random() < 0.25
+        for at in rng.sample(range(60), rng.randrange(60) if junk else rng.random() < 0.01):
+            words[at] = rng.choice(["###", "LOUD" + words[at].upper(), "same same same"])
+        docs.append((i, " ".join(words), ("en", "de", None, "", "rare")[i % 5]))
+        labels.append((i, int(not junk)))
+    df = spark.createDataFrame([(i, t, s, "x", 0) for i, t, s in docs], SCHEMA)
+    told = spark.createDataFrame(labels + [(0, 0), (None, 1), (10**7, 1)], "doc_id bigint, quality int")
+    rules = plain.quality_cutoffs(docs, dict(labels) | {0: 0})
+    assert len(rules) == 5 and all(rules.values())
+    found = {r.doc_id: r.kept for r in quality.judge(df, told).collect()}
+    assert found == {i: plain.quality_kept(t, rules[s]) for i, t, s in docs}
+    assert {r.doc_id for r in quality.keep_good(df, told).collect()} == {i for i, k in found.items() if k}
+
+
+def test_more_strata_than_any_bound(spark):
+    good = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(400)]
+    docs = spark.createDataFrame([(i * 1000 + s, t, f"s{s}", "x", 0) for s in range(70) for i, t in enumerate(good)], SCHEMA)
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    assert quality.cutoffs(quality.metrics(docs), labels, epsilon=0.03).count() == 70
+
+
 def test_binomial_limit():
     assert quality.upper_limit(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), rel=1e-6)
     assert quality.upper_limit(5, 5, 0.05) == 1.0
     assert 0.05 < quality.upper_limit(3, 100, 0.05) < 0.09
+    for k, n, p in ((0, 300, 0.02), (7, 400, 0.02), (150, 300, 0.5), (299, 300, 0.9), (300, 300, 0.1)):
+        assert quality.binomial_tail(k, n, p) == pytest.approx(plain.tail(k, n, p), rel=1e-9)
 
 
 # --- token ids
@@ -414,14 +426,40 @@ def test_languages_edges(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
-@pytest.mark.parametrize("per_language, max_languages", [(1, 64), (37, 3), (100_000, 64)])
-def test_languages_training_rows_are_those_of_smallest_hash(spark, per_language, max_languages):
+@pytest.mark.parametrize("per_language", [1, 37, 100_000])
+def test_languages_training_rows_are_those_of_smallest_hash(spark, per_language):
     from pyspark.sql import functions as F
 
     docs = docs_of(spark, [None if i % 11 == 0 else f"text {i}" for i in range(4000)], lang=lambda i: None if i % 13 == 0 else "abcd"[min(3, i % 7)])
-    found = sorted(tuple(r) for r in langid.training_rows(docs, per_language, max_languages).collect())
+    found = sorted(tuple(r) for r in langid.training_rows(docs, per_language).collect())
     groups = {}
     for r in docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect():
         groups.setdefault(r.lang, []).append((r.h, r.doc_id, r.text))
-    want = sorted((g, t) for g in sorted(groups)[:max_languages] for _, _, t in sorted(groups[g])[:per_language])
-    assert found == want
+    assert found == sorted((g, t) for g in groups for _, _, t in sorted(groups[g])[:per_language])
+
+
+def test_languages_beyond_any_bound_are_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lang = lambda i: f"l{i % 130:03}"
+    text = lambda i: " ".join((letters[i % 130 % 26] + letters[(i % 130 * 7 + 3) % 26] * 2) * (1 + i % 3) for _ in range(20 + i % 5))
+    docs = docs_of(spark, [text(i) for i in range(1300)], lang=lang)
+    model = langid.fit(docs)
+    assert model.languages == [f"l{i:03}" for i in range(130)]
+    right = sum(r.lang_pred == lang(r.doc_id) for r in langid.predict(docs, model).collect())
+    assert right > 1250
+
+
+def test_predictions_are_those_of_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rows = docs.select("doc_id", "text").limit(60).collect() + [(10_000 + i, t) for i, t in enumerate(EDGES)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumnRenamed("x", "x")
+    found = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    for i, t in rows:
+        lang, score, rejected = plain.language(t, model)
+        assert (found[i].lang_pred, found[i].rejected) == (lang, rejected) and found[i].score == pytest.approx(min(1, max(0, score)), abs=1e-5)
+
+
+def test_nothing_is_held_out_without_an_id(spark):
+    docs = spark.createDataFrame([(None,), (1,), (4,)], "doc_id bigint").withColumn("h", langid.held_out())
+    assert {r.doc_id: r.h for r in docs.collect()} == {None: False, 1: zlib.crc32(b"1") % 3 == 1, 4: zlib.crc32(b"4") % 3 == 1}
