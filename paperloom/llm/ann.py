@@ -4,9 +4,11 @@ On a bounded sample the exact neighbour graph is built and cut into balanced par
 network is then trained to tell, from a vector alone, in which parts its neighbours lie.  All
 vectors are stored in the part the network finds most probable, queries go to the most probable
 parts and are reranked there by exact cosine.  How many parts is learned too: a tenth of the sample
-is kept from training, and the fewest parts that cover ``recall`` of its neighbours are visited.  The number of parts follows the number of vectors,
-so that a part stays of about ``part_size`` vectors.  Equal vectors are one candidate that carries
-its smallest ids, which is exact because ties go to smaller ids.
+is kept from training, and the fewest parts that cover ``recall`` of its neighbours are visited, or
+more where those hold too few vectors.  There are about half as many parts as the root of the number
+of vectors, and a part for every eight of the sample at most: beyond, parts grow, and are searched
+in more blocks.  Tables of any size are searched this way.  Equal vectors are one candidate that
+carries its smallest ids, which is exact because ties go to smaller ids.
 """
 
 from __future__ import annotations
@@ -111,8 +113,9 @@ def train_router(x, graph, side, parts: int, hidden: int = 128, epochs: int = 30
     return Router(*params)
 
 
-def part_count(vectors: int, part_size: int = 1000, most: int = 4096) -> int:
-    return max(1, min(most, round(vectors / part_size)))
+def part_count(vectors: int, sample: int) -> int:
+    """How many parts ``vectors`` are dealt to, ``sample`` of them being learned from."""
+    return max(1, min(round(vectors**0.5 / 2), min(vectors, sample) // 8))
 
 
 def probes_needed(router: Router, stored, asked, recall: float, k: int = 5) -> int:
@@ -125,16 +128,14 @@ def probes_needed(router: Router, stored, asked, recall: float, k: int = 5) -> i
     return int(np.argmax(shares >= recall)) + 1
 
 
-def fit(distinct: DataFrame, parts: int, sample: int = 8000, recall: float = 0.96, graph_k: int = 10) -> tuple[Router, int] | None:
+def fit(distinct: DataFrame, parts: int, sample: int = 8000, recall: float = 0.96, graph_k: int = 10) -> tuple[Router, int]:
     """(router, parts to visit), from at most ``sample`` distinct vectors: those of smallest hash."""
     rows = distinct.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(sample).select("vector").collect()
-    if parts == 1 or len(rows) <= 20 * graph_k:
-        return None
     x = np.array([r[0] for r in rows], np.float32)
     x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-    asked, x = x[: len(x) // 10], x[len(x) // 10 :]
-    parts = min(parts, len(x) // 8)
-    graph = neighbour_graph(x, graph_k)
+    asked, x = (x[: len(x) // 10], x[len(x) // 10 :]) if len(x) >= 20 else (x, x)
+    parts = max(1, min(parts, len(x)))
+    graph = neighbour_graph(x, min(graph_k, len(x) - 1)) if len(x) > 1 else np.zeros((1, 1), np.int64)
     router = train_router(x, graph, balanced_parts(x, graph, parts), parts)
     return router, probes_needed(router, x, asked, recall)
 
@@ -154,14 +155,15 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).where(~bad & some).select(F.col(id_col).alias("vec_id"), v.alias("vector"))
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.96, part_size: int = 1000, sample: int = 8000, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.96, sample: int = 8000, block: int = 8192, notes: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row whose id ``every`` divides.
 
-    Queries visit the most probable parts, as many as promise ``recall``.  Vectors of unequal
-    length never meet.  Candidates of a part are searched in blocks of at most ``block`` vectors,
-    each with the queries that visit the part.  A score is recomputed from the original vectors.
-    Repeated ids are candidates like others, but for the query's own id; rows that repeat an id and
-    its vector are one, and of unequal vectors of a query's id the smallest of each length asks.
+    Queries visit the most probable parts, as many as promise ``recall`` and hold more than ``k``
+    candidates.  Vectors of unequal length never meet.  Candidates and queries of a part meet in
+    blocks of about ``block`` of each, so a task's size is bounded whatever the table's.  A score is
+    recomputed from the original vectors.  A query's own row is no candidate; another row of its id
+    is.  Rows that repeat an id and its vector are one, and of unequal vectors of a query's id the
+    smallest of each length asks.  ``notes`` takes (vectors, parts, parts visited) by length.
     """
     good = materialise(usable(vectors), "ann-vectors")
     keyed = good.select("vec_id", "vector", F.size("vector").alias("dims"), F.xxhash64("vector").alias("h")).distinct()
@@ -169,9 +171,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.96
     few = keyed.withColumn("n", F.row_number().over(low)).where(F.col("n") <= k + 1)
     distinct = materialise(few.groupBy("h", "vector", "dims").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-distinct")
     by_dims = {r["dims"]: r["count"] for r in distinct.groupBy("dims").count().collect()}
-    found = None
+    found, notes = None, {} if notes is None else notes
     for dims, count in sorted(by_dims.items()):
-        one = _search(distinct.where(F.col("dims") == dims), good.where(F.size("vector") == dims), count, every, k, recall, part_size, sample, block)
+        one, notes[dims] = _search(distinct.where(F.col("dims") == dims), good.where(F.size("vector") == dims), count, every, k, recall, sample, block)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -180,37 +182,47 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.96
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(distinct, good, count, every, k, recall, part_size, sample, block):
-    parts = part_count(count, part_size)
-    router, visit = fit(distinct, parts, sample, recall) or (None, 1)
-    router = distinct.sparkSession.sparkContext.broadcast(router)
+def _search(distinct, good, count, every, k, recall, sample, block):
+    parts = part_count(count, sample)
+    router, visit = fit(distinct, parts, sample, recall)
+    told = distinct.sparkSession.sparkContext.broadcast(router)
 
-    def route(batches, most):
+    def route(batches, held):
+        """The best part of each vector, or with the parts' numbers of candidates those that a query visits."""
         import pyarrow as pa
 
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            if router.value is None:
-                order = np.zeros((n, 1), np.int32)
+            x = np.asarray(batch.column("vector").flatten(), np.float64).reshape(n, -1)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            scores = told.value.scores(x.astype(np.float32))
+            if held is None:
+                chosen = scores.argmax(axis=1)[:, None].tolist()
             else:
-                x = np.asarray(batch.column("vector").flatten(), np.float64).reshape(n, -1)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                order = np.argsort(-router.value.scores(x.astype(np.float32)), axis=1, kind="stable")[:, :most].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
+                order = np.argsort(-scores, axis=1, kind="stable")
+                enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+                chosen = [o[: max(visit, e)] for o, e in zip(order.tolist(), enough.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
 
     kind = distinct.schema["vector"].dataType.simpleString()
-    placed = distinct.select("ids", "vector").mapInArrow(lambda b: route(b, 1), f"ids array<bigint>, vector {kind}, parts array<int>")
+    placed = distinct.select("ids", "vector").mapInArrow(lambda b: route(b, None), f"ids array<bigint>, vector {kind}, parts array<int>")
     placed = materialise(placed.select("ids", "vector", F.col("parts")[0].alias("part")), "ann-placed")
-    # Part sizes, at most `width` rows: how many blocks each part's candidates are dealt into.
-    blocks = {r["part"]: -(-r["count"] // block) for r in placed.groupBy("part").count().collect()}
-    lengths = F.create_map(*[F.lit(x) for p, n in sorted(blocks.items()) for x in (p, n)])
+    held = np.zeros(len(router.b2), np.int64)
+    for part, ids in placed.groupBy("part").agg(F.sum(F.size("ids"))).collect():  # as many rows as parts
+        held[part] = ids
     queries = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = queries.mapInArrow(lambda b: route(b, visit), f"vec_id bigint, vector {kind}, parts array<int>")
-    asked = asked.select("vec_id", "vector", F.explode("parts").alias("part"))
-    asked = asked.where(lengths[F.col("part")].isNotNull()).select("vec_id", "vector", "part", F.explode(F.sequence(F.lit(0), lengths[F.col("part")] - 1)).alias("block"))
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("vector"), lengths[F.col("part")]).cast("int"))
+    asked = queries.mapInArrow(lambda b: route(b, held), f"vec_id bigint, vector {kind}, parts array<int>")
+    asked = materialise(asked.select("vec_id", "vector", F.explode("parts").alias("part")), "ann-asked")
+
+    # How many blocks each part's candidates and queries are dealt to: a row for each part.
+    counted = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = F.broadcast(counted(placed, "of_c").join(counted(asked, "of_q"), "part"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.join(blocks, "part").select("ids", "vector", "part", own("vector", "of_c").alias("c"), each("of_q").alias("q"))
+    right = asked.join(blocks, "part").select("vec_id", "vector", "part", each("of_c").alias("c"), own("vec_id", "of_q").alias("q"))
 
     def near(left, right):
         import pandas as pd
@@ -230,9 +242,11 @@ def _search(distinct, good, count, every, k, recall, part_size, sample, block):
                 for row, name in enumerate(names[at : at + 512]):
                     near_by = np.flatnonzero(rough[row] >= limit[row])
                     score = exact_cosines(q[row], c[near_by])
-                    best = sorted((-s, int(i)) for s, j in zip(score.tolist(), near_by.tolist()) for i in ids[j] if i != name)[:k]
+                    same = (c[near_by] == q[row]).all(axis=1)
+                    rows = zip(score.tolist(), same.tolist(), near_by.tolist())
+                    best = sorted((-s, int(i)) for s, equal, j in rows for i in ids[j] if not (equal and i == name))[:k]
                     out += [(name, i, -s) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    grouped = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block"))
-    return grouped.applyInPandas(near, "query_id bigint, vec_id bigint, score double")
+    grouped = left.groupBy("part", "c", "q").cogroup(right.groupBy("part", "c", "q"))
+    return grouped.applyInPandas(near, "query_id bigint, vec_id bigint, score double"), (count, len(router.b2), visit)

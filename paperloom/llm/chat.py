@@ -16,7 +16,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import count, groupby
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -138,13 +138,15 @@ def format_conversations(messages: DataFrame, parts_col: str | None = None) -> D
 
     ``parts_col`` names a column of JSON lists of parts; without it, text is one text part (null:
     empty).  Rows are ordered by turn, nulls first, then role and text, so ties and repeated rows
-    have one order.  A null conv_id is a conversation like any other.  Rows are sorted within
-    partitions and streamed: one conversation is held at a time, not a group of them.
+    have one order.  A row without a conv_id belongs to no other: it is a conversation of one turn.
+    Rows are sorted within partitions and streamed: one conversation is held at a time, not a group
+    of them.  Other columns aren't read.
     """
     kind = messages.schema["conv_id"].dataType.simpleString()
     content = F.col(parts_col) if parts_col else F.coalesce("text", F.lit(""))
     slim = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", content.alias("content"))
-    rows = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "content")
+    apart = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "content"))  # spreads what has no conversation
+    rows = slim.withColumn("apart", apart).repartition("conv_id", "apart").sortWithinPartitions("conv_id", "turn", "role", "content")
 
     def run(batches):
         import pyarrow as pa
@@ -160,7 +162,8 @@ def format_conversations(messages: DataFrame, parts_col: str | None = None) -> D
                 yield from zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "content")))
 
         def made() -> Iterator[tuple]:
-            for conv, turns in groupby(read(), key=lambda r: r[0]):
+            alone = count()
+            for (conv, _), turns in groupby(read(), key=lambda r: (r[0], next(alone) if r[0] is None else None)):
                 text, spans, held = format_turns((role, parts(content)) for _, role, content in turns)
                 listed = json.dumps([a.__dict__ for a in held])
                 yield conv, text, [a for a, _ in spans], [b for _, b in spans], listed, sum(a.tokens for a in held)

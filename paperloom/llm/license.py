@@ -1,8 +1,9 @@
 """Licence scan: Aho-Corasick phrases and identifier tags, licence expressions by shunting yard.
 
 A text is reduced to its words (A-Z lower-cased, every run of digits, letters and non-ASCII
-characters) joined by blanks, and one automaton finds all phrases in one pass.  Where the tag
-``spdx-license-identifier`` occurs, the expression after it is parsed with the precedence
+characters) joined by blanks, and one automaton finds all phrases in one pass.  Where it finds the tag
+``SPDX-License-Identifier`` and the text has it in that spelling (but for case), with a colon, the
+expression after it is parsed with the precedence
 ``with`` > ``and`` > ``or`` and evaluated: ``and`` is as strict as its stricter side, ``or`` as its
 milder one, ``with`` lets an exception soften a strong copyleft.
 """
@@ -44,6 +45,7 @@ STRICTNESS = {
 OBLIGATION = ("permissive", "weak-copyleft", "strong-copyleft", "restricted")
 TAG = "spdx license identifier"
 TAG_RAW = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
+RUN = re.compile(rb"[^ ]+")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 ORDER = {"or": 1, "and": 2, "with": 3}
 
@@ -144,7 +146,7 @@ def scan(raw: bytes | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, obligation, n_tags, bad_tags)."""
     words = (raw or b"").translate(_TABLE).split()
     line = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
-    base, labels, starts, level, tags = set(), set(), [], None, False
+    base, labels, starts, level, tags = set(), set(), [], None, []
     for end, (phrase, label, is_base) in _phrases().iter(line) if words else ():
         start = end - len(phrase) - 1
         if is_base:
@@ -154,10 +156,12 @@ def scan(raw: bytes | None) -> tuple:
             labels.add(label)
             level = max(level or 0, strictness(label))
         else:
-            tags = True
+            tags.append(line.count(" ", 0, start))
     n_tags = bad = 0
     if tags:
-        for m in TAG_RAW.finditer(raw.lower()):
+        low, wanted = raw.lower(), set(tags)
+        spelled = (TAG_RAW.match(low, m.start()) for n, m in enumerate(RUN.finditer(raw.translate(_TABLE))) if n in wanted)
+        for m in filter(None, spelled):
             n_tags += 1
             try:
                 names, strict = evaluate(m[1].decode("utf-8", "replace"))

@@ -82,7 +82,7 @@ for _c in chat.CONTROLS:
 ORACLE_SQL = {
     "op7_chat": f"""
         WITH rows AS (
-            SELECT conv_id, turn, role, coalesce(text, '') AS text, length({_ESCAPED}) AS n FROM (
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, role, coalesce(text, '') AS text, length({_ESCAPED}) AS n FROM (
                 SELECT conv_id, turn, role, text FROM conversations
                 UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}'))
         SELECT conv_id, count(*) AS n_turns,
@@ -90,7 +90,7 @@ ORACLE_SQL = {
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE length(role) + 24 END)::BIGINT AS formatted_chars
-        FROM rows GROUP BY conv_id""",
+        FROM rows GROUP BY conv_id, alone""",
     "op8_warc": """
         WITH hashed AS (
             SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),

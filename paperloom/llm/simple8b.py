@@ -215,14 +215,16 @@ def read_ids(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, read back from the files listed.
 
     ``start`` counts the ids of all documents before it; it is the file's start, from a running sum
-    over the table of files, plus the document's place there.
+    over the partitions that wrote files and within each, plus the document's place there.
     """
     spark = files.sparkSession
     head = files.select("folder").first()
     if head is None:
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids binary")
-    before = Window.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each partition that wrote files; a partition's own files add up within it.
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("skip"))
+    placed = files.select("file", "part", before(Window.partitionBy("part").orderBy("seq")).alias("within")).join(parts, "part").select("file", (F.col("skip") + F.col("within")).alias("base"))
     raw = spark.read.format("binaryFile").load(head["folder"]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     joined = raw.join(F.broadcast(placed) if _few(files) else placed, "file")
 

@@ -82,7 +82,8 @@ class PieceEncoder:
         else:
 
             def look(piece, held=self.cache.get, more=found):
-                return held(piece) or more[piece]
+                ids = held(piece)
+                return more[piece] if ids is None else ids
 
         return [b"" if not t else self._whole([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, cut)]
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import arrow_batches, fresh_path, materialise, put_file
+from .shared import arrow_batches, fresh_path, materialise, numbered, put_file
 
 DICT_MAGIC = 0x184D2A5D
 SKIP_MAGICS = range(0x184D2A50, 0x184D2A60)
@@ -137,8 +137,35 @@ def write_archive(records: list[bytes], dictionary_size: int = 1 << 14, sample_b
     return b"".join((struct.pack("<II", DICT_MAGIC, len(stored)), stored, *map(made.compress, records)))
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the frame that starts at ``at`` ends, from its header and the headers of its blocks."""
+    import zstandard as zstd
+
+    try:
+        checked = zstd.get_frame_parameters(data[at : at + 18]).has_checksum
+        at += zstd.frame_header_size(data[at : at + 18])
+    except (zstd.ZstdError, ValueError) as e:
+        raise WarcError(f"a damaged frame: {e}") from e
+    last = False
+    while not last:
+        if at + 3 > len(data):
+            raise WarcError("the last frame is cut short")
+        head = int.from_bytes(data[at : at + 3], "little")
+        last, kind, size = head & 1, head >> 1 & 3, head >> 3
+        if kind == 3:
+            raise WarcError("a damaged frame: a block of reserved kind")
+        at += 3 + (1 if kind == 1 else size)  # a run stores one byte
+    at += 4 * checked
+    if at > len(data):
+        raise WarcError("the last frame is cut short")
+    return at
+
+
 def read_archive(data: bytes) -> Iterator[Record]:
-    """The records of an archive, one frame each; WarcError where it is cut short or damaged."""
+    """The records of an archive, one frame each; WarcError where it is cut short or damaged.
+
+    Each frame's end is found first and each is decompressed once, so time grows with the archive.
+    """
     import zstandard as zstd
 
     if len(data) < 8:
@@ -149,36 +176,46 @@ def read_archive(data: bytes) -> Iterator[Record]:
     stored = data[8 : 8 + size]
     raw = zstd.ZstdDecompressor().decompress(stored) if stored[:4] == b"\x28\xb5\x2f\xfd" else stored
     reader = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(raw) if raw else None)
-    rest = memoryview(data)[8 + size :]
-    while len(rest):
-        if len(rest) >= 8 and struct.unpack_from("<I", rest)[0] in SKIP_MAGICS:
-            rest = rest[8 + struct.unpack_from("<I", rest, 4)[0] :]
+    whole, at = memoryview(data), 8 + size
+    while at < len(whole):
+        if len(whole) - at >= 8 and struct.unpack_from("<I", whole, at)[0] in SKIP_MAGICS:
+            at += 8 + struct.unpack_from("<I", whole, at + 4)[0]
+            if at > len(whole):
+                raise WarcError("a skippable frame is cut short")
             continue
+        end = frame_end(whole, at)
         frame = reader.decompressobj()
         try:
-            out = frame.decompress(rest)
+            out = frame.decompress(whole[at:end])
         except zstd.ZstdError as e:
             raise WarcError(f"a damaged frame: {e}") from e
         if not frame.eof:
             raise WarcError("the last frame is cut short")
-        rest = rest[len(rest) - len(frame.unused_data) :] if frame.unused_data else rest[:0]
+        at = end
         yield parse_record(out)
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with size, sha1 and refers_to (null: a response).
+    """(page_id, url, payload, sha1, size, refers_to) of ``pages`` (page_id, url, html); refers_to is null for a response.
+
+    Equal payloads are those of equal length, SHA-1 and SHA-256; payloads under ``min_bytes`` are
+    all responses.  Null html is empty.  Rows that repeat the smallest page_id of their payload are
+    responses too, as are rows without a page_id.  Other columns aren't read.
 
-    Equal payloads are told by SHA-1; payloads under ``min_bytes`` are all responses.  Null html is
-    empty.  Rows that repeat the smallest page_id of their payload are responses too, as are rows
-    without a page_id.
-    The first page of each payload is found by a pre-aggregated minimum.
+    Payloads are compared on a table of digests.  The first page of each payload is a pre-aggregated
+    minimum, and only rows that differ from it come back to the pages, by their place in the input,
+    so no task gets the payloads of a page that very many repeat.
     """
-    told = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    told = told.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
-    slim = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("p"))
-    firsts = slim.where(F.octet_length("p") >= min_bytes).groupBy(F.unhex(F.sha1("p")).alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = told.join(firsts, told.sha1 == firsts.d, "left")
-    return joined.select("page_id", "url", "payload", "sha1", "size", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    rows, file, at = numbered(pages)
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    told = rows.select(F.col(file).alias("file"), F.col(at).alias("at"), "page_id", "url", payload.alias("payload"))
+    size = F.octet_length("payload").cast("long")
+    key = ["sha1", "sha256", "size"]
+    slim = told.where(size >= min_bytes).select("file", "at", "page_id", F.unhex(F.sha1("payload")).alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("sha256"), size.alias("size"))
+    slim = materialise(slim, "warc-digests")
+    firsts = slim.groupBy(*key).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = materialise(slim.join(firsts, key).where("page_id > first").select("file", "at", F.col("first").alias("refers_to")), "warc-revisits")
+    return told.join(again, ["file", "at"], "left").select("page_id", "url", "payload", F.unhex(F.sha1("payload")).alias("sha1"), size.alias("size"), "refers_to")
 
 
 def write_warcs(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = 16 << 20) -> DataFrame:

@@ -191,6 +191,15 @@ def test_license_bad_expressions(text):
     assert row[-2:] == (1, 1)
 
 
+def test_tags_count_where_they_are_spelled():
+    tag = "SPDX-License-Identifier: MIT"
+    assert license.scan(tag.encode())[8:] == (1, 0) and license.scan(f"x {tag}\n// spdx-license-identifier:Apache-2.0".encode())[8:] == (2, 0)
+    # Neither counts, whatever other tags a text has.
+    for other in ("xSPDX-License-Identifier: GPL-2.0", "SPDX License Identifier: GPL-2.0", "SPDX-License-Identifier GPL-2.0"):
+        assert license.scan(other.encode())[8:] == (0, 0)
+        assert license.scan(f"é {other}\n{tag}".encode())[5] == "mit"
+
+
 # --- quality
 
 
