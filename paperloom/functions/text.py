@@ -16,6 +16,7 @@ LATIN_EXCEPTIONS = {
     "ð": "dh", "Ð": "Dh", "þ": "th", "Þ": "Th", "đ": "d", "Đ": "D", "ƒ": "f", "Ƒ": "F", "ħ": "h", "Ħ": "H", "ł": "l", "Ł": "L",
     "ŧ": "t", "Ŧ": "T", "µ": "u",
 }
+#: Cyrillic letters.
 CYRILLIC = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "j", "к": "k", "л": "l",
     "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "c", "ч": "ch", "ш": "sh",
@@ -95,6 +96,11 @@ def same_title(document: Column, catalogue: Column) -> Column:
     return bare(F.btrim(F.upper(document), F.lit("*"))) == bare(single_spaces(catalogue))
 
 
+def without_line_breaks(c: Column) -> Column:
+    """Without TeX's forced line breaks, two backslashes."""
+    return F.replace(c, F.lit("\\\\"), F.lit(""))
+
+
 def upper_ratio_ok(c: Column, least: float = 0.7) -> Column:
     """Whether more than ``least`` of the letters are capitals; without letters, no."""
     letters = F.regexp_count(c, F.lit(r"\p{L}"))
@@ -113,28 +119,3 @@ def paper_code(c: Column) -> Column:
 def event_number(c: Column) -> Column:
     """What follows the last hyphen of an event's name."""
     return F.element_at(F.split(c, "-", -1), -1)
-
-
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,text>> of a pattern's matches, half-open, in code points.
-
-    The text is split at the matches, and the lengths of what lies between add up to the places.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-
-    def step(acc, row):
-        begin = acc["at"] + row["gap"]
-        end = begin + F.char_length(row["m"])
-        item = F.struct(begin.alias("start"), end.alias("end"), row["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
-
-
-def first_span(text: Column, pattern: str) -> Column:
-    """struct<start,end> of the first match, or null; for patterns without lookaround."""
-    m = F.regexp_extract(text, pattern, 0)
-    start = F.instr(text, m) - 1
-    return F.when(F.rlike(text, F.lit(pattern)), F.struct(start.alias("start"), (start + F.char_length(m)).alias("end")))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paperloom.functions.text import NBSP, single_spaces, strip
 from paperloom.functions.titlecase import is_title_case
 
+#: The patterns of captions and references.
 FIGURE_CAPTION = r"(?U)^Figure \d+[.:]"
 FIGURE_WRONG = r"(?U)^Fig.\s?\d+|^Figure\s?\d+[.\s]+"
 FIGURE_REFERENCE = r"(?U)Fig.\s?\d+|Figure\s?\d+[.\-\s]+"

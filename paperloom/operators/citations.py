@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: The patterns of citations and list entries, what URLs start with, and their font.
 CITATION = r"(?U)(?<!^)\[([\d ,-]+)\]"
 LIST_ITEM = r"(?U)^\[(\d+)\]"
 LIST_ITEM_TAB = r"(?U)^\[(\d+)\]\t"
-MOST_RANGE = 10_000
 URL_STARTS = ("doi:", "http://www.", "http://", "https://", "www.")
 URL_FONT = ("Liberation Mono", 8.0)
 
@@ -17,11 +17,13 @@ def bracket_groups(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
 
 
-def expand_group(group: Column) -> Column:
+def expand_group(group: Column, highest: Column | None = None) -> Column:
     """array<int> of a bracket's numbers, or null if it is malformed.
 
     ``a-b`` is an inclusive range and ``a-b-c`` counts from a in steps of c + 2 below b + 1; blank
-    parts of a comma list are skipped.  A range of more than ``MOST_RANGE`` numbers is malformed.
+    parts of a comma list are skipped.  Ranges end at ``highest`` where it is given: what is checked
+    goes by an entry's place in the list, and no number beyond the list's length bears on that, so a
+    bound of at least that length changes no result and keeps absurd ranges short.
     """
     number = r"(?U)^\s*\d+\s*$"
 
@@ -29,9 +31,9 @@ def expand_group(group: Column) -> Column:
         ends = F.transform(F.split(p, "-", -1), lambda x: F.when(F.rlike(x, F.lit(number)), F.trim(x).try_cast("int")))
         low, high = F.try_element_at(ends, F.lit(1)), F.try_element_at(ends, F.lit(2))
         step = F.when(F.size(ends) == 3, F.try_element_at(ends, F.lit(3)) + 2).otherwise(F.lit(1))
-        count = (high - low) / step
+        last = high if highest is None else F.least(high, highest)
         empty = F.array().cast("array<int>")
-        series = F.when(low > high, empty).when(count <= MOST_RANGE, F.sequence(F.when(low <= high, low).otherwise(high), high, step))
+        series = F.when(low > last, empty).when(low <= last, F.sequence(F.least(low, last), last, step))
         return F.when(F.size(ends) == 1, F.when(low.isNotNull(), F.array(low))).when(F.size(ends) <= 3, F.when(F.exists(ends, lambda e: e.isNull()), None).otherwise(series))
 
     parts = F.transform(F.filter(F.split(group, ",", -1), lambda p: F.rlike(p, F.lit(r"(?U)\S"))), part)

@@ -1,7 +1,7 @@
 """Titles and authors against the catalogue.
 
-The greedy one-to-one matching of two author lists is two joins: equal comparison values pair off
-in order (k-th with k-th), and what is left pairs off by transliterated first initial and surname.
+The greedy one-to-one matching of two author lists is two rounds of pairing by rank: equal comparison
+values pair off in order (k-th with k-th), and what is left by transliterated first initial and surname.
 """
 
 from __future__ import annotations
@@ -11,49 +11,53 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paperloom.functions.text import first_and_last, normal_name, same_title, transliterate
 
 
-def _compared(names: DataFrame, side: str) -> DataFrame:
-    kept = names.where(F.col("name").isNotNull())
-    value = normal_name(F.col("name"))
-    return kept.select("doc_id", F.col("pos").alias(f"{side}_pos"), F.col("name").alias(side), value.alias("value"), transliterate(first_and_last(value)).alias("loose"))
-
-
 def match_authors(document: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(doc_id, document, catalogue, verdict, ord) from two tables (doc_id, pos, name).
 
     ``verdict``: ok for equal names, unknown for a loose match, fail for a name left over.
     ``ord`` sorts exact pairs, loose pairs, the catalogue's left-overs, then the document's.
-    Both joins and all ranks share the partitioning by doc_id; null names take no part.
+    Null names take no part.  Both lists are shuffled once, by doc_id; every rank and pairing is a
+    window or group within that partitioning.
     """
-    d, c = _compared(document, "document"), _compared(catalogue, "catalogue")
-
-    def ranked(df: DataFrame, key: str, pos: str) -> DataFrame:
-        return df.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(pos)))
-
-    on = ["doc_id", "value", "k"]
-    first = ranked(d, "value", "document_pos").withColumnRenamed("loose", "d_loose").join(ranked(c, "value", "catalogue_pos").withColumnRenamed("loose", "c_loose"), on, "full")
-    paired = F.col("document").isNotNull() & F.col("catalogue").isNotNull()
-    exact = first.where(paired).select("doc_id", "document", "catalogue", F.lit("ok").alias("verdict"), F.lit(1).alias("step"), F.col("catalogue_pos").alias("pos"))
-    left = first.where(F.col("catalogue").isNull()).select("doc_id", "document_pos", "document", F.col("d_loose").alias("loose"))
-    right = first.where(F.col("document").isNull()).select("doc_id", "catalogue_pos", "catalogue", F.col("c_loose").alias("loose"))
-    second = ranked(left, "loose", "document_pos").join(ranked(right, "loose", "catalogue_pos"), ["doc_id", "loose", "k"], "full")
-    rest = second.select(
-        "doc_id", F.coalesce("document", F.lit("")).alias("document"), F.coalesce("catalogue", F.lit("")).alias("catalogue"),
-        F.when(paired, "unknown").otherwise("fail").alias("verdict"),
-        F.when(paired, 2).when(F.col("catalogue").isNotNull(), 3).otherwise(4).alias("step"), F.coalesce("catalogue_pos", "document_pos").alias("pos"),
-    )
-    order = Window.partitionBy("doc_id").orderBy("step", "pos")
-    return exact.unionByName(rest).withColumn("ord", F.row_number().over(order)).drop("step", "pos")
-
-
-def bibliography(reference: DataFrame, author_reference: DataFrame, author: DataFrame) -> DataFrame:
-    """(paper_id, title, authors): the catalogue's papers; of rows that share a paper the last title counts.
+
+    def compared(names: DataFrame, side: int) -> DataFrame:
+        value = normal_name(F.col("name"))
+        return names.where(F.col("name").isNotNull()).select("doc_id", F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), "name", value.alias("value"), transliterate(first_and_last(value)).alias("loose"))
+
+    by = Window.partitionBy
+    # The k-th name of a side pairs off with the k-th of the other, and a pair is two rows of a class.
+    both = compared(document, 0).unionByName(compared(catalogue, 1)).repartition("doc_id")
+    ranked = both.withColumn("place", F.row_number().over(by("doc_id", "side").orderBy("pos")))
+    ranked = ranked.withColumn("k", F.row_number().over(by("doc_id", "value", "side").orderBy("pos")))
+    ranked = ranked.withColumn("exact", F.count("*").over(by("doc_id", "value", "k")) == 2)
+    ranked = ranked.withColumn("j", F.when(~F.col("exact"), F.row_number().over(by("doc_id", "loose", "exact", "side").orderBy("pos"))))
+    ranked = ranked.withColumn("near", ~F.col("exact") & (F.count("*").over(by("doc_id", "loose", "exact", "j")) == 2))
+    class_of = lambda step, name, n: F.struct(step.alias("step"), name.alias("name"), n.alias("n"))
+    alone = class_of(F.when(F.col("side") == 1, 3).otherwise(4), F.lit(""), F.col("place"))
+    group = F.when(F.col("exact"), class_of(F.lit(1), F.col("value"), F.col("k"))).when(F.col("near"), class_of(F.lit(2), F.col("loose"), F.col("j"))).otherwise(alone)
+    side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
+    pairs = ranked.groupBy("doc_id", group.alias("g")).agg(
+        F.coalesce(side(0, "name"), F.lit("")).alias("document"), F.coalesce(side(1, "name"), F.lit("")).alias("catalogue"), F.coalesce(side(1, "pos"), side(0, "pos")).alias("pos")
+    )
+    verdict = F.when(F.col("g.step") == 1, "ok").when(F.col("g.step") == 2, "unknown").otherwise("fail")
+    order = F.row_number().over(by("doc_id").orderBy("g.step", "pos"))
+    return pairs.select("doc_id", "document", "catalogue", verdict.alias("verdict"), order.alias("ord"))
+
+
+def bibliography(reference: DataFrame, author_reference: DataFrame, author: DataFrame, keys: tuple[str, ...] = ("paper_id", "conference_id")) -> DataFrame:
+    """(keys, title, authors): the catalogue's papers by ``keys``; of rows that share a paper the last title counts.
 
     Papers without authors keep an empty list; null names drop out of it.
     """
     joined = reference.join(author_reference, reference.id == author_reference.reference_id, "left").join(author, author_reference.author_id == author.id, "left")
-    rows = joined.select("paper_id", reference.id.alias("rid"), "title", author.id.alias("aid"), "name")
+    rows = joined.select(*(reference[k] for k in keys), reference.id.alias("rid"), "title", author.id.alias("aid"), "name")
     names = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("rid", "aid", "name"))))
-    return rows.groupBy("paper_id").agg(F.max_by("title", "rid").alias("title"), F.transform(names, lambda x: x["name"]).alias("authors"))
+    return rows.groupBy(*keys).agg(F.max_by("title", "rid").alias("title"), F.transform(names, lambda x: x["name"]).alias("authors"))
+
+
+def lookup(catalogue: DataFrame, paper_id: str, conference_id) -> DataFrame:
+    """The one paper of a conference; both keys reach the scan where the catalogue is a table."""
+    return catalogue.where((F.col("paper_id") == paper_id) & (F.col("conference_id") == conference_id))
 
 
 def title_verdict(document: Column, catalogue: Column) -> Column:

@@ -72,6 +72,23 @@ def latex_comment(body: Column, site: str) -> Column:
     return F.when(body != NO_ISSUES, F.concat(F.lit("The references have been checked:\n\n"), body, F.lit(f"\n\n[How references are checked]({site})")))
 
 
+def comments(results: DataFrame, site: str) -> DataFrame:
+    """(event_id, contribution_id, revision_id, text): what to post about checked papers (kind, key, body); none for a LaTeX paper without issues."""
+    text = F.when(F.col("kind") == "word", word_comment(F.col("key"), site)).when(F.col("kind") == "latex", latex_comment(F.col("body"), site))
+    return results.select("event_id", "contribution_id", "revision_id", text.alias("text")).where("text is not null")
+
+
+def put_reports(reports: DataFrame, path: str) -> None:
+    """Write reports (key, report) as text under ``path``/key=<key>; equal reports are one file's rows."""
+    reports.select("key", "report").distinct().write.mode("append").partitionBy("key").text(path)
+
+
+def get_reports(spark, path: str, keys: list[str] | None = None) -> DataFrame:
+    """(key, report) of stored reports; with ``keys`` only their folders are read, and an unknown key has no row."""
+    stored = spark.read.schema("value string, key string").option("wholetext", True).text(path).select("key", F.col("value").alias("report")).distinct()
+    return stored if keys is None else stored.where(F.col("key").isin(*keys))
+
+
 def expired(objects: DataFrame, now, minutes: int = 5) -> DataFrame:
     """Objects (path, modificationTime) older than ``minutes`` at ``now``."""
     return objects.where(F.col("modificationTime") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(minutes)} MINUTES"))

@@ -24,7 +24,7 @@ def pick_revision(revisions: Column, wanted: Column) -> Column:
 
 
 def _has(files: Column, suffix: str, types: tuple[int, ...] | None = None) -> Column:
-    fits = lambda f: F.endswith(f["filename"], F.lit(suffix)) & (f["file_type"].isin(*types) if types else F.lit(True))
+    fits = lambda f: F.endswith(F.lower(f["filename"]), F.lit(suffix)) & (f["file_type"].isin(*types) if types else F.lit(True))
     return F.coalesce(F.exists(files, fits), F.lit(False))
 
 
@@ -36,6 +36,16 @@ def paper_type(files: Column, mode: str = "finder") -> Column:
     return F.when(word, "word").when(tex & bib, "bibtex").when(tex, "latex").otherwise("unknown")
 
 
+def paper_file(files: Column, mode: str = "finder") -> Column:
+    """The file that ``paper_type`` goes by: the first Word file, else the first LaTeX source, else null."""
+
+    def first(suffix: str, types: tuple[int, ...] | None) -> Column:
+        fits = lambda f: F.endswith(F.lower(f["filename"]), F.lit(suffix)) & (f["file_type"].isin(*types) if types else F.lit(True))
+        return F.try_element_at(F.filter(files, fits), F.lit(1))
+
+    return F.coalesce(first(".docx", SOURCE_TYPES if mode == "worker" else None), first(".tex", SOURCE_TYPES))
+
+
 def first_docx(files: Column) -> Column:
     """The first file whose name ends in ``.docx``, in small letters."""
     return F.try_element_at(F.filter(files, lambda f: F.endswith(f["filename"], F.lit(".docx"))), F.lit(1))
@@ -48,8 +58,10 @@ def commented_by(comments: Column, user_id) -> Column:
 
 def reject_reason(n: DataFrame) -> Column:
     """Why a notification (action, contrib_id, editable_type, event, revision_id) isn't queued, or null."""
+    fields = ("action", "contrib_id", "editable_type", "event", "revision_id")
     return (
-        F.when(F.col("event").isNull(), "event missing")
+        F.when(F.greatest(*(F.col(c).isNotNull() for c in fields)) == F.lit(False), "payload missing")
+        .when(F.col("event").isNull(), "event missing")
         .when(F.col("contrib_id").isNull(), "contrib_id missing")
         .when(F.col("action").isNull(), "action missing")
         .when(F.col("editable_type").isNull(), "editable_type missing")
@@ -83,6 +95,18 @@ def discover(contributions: DataFrame, queued: DataFrame, cached: DataFrame, bot
     return told.withColumn("route", route)
 
 
+def cache_rows(discovered: DataFrame, now) -> DataFrame:
+    """Rows of the paper-type cache for what ``discover`` routes there, so that it isn't fetched again."""
+    found = discovered.where("route = 'cache'")
+    return found.select("event_id", "contribution_id", F.lit("unknown").alias("paper_type"), F.lit(now).cast("timestamp").alias("checked"))
+
+
+def discovery_counts(discovered: DataFrame) -> DataFrame:
+    """(event_id, queue_items, cached_items, passed_over): how a discovery run went, per event."""
+    n = lambda route: F.count_if(F.col("route") == route)
+    return discovered.groupBy("event_id").agg(n("queue").alias("queue_items"), n("cache").alias("cached_items"), n("none").alias("passed_over"))
+
+
 def dispatch(kind: Column, editor_revision: Column) -> Column:
     """Which check a queued item goes to, or why none."""
     return F.when(F.coalesce(editor_revision, F.lit(False)), "editor revision").when(kind == "word", "word").when(kind == "latex", "latex").otherwise("Unknown file type")

@@ -26,11 +26,6 @@ def flag(ok: Column) -> Column:
     return F.when(ok, OK).when(~ok, FAIL)
 
 
-def all_true(ok: Column) -> Column:
-    """Aggregate: whether all hold; none do for an empty group, too."""
-    return F.coalesce(F.bool_and(ok), F.lit(True))
-
-
 def score(findings: DataFrame) -> DataFrame:
     """(doc_id, section, positive, unknown, negative) of findings (doc_id, section, verdict), and a row ``total``.
 
@@ -44,5 +39,26 @@ def score(findings: DataFrame) -> DataFrame:
     return out.select("doc_id", F.when(F.col("whole") == 1, "total").otherwise(F.col("section")).alias("section"), "positive", "unknown", "negative")
 
 
+#: Sections of a document's summary, in order, and the checks that don't count towards their verdict.
+SECTIONS = ("Title", "Authors", "Abstract", "Headings", "Paragraphs", "Figures", "Tables", "References", "Styles", "Margins", "Parsed Document")
+ASIDE = {"Title": "title_style_ok", "Authors": "title_style_ok", "Abstract": "title_style_ok", "Tables": "used_ok"}
+
+
+def section_summary(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, section, verdict) of every section of each document of ``docs`` (doc_id).
+
+    A section is in order if all of its checks are; a style that can't be told leaves it unknown.
+    Whether a table is referred to doesn't count, which is how the service has it.  A section without
+    findings is in order, but for the references: a paper without any fails.
+    """
+    counted = F.lit(True)
+    for section, check in ASIDE.items():
+        counted = counted & ~((F.col("section") == section) & (F.col("check_name") == check))
+    folded = findings.where(counted).groupBy("doc_id", "section").agg(fold(F.col("verdict")).alias("verdict"))
+    every = docs.select("doc_id", F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"))
+    none = F.when(F.col("section") == "References", FAIL).otherwise(OK)
+    return every.join(folded, ["doc_id", "section"], "left").select("doc_id", "section", F.coalesce("verdict", none).alias("verdict"))
+
+
 def section_verdicts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id", "section").agg(fold(F.col("verdict")).alias("verdict"))

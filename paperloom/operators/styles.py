@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .geometry import points
 
@@ -30,7 +30,10 @@ REQUIRED_STYLES = (
     "JACoW_Reference #10 onwards", "JACoW_Reference #1-9 when >= 10 Refs", "JACoW_Reference when <= 9 Refs", "JACoW_Reference Italics",
     "JACoW_Reference url_doi", "JACoW_Third-level Heading", "JACoW_Section Heading", "JACoW_Subsection Heading",
 )
-CAPTION_STYLES = ("Figure Caption", "Figure Caption Multi Line", "Table Caption", "Table Caption Multi Line", "Caption", "Caption Multi Line")
+CAPTION_STYLES = {
+    "figure": ("Figure Caption", "Figure Caption Multi Line", "Caption", "Caption Multi Line"),
+    "table": ("Table Caption", "Table Caption Multi Line", "Caption", "Caption Multi Line"),
+}
 TEMPLATE_STYLES = ("Body Text Indent", "Normal", "Caption", "Heading 3")
 LIST_STYLES = ("JACoW_Bulleted List", "JACoW_Numbered list", "Bulleted List", "Numbered list")
 HEADING_STYLES = {
@@ -52,7 +55,9 @@ def with_base(styles: DataFrame) -> DataFrame:
     """
     base = styles.select("doc_id", F.col("name").alias("base_name"), *(F.col(c).alias(f"b_{c}") for c in FORMAT + FONT))
     joined = styles.join(base, ["doc_id", "base_name"], "left")
-    return joined.select("doc_id", "name", "base_name", *(F.coalesce(c, f"b_{c}").alias(c) for c in FORMAT + FONT))
+    # A style raises its text to capitals if it or its base does, whatever the other says.
+    caps = F.coalesce("all_caps", F.lit(False)) | F.coalesce("b_all_caps", F.lit(False))
+    return joined.select("doc_id", "name", "base_name", *(F.coalesce(c, f"b_{c}").alias(c) for c in FORMAT + FONT), caps.alias("caps"))
 
 
 def run_fonts(runs: DataFrame, url_prefixes: tuple[str, ...] = ()) -> DataFrame:
@@ -68,26 +73,52 @@ def run_fonts(runs: DataFrame, url_prefixes: tuple[str, ...] = ()) -> DataFrame:
     return counted.groupBy("doc_id", "para_no").agg(*map(last, FONT))
 
 
+def both_fonts(runs: DataFrame, url_prefixes: tuple[str, ...]) -> DataFrame:
+    """``run_fonts`` of all runs, and beside it (as no_url_<attribute>) of those that start with no URL, from one pass."""
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    url = F.lit(False)
+    for prefix in url_prefixes:
+        url = url | F.startswith(text, F.lit(prefix))
+    last = lambda c, where: F.max_by(c, F.when(where & F.col(c).isNotNull(), F.col("run_no")))
+    return runs.where(F.char_length(text) > 0).groupBy("doc_id", "para_no").agg(*(last(c, F.lit(True)).alias(c) for c in FONT), *(last(c, ~url).alias(f"no_url_{c}") for c in FONT))
+
+
+def character_fonts(runs: DataFrame, styles: DataFrame) -> DataFrame:
+    """``runs`` with font_name and size_emu as their character style has them, else its base, else the run itself."""
+    s = with_base(styles).select("doc_id", F.col("name").alias("style_name"), F.col("font_name").alias("s_font"), F.col("size_emu").alias("s_size"))
+    joined = runs.join(s, ["doc_id", "style_name"], "left")
+    return joined.withColumns({"font_name": F.coalesce("s_font", "font_name"), "size_emu": F.coalesce("s_size", "size_emu")}).drop("s_font", "s_size")
+
+
 def resolve(paragraphs: DataFrame, styles: DataFrame, fonts: DataFrame) -> DataFrame:
     """``paragraphs`` with CHECKED attributes in points: own value, else the style's, else its base's.
 
+    Where ``fonts`` come from ``both_fonts``, no_url_<attribute> columns say what holds without URLs.
+    ``caps`` tells whether the style raises text to capitals.
+
     LEFT alignment counts as none; a first-line indent that is unset or zero is the hanging indent
     negated; a font that is nowhere set is 10 pt ``Times new Roman``.
     """
-    s = with_base(styles).select("doc_id", F.col("name").alias("style_name"), *(F.col(c).alias(f"s_{c}") for c in FORMAT + FONT))
-    f = fonts.select("doc_id", "para_no", *(F.col(c).alias(f"r_{c}") for c in FONT))
+    s = with_base(styles).select("doc_id", F.col("name").alias("style_name"), *(F.col(c).alias(f"s_{c}") for c in FORMAT + FONT), F.col("caps").alias("s_caps"))
+    more = [c for c in fonts.columns if c.startswith("no_url_")]
+    f = fonts.select("doc_id", "para_no", *(F.col(c).alias(f"r_{c}") for c in (*FONT, *more)))
     keep = [c for c in paragraphs.columns if c not in FORMAT]
     joined = paragraphs.join(s, ["doc_id", "style_name"], "left").join(f, ["doc_id", "para_no"], "left")
     own = {c: F.coalesce(F.col(c), F.col(f"s_{c}")) for c in FORMAT}
-    font = {c: F.coalesce(f"r_{c}", f"s_{c}") for c in FONT}
+    def shown(prefix: str = ""):
+        font = {c: F.coalesce(f"r_{prefix}{c}", f"s_{c}") for c in FONT}
+        return [
+            font["bold"].alias(f"{prefix}bold"), font["italic"].alias(f"{prefix}italic"), font["all_caps"].alias(f"{prefix}all_caps"),
+            F.coalesce(points(font["size_emu"]), F.lit(DEFAULT_SIZE)).alias(f"{prefix}font_size"), F.coalesce(font["font_name"], F.lit(DEFAULT_FONT)).alias(f"{prefix}font_name"),
+        ]
+
     first = F.when(F.coalesce(own["first_line_emu"], F.lit(0)) != 0, points(own["first_line_emu"])).when(
         F.coalesce(own["hanging_emu"], F.lit(0)) != 0, -points(own["hanging_emu"])
     ).otherwise(own["first_line_emu"].cast("double"))
     return joined.select(
         *keep, F.when(own["alignment"] != "LEFT", own["alignment"]).alias("alignment"), points(own["before_emu"]).alias("before"),
-        points(own["after_emu"]).alias("after"), first.alias("first_line"), points(own["left_emu"]).alias("left_indent"), font["bold"].alias("bold"),
-        font["italic"].alias("italic"), font["all_caps"].alias("all_caps"), F.coalesce(points(font["size_emu"]), F.lit(DEFAULT_SIZE)).alias("font_size"),
-        F.coalesce(font["font_name"], F.lit(DEFAULT_FONT)).alias("font_name"),
+        points(own["after_emu"]).alias("after"), first.alias("first_line"), points(own["left_emu"]).alias("left_indent"),
+        *shown(), *(shown("no_url_") if more else []), F.coalesce("s_caps", F.lit(False)).alias("caps"),
     )
 
 
@@ -145,7 +176,7 @@ def paragraph_inventory(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, para_no, style_name, in_table, verdict) of non-blank paragraphs; an odd style is never worse than unknown."""
     shown = paragraphs.where(F.rlike("text", F.lit(r"(?U)\S")))
     place = F.when(F.col("scope") == "cell", F.format_string("Table %d:<br/>row %d, col %d", "table_no", "row_no", "col_no")).otherwise("No")
-    known = F.col("style_name").isin(*REQUIRED_STYLES, *CAPTION_STYLES)
+    known = F.col("style_name").isin(*REQUIRED_STYLES, *CAPTION_STYLES["figure"], *CAPTION_STYLES["table"])
     return shown.select("doc_id", "para_no", "style_name", place.alias("in_table"), F.when(known, "ok").otherwise("unknown").alias("verdict"))
 
 
@@ -153,9 +184,11 @@ def style_histogram(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.where(F.rlike("text", F.lit(r"(?U)\S"))).groupBy("doc_id", "style_name").count()
 
 
-def foreign_paragraphs(paragraphs: DataFrame) -> DataFrame:
-    """Non-blank body paragraphs whose style is neither required nor known from templates."""
-    return paragraphs.where((F.col("scope") == "body") & F.rlike("text", F.lit(r"(?U)\S")) & ~F.col("style_name").isin(*REQUIRED_STYLES, *TEMPLATE_STYLES))
+def foreign_paragraphs(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
+    """Non-blank body paragraphs whose style is neither one of the template's that their document embeds nor a common one."""
+    own = styles.where(F.startswith("name", F.lit("JACoW"))).select("doc_id", F.col("name").alias("style_name")).distinct()
+    shown = paragraphs.where((F.col("scope") == "body") & F.rlike("text", F.lit(r"(?U)\S")) & ~F.coalesce(F.col("style_name").isin(*TEMPLATE_STYLES), F.lit(False)))
+    return shown.join(own, ["doc_id", "style_name"], "left_anti").select(*paragraphs.columns)
 
 
 def heading_level(style_name: Column) -> Column:
@@ -163,10 +196,23 @@ def heading_level(style_name: Column) -> Column:
     return F.when(style_name == "Heading 2", "subsection").when(style_name == "Heading 3", "third_level").otherwise("section")
 
 
-def cased_text(runs: DataFrame) -> DataFrame:
-    """(doc_id, para_no, text) with runs in all-caps raised to capitals (runs: run_no, text, all_caps)."""
-    shown = F.when(F.coalesce("all_caps", F.lit(False)), F.upper("text")).otherwise(F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("run_no", shown.alias("t"))))
+def details(prefix: str = "") -> Column:
+    """What a paragraph measures, as JSON; without keys for what is unset."""
+    return F.to_json(F.struct(*(F.col(prefix + c if prefix and c in ("bold", "italic", "font_size") else c).alias(c) for c in CHECKED)))
+
+
+def cased_text(runs: DataFrame, styles: DataFrame | None = None) -> DataFrame:
+    """(doc_id, para_no, text) with runs raised to capitals that are all-caps, or of a character style that is.
+
+    runs: run_no, text, all_caps and, with ``styles``, style_name.  What the paragraph's own style
+    raises is ``caps`` of ``resolve``.
+    """
+    caps = F.coalesce("all_caps", F.lit(False))
+    if styles is not None:
+        s = styles.select("doc_id", F.col("name").alias("style_name"), F.col("all_caps").alias("s_caps"))
+        runs = runs.join(s, ["doc_id", "style_name"], "left")
+        caps = caps | F.coalesce("s_caps", F.lit(False))
+    parts = F.array_sort(F.collect_list(F.struct("run_no", F.when(caps, F.upper("text")).otherwise(F.col("text")).alias("t"))))
     return runs.groupBy("doc_id", "para_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"))
 
 
@@ -174,7 +220,3 @@ def without_superscripts(runs: DataFrame) -> DataFrame:
     """(doc_id, para_no, text) of the runs that aren't superscript."""
     parts = F.array_sort(F.collect_list(F.when(~F.coalesce("superscript", F.lit(False)), F.struct("run_no", "text"))))
     return runs.groupBy("doc_id", "para_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
-
-
-def first_in_class(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("unique_ok", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1)

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paperloom.functions import text as T
 from paperloom.functions.titlecase import is_title_case
 from paperloom.operators import captions, citations, geometry, latex, matching, queue, routing, scoring, styles
-from paperloom.plans import upload
+from paperloom.plans import papers, upload
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict = dict(papers.QUERIES)
+ORACLE_SQL: dict = dict(papers.ORACLE_SQL)
 FLAGSHIP = "bibitem_issues"
 
 
@@ -57,8 +57,8 @@ QUEUE = """SELECT o_orderkey AS id, o_custkey AS event_id, o_orderkey % 97 AS co
     CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS scan_start, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderdate END AS scanned FROM {orders}"""
 CONFERENCE = "SELECT c_custkey AS id, c_name AS code, c_nationkey % 2 AS is_published FROM {customer}"
 RECENT = "SELECT user_id % 5 AS event_id, event_id % 211 AS contribution_id, ts AS requested FROM {events}"
-REFERENCE = "SELECT o_orderkey AS id, concat('P', CAST(o_orderkey % 500 AS STRING)) AS paper_id, concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING)) AS title FROM {orders}"
-AUTHOR_REFERENCE = "SELECT l_orderkey AS reference_id, l_partkey AS author_id FROM {lineitem} WHERE l_linenumber <= 2 AND l_orderkey % 3 > 0"
+REFERENCE = "SELECT o_orderkey AS id, concat('P', CAST(o_orderkey % 500 AS STRING)) AS paper_id, o_custkey % 3 AS conference_id, concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING)) AS title FROM {orders}"
+AUTHOR_REFERENCE = "SELECT CASE WHEN l_orderkey % 3 > 0 THEN l_orderkey END AS reference_id, l_partkey AS author_id FROM {lineitem}"
 AUTHOR = "SELECT p_partkey AS id, CASE WHEN p_size % 10 > 0 THEN p_name END AS name FROM {part}"
 NOW = "2024-01-30 00:00:00"
 
@@ -85,21 +85,21 @@ def cached_contributions(items):
 
 @_query(
     REFERENCE, AUTHOR_REFERENCE, AUTHOR,
-    sql="""SELECT paper_id, max_by(title, r.id) AS title, coalesce(string_agg(name, '|' ORDER BY r.id, a.id, name) FILTER (name IS NOT NULL), '') AS authors
-        FROM {0} r LEFT JOIN {1} b ON r.id = b.reference_id LEFT JOIN {2} a ON b.author_id = a.id GROUP BY paper_id""",
+    sql="""SELECT paper_id, conference_id, max_by(title, r.id) AS title, coalesce(string_agg(name, '|' ORDER BY r.id, a.id, name) FILTER (name IS NOT NULL), '') AS authors
+        FROM {0} r LEFT JOIN {1} b ON r.id = b.reference_id LEFT JOIN {2} a ON b.author_id = a.id GROUP BY paper_id, conference_id""",
 )
 def reference_author_lookup(reference, bridge, author):
     return matching.bibliography(reference, bridge, author).withColumn("authors", F.array_join("authors", "|"))
 
 
-LOG = """SELECT l_orderkey AS id, l_shipdate AS at, CASE WHEN l_returnflag = 'R' THEN 'done' ELSE 'claimed' END AS state, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS failure_reason
-    FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 4 > 0"""
+LOG = """SELECT CASE WHEN l_orderkey % 4 > 0 THEN l_orderkey END AS id, CAST(l_shipdate AS TIMESTAMP) + l_linenumber * INTERVAL '1' MINUTE AS at, CASE WHEN l_returnflag = 'R' THEN 'done' ELSE 'claimed' END AS state, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS failure_reason
+    FROM {lineitem}"""
 
 
 @_query(
     "SELECT o_orderkey AS id FROM {orders}", LOG,
     sql="""SELECT i.id, CASE WHEN state = 'done' THEN 'done' WHEN state = 'claimed' AND l."at" >= TIMESTAMP '1996-01-01 00:00:00' - INTERVAL 60 MINUTES THEN 'claimed' ELSE 'waiting' END AS status, failure_reason
-        FROM {0} i LEFT JOIN {1} l ON i.id = l.id""",
+        FROM {0} i LEFT JOIN (SELECT id, max("at") AS "at", arg_max(state, "at") AS state, arg_max(struct_pack(f := failure_reason), "at").f AS failure_reason FROM {1} GROUP BY id) l ON i.id = l.id""",
 )
 def queue_status(items, log):
     return queue.latest_state(items, log, "1996-01-01 00:00:00")
@@ -134,7 +134,7 @@ NOTICES = """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'create' W
 @_query(
     NOTICES,
     sql="""SELECT id, reason, reason IS NULL OR reason LIKE '%not handled' AS logged, reason IS NULL AS queued, CASE WHEN event IS NOT NULL THEN split_part(event, '-', -1) END AS event_id, coalesce(revision_id, -1) AS revision_id
-        FROM (SELECT *, CASE WHEN event IS NULL THEN 'event missing' WHEN contrib_id IS NULL THEN 'contrib_id missing' WHEN action IS NULL THEN 'action missing' WHEN editable_type IS NULL THEN 'editable_type missing'
+        FROM (SELECT *, CASE WHEN coalesce(CAST(event AS VARCHAR), CAST(contrib_id AS VARCHAR), action, editable_type, CAST(revision_id AS VARCHAR)) IS NULL THEN 'payload missing' WHEN event IS NULL THEN 'event missing' WHEN contrib_id IS NULL THEN 'contrib_id missing' WHEN action IS NULL THEN 'action missing' WHEN editable_type IS NULL THEN 'editable_type missing'
             WHEN action NOT IN ('create', 'update') THEN 'action not handled' WHEN editable_type <> 'paper' THEN 'editable_type not handled' END AS reason FROM {0})""",
 )
 def notify_validation(notices):
@@ -225,10 +225,18 @@ def author_match(ours, theirs):
     return matching.match_authors(ours, theirs)
 
 
-_LONG = {k: v for k, v in T.LONGER.items()}
-_TRANSLIT = f"translate(text, '{T.SINGLE[0] + T.DROPPED}', '{T.SINGLE[1]}')"
+#: Transliterations as the SQL has them, apart from those that Unicode's decomposition gives.
+_LONG = {
+    "ä": "ae", "Ä": "AE", "æ": "ae", "Æ": "AE", "ö": "oe", "Ö": "OE", "ø": "oe", "Ø": "OE", "ü": "ue", "Ü": "UE", "ß": "SS", "ð": "dh", "Ð": "Dh", "þ": "th", "Þ": "Th",
+    "ж": "zh", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "ju", "я": "ja", "Ж": "zh", "Ч": "ch", "Ш": "sh", "Щ": "sch", "Ю": "ju", "Я": "ja",
+}
+_SHORT = "đd,ĐD,ƒf,Ƒf,ħh,Ħh,łl,Łl,ŧt,Ŧt,µu".replace("Ƒf", "ƑF").replace("Ħh", "ĦH").replace("Łl", "ŁL").replace("Ŧt", "ŦT").split(",") + [
+    f"{c}{x}" for small, plain in zip("абвгдезийклмнопрстуфхцыэ", "abvgdezijklmnoprstufhcye") for c, x in ((small, plain), (small.upper(), "E" if small == "е" else plain))
+] + ["ёe", "ЁE"]
+_TRANSLIT = f"translate(text, '{''.join(x[0] for x in _SHORT)}ъьЪЬ', '{''.join(x[1] for x in _SHORT)}')"
 for _k, _v in _LONG.items():
     _TRANSLIT = f"replace({_TRANSLIT}, '{_k}', '{_v}')"
+_TRANSLIT = f"strip_accents({_TRANSLIT})"
 DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM {documents}"
 
 
@@ -399,12 +407,15 @@ def floating_tables(tables):
 # --- LaTeX
 
 _BS = "chr(92)"
-TEX = f"""SELECT l_orderkey, concat(max(concat('% made of ', o_orderpriority, chr(10))), {_BS}, 'begin{{document}}', chr(10),
-    array_join(sort_array(collect_list(concat({_BS}, 'bibitem{{k', CAST(l_linenumber AS STRING), '}}', ITEM))), ''), {_BS}, 'end{{thebibliography}}', chr(10), {_BS}, 'end{{document}}', chr(10)) AS content"""
-_BODY = f"""concat(CAST(l_linenumber AS STRING), ' 你 A. Author', CASE l_partkey % 4 WHEN 0 THEN ', et al.,' WHEN 1 THEN concat(', ', {_BS}, 'emph{{et al.}},') WHEN 2 THEN ' et al.' ELSE '' END, chr(10), '  in IPAC, ',
-    CASE l_suppkey % 6 WHEN 0 THEN 'doi:10.1234/AB-5678' WHEN 1 THEN concat({_BS}, 'url{{doi:10.18429/JACoW}}') WHEN 2 THEN 'doi: 10.5678/9012' WHEN 3 THEN concat({_BS}, 'url{{10.9012/34.}}') WHEN 4 THEN 'https://doi.org/10.1000/X1' ELSE 'none' END, CASE WHEN l_partkey % 13 = 0 THEN concat(chr(10), '% note', chr(10)) ELSE chr(10) END)"""
-LINES = f"SELECT l_orderkey AS id, CAST(l_linenumber AS INT) AS n, {_BODY.replace('{{', '{').replace('}}', '}')} AS body, concat('% made of ', o_orderpriority, chr(10)) AS head FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"
-LINES = LINES.replace("url{", "url' || chr(123) || '").replace("emph{et al.}", "emph' || chr(123) || 'et al.' || chr(125) || '").replace("JACoW}'", "JACoW' || chr(125)").replace("34.}'", "34.' || chr(125)")
+def _braced(name: str, inside: str) -> str:
+    """SQL for a backslash, a name and braces; braces are spelled by number, since they name inputs here."""
+    return f"{_BS}, '{name}', chr(123), '{inside}', chr(125)"
+
+
+_CITED = f"""concat(CAST(l_linenumber AS STRING), ' 你 A. Author', CASE l_partkey % 4 WHEN 0 THEN ', et al.,' WHEN 1 THEN concat(', ', {_braced("emph", "et al.")}, ',') WHEN 2 THEN ' et al.' ELSE '' END, chr(10), '  in IPAC, ',
+    CASE l_suppkey % 6 WHEN 0 THEN 'doi:10.1234/AB-5678' WHEN 1 THEN concat({_braced("url", "doi:10.18429/JACoW")}) WHEN 2 THEN 'doi: 10.5678/9012' WHEN 3 THEN concat({_braced("url", "10.9012/34.")}) WHEN 4 THEN 'https://doi.org/10.1000/X1' ELSE 'none' END,
+    CASE WHEN l_partkey % 13 = 0 THEN concat(chr(10), '% note', chr(10)) ELSE chr(10) END)"""
+LINES = f"SELECT l_orderkey AS id, CAST(l_linenumber AS INT) AS n, {_CITED} AS body, concat('% made of ', o_orderpriority, chr(10)) AS head FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"
 
 
 def _tex(lines: DataFrame) -> DataFrame:
@@ -427,13 +438,16 @@ def bibitem_extract(lines):
     return checked.select("filename", F.explode("items").alias("i")).select("filename", "i.name", "i.ref", "i.start", "i.end", "i.doi")
 
 
-def _issue_sql(kind: str, raises: str, excuses: str | None) -> str:
+def _issue_sql(kind: str, raises: str, excuses: str | None = None) -> str:
     hit = f"regexp_extract(body, '{raises}')"
     extra = f" AND NOT regexp_matches(body, '{excuses}')" if excuses else ""
     return f"SELECT id AS filename, '{kind}' AS type, (start + strpos(body, {hit}) - 1)::INT AS start, (start + strpos(body, {hit}) - 1 + length({hit}))::INT AS \"end\" FROM placed WHERE NOT {_NOTE} AND regexp_matches(body, '{raises}'){extra}"
 
 
-ISSUE_SQL = f"WITH {PLACED_SQL} " + " UNION ALL ".join(_issue_sql(k, *v) for k, v in latex.ISSUES.items())
+ISSUE_SQL = f"WITH {PLACED_SQL} " + " UNION ALL ".join((
+    _issue_sql("ET_AL_WITH_COMMA", r",\s*(?:\\(?:emph|textit)[{])?et al"), _issue_sql("ET_AL_NOT_WRAPPED", r"et al[.]", r"\\(?:emph|textit)[{]et al[.][}]"), _issue_sql("DOI_CONTAINS_SPACE", r"doi:\s10"),
+    _issue_sql("DOI_NOT_WRAPPED", r"doi:10.", r"\\url[{]doi:10[.]"), _issue_sql("NO_DOI_PREFIX", r"\\url[{]10[.]"), _issue_sql("DOI_IS_URL", r"https?://doi.org"),
+))
 
 
 @_query(LINES, sql=ISSUE_SQL)
@@ -538,9 +552,12 @@ def style_histogram(paragraphs):
     return styles.style_histogram(paragraphs)
 
 
-@_query(INVENTORY, sql="SELECT doc_id, para_no FROM {0} WHERE trim(text) <> '' AND scope = 'body' AND style_name NOT IN ('JACoW_Paper Title', 'Caption', 'Normal')")
-def foreign_paragraphs(paragraphs):
-    return styles.foreign_paragraphs(paragraphs).select("doc_id", "para_no")
+@_query(
+    INVENTORY, EMBEDDED,
+    sql="SELECT doc_id, para_no FROM {0} p WHERE trim(text) <> '' AND scope = 'body' AND style_name NOT IN ('Caption', 'Normal') AND NOT EXISTS (SELECT 1 FROM {1} s WHERE s.doc_id = p.doc_id AND s.name = p.style_name AND s.name LIKE 'JACoW%')",
+)
+def foreign_paragraphs(paragraphs, sheet):
+    return styles.foreign_paragraphs(paragraphs, sheet).select("doc_id", "para_no")
 
 
 RUN_TEXTS = "SELECT l_orderkey AS doc_id, 1 AS para_no, CAST(l_linenumber AS INT) AS run_no, concat(l_shipmode_, 'é') AS text, l_returnflag = 'A' AS all_caps, CASE WHEN l_linestatus = 'F' THEN l_partkey % 2 = 0 END AS superscript FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'air' ELSE 'rail' END AS l_shipmode_ FROM {lineitem})"

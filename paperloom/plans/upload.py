@@ -1,7 +1,9 @@
 """The upload check: parsed Word documents to findings, section by section, and scores.
 
-Every section takes and gives DataFrames keyed by doc_id; findings are
-(doc_id, section, item_no, check_name, verdict, message).
+Parsed documents are written once (``sources.stage``), and each section reads the columns it needs;
+no file is parsed again.  Every section takes and gives DataFrames keyed by doc_id; findings are
+(doc_id, section, item_no, check_name, verdict, message, details), details being the formatting
+measured, as JSON.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paperloom.functions.text import author_names, single_spaces, strip, upper_ratio_ok
 from paperloom.operators import captions, citations, geometry, matching, scoring, styles
 from paperloom.sources.docx import table
+from paperloom.sources.stage import stored
 
-FINDING = ("doc_id", "section", "item_no", "check_name", "verdict", "message")
+FINDING = ("doc_id", "section", "item_no", "check_name", "verdict", "message", "details")
 MIN_BODY = 50
 
 
@@ -47,127 +50,174 @@ def segments(paragraphs: DataFrame) -> DataFrame:
     return w.withColumn("part", part).drop("_style_before")
 
 
-def _finding(section: str, check: str, verdict: Column, message: Column | None = None, item: Column | None = None):
-    return [
-        F.lit(section).alias("section"), (item if item is not None else F.lit(0)).cast("bigint").alias("item_no"), F.lit(check).alias("check_name"),
-        verdict.alias("verdict"), (message if message is not None else F.lit(None)).cast("string").alias("message"),
+def _rows(df: DataFrame, section: Column | str, checks: dict[str, Column], item: str | None = None, messages: dict[str, Column] | None = None, details: Column | None = None) -> DataFrame:
+    """A finding per check and row, all from one pass: the checks are exploded, not unioned.  Null verdicts are none."""
+    none = F.lit(None).cast("string")
+    section = F.lit(section) if isinstance(section, str) else section
+    number = (F.col(item) if item else F.lit(0)).cast("bigint")
+    structs = [
+        F.struct(
+            section.alias("section"), number.alias("item_no"), F.lit(name).alias("check_name"), verdict.alias("verdict"),
+            (messages or {}).get(name, none).cast("string").alias("message"), (details if details is not None and name == "style_ok" else none).alias("details"),
+        )
+        for name, verdict in checks.items()
     ]
+    return df.select("doc_id", F.explode(F.array(*structs)).alias("f")).select("doc_id", "f.*").where("verdict is not null")
 
 
-def _rows(df: DataFrame, section: str, checks: dict[str, Column], item: str | None = None, message: Column | None = None) -> DataFrame:
-    """A finding per check, all from one pass: the checks are exploded, not unioned."""
-    structs = [F.struct(*_finding(section, name, v, message, F.col(item) if item else None)) for name, v in checks.items()]
-    return df.select("doc_id", F.explode(F.array(*structs)).alias("f")).select("doc_id", "f.*")
+def _failures() -> Column:
+    return F.array_join("failures", "; ")
 
 
-def text_sections(resolved: DataFrame) -> DataFrame:
-    """Title, authors, abstract, headings and body paragraphs, from resolved segments."""
-    failures = F.array_join("failures", "; ")
+def text_sections(parts: DataFrame, cased: DataFrame) -> DataFrame:
+    """Title, authors, abstract, headings and body paragraphs, from segments and titles with capitals as shown."""
     heading = F.create_map(*[F.lit(x) for pair in styles.HEADING_STYLES.items() for x in pair])
     text = single_spaces(F.col("t"))
+    style = F.coalesce("style_name", F.lit(""))
     body_text = (
-        ~F.rlike(text, F.lit(r"^(Table |Figure |Fig\. )")) & ~F.col("style_name").isin(*styles.HEADING_STYLES) & ~F.col("style_name").isin(*styles.LIST_STYLES)
+        ~F.rlike(text, F.lit(r"^(Table |Figure |Fig\. )")) & ~style.isin(*styles.HEADING_STYLES) & ~style.isin(*styles.LIST_STYLES)
         & ~F.rlike(text, F.lit(r"(?U)^\p{Ll}")) & (F.char_length(text) >= MIN_BODY)
     )
     kind = (
         F.when((F.col("part") == "title") & F.col("shown"), "title").when((F.col("part") == "authors") & F.col("shown"), "authors")
-        .when(F.col("part") == "head", "abstract").when((F.col("part") == "body") & F.col("style_name").isin(*styles.HEADING_STYLES) & F.col("shown"), heading[F.col("style_name")])
-        .when((F.col("part") == "body") & F.coalesce(body_text, F.lit(False)), "body")
+        .when(F.col("part") == "head", "abstract").when((F.col("part") == "body") & style.isin(*styles.HEADING_STYLES), heading[style])
+        .when((F.col("part") == "body") & body_text, "body")
     )
-    checked = styles.check_style(resolved.withColumn("rule", kind).where("rule is not null"))
-    section = F.element_at(F.create_map(*[F.lit(x) for x in ("title", "Title", "authors", "Authors", "abstract", "Abstract", "section", "Headings", "subsection", "Headings", "third_level", "Headings", "body", "Paragraphs")]), F.col("rule"))
-    case = F.when(F.col("rule") == "title", scoring.flag(upper_ratio_ok(F.col("t"))))
-    exact = F.when(F.col("rule") == "title", scoring.flag(F.coalesce(F.col("style_name") == styles.RULES["title"]["style"], F.lit(False))))
-    rows = [("style_ok", scoring.flag(F.col("style_ok")), failures), ("case_ok", case, F.lit(None)), ("title_style_ok", exact, F.lit(None))]
-    structs = [F.struct(section.alias("section"), F.col("para_no").cast("bigint").alias("item_no"), F.lit(n).alias("check_name"), v.alias("verdict"), m.cast("string").alias("message")) for n, v, m in rows]
-    return checked.select("doc_id", F.explode(F.array(*structs)).alias("f")).select("doc_id", "f.*").where("verdict is not null")
-
-
-def figure_section(paragraphs: DataFrame, resolved_all: DataFrame) -> DataFrame:
+    checked = styles.check_style(parts.withColumn("rule", kind).where("rule is not null").join(cased, ["doc_id", "para_no"], "left"))
+    names = {"title": "Title", "authors": "Authors", "abstract": "Abstract", "section": "Headings", "subsection": "Headings", "third_level": "Headings", "body": "Paragraphs"}
+    section = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("rule"))
+    wanted = F.create_map(*[F.lit(x) for rule in ("title", "authors", "abstract") for x in (rule, styles.RULES[rule]["style"])])[F.col("rule")]
+    checks = {
+        "style_ok": scoring.flag(F.col("style_ok")),
+        "case_ok": F.when(F.col("rule") == "title", scoring.flag(upper_ratio_ok(F.coalesce("cased", F.lit(""))))),
+        "title_style_ok": F.when(wanted.isNotNull(), scoring.flag(style == wanted)),
+    }
+    return _rows(checked, section, checks, "para_no", {"style_ok": _failures()}, styles.details())
+
+
+def figure_section(paragraphs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Figures 1 to the largest number met, and the style of each caption."""
     rows = paragraphs.select("doc_id", F.col("para_no").cast("bigint").alias("seq"), "text", "scope")
     caps = captions.figure_captions(rows)
     wrong = captions.figure_captions(rows, captions.FIGURE_WRONG)
     refs = captions.figure_references(rows.where("scope = 'body'"))
     figures = captions.correlate_figures(caps, wrong, refs)
     checks = {c: scoring.flag(F.col(c)) for c in ("caption_ok", "unique_ok", "used_ok", "found_ok")}
-    flags = _rows(figures, "Figures", checks, "id", F.col("text"))
-    ruled = caps.select("doc_id", F.col("seq").alias("para_no"), "id").join(resolved_all, ["doc_id", "para_no"])
+    flags = _rows(figures, "Figures", checks, "id", {c: F.col("text") for c in checks})
+    ruled = caps.select("doc_id", F.col("seq").alias("para_no"), "id").join(resolved, ["doc_id", "para_no"])
     styled = styles.check_style(ruled.withColumn("rule", captions.caption_rule(F.col("text"), "figure")))
-    verdict = captions.caption_style_verdict(F.col("text"), F.col("style_ok"), F.coalesce(F.col("style_name").isin(*styles.CAPTION_STYLES), F.lit(False)))
-    return flags.unionByName(_rows(styled, "Figures", {"style_ok": verdict}, "id", F.array_join("failures", "; ")))
+    return flags.unionByName(_rows(styled, "Figures", {"style_ok": _caption_verdict("figure")}, "id", {"style_ok": _failures()}, styles.details()))
+
+
+def _caption_verdict(kind: str) -> Column:
+    known = F.coalesce(F.col("style_name").isin(*styles.CAPTION_STYLES[kind]), F.lit(False))
+    return captions.caption_style_verdict(F.col("text"), F.col("style_ok"), known)
 
 
-def table_section(paragraphs: DataFrame, tables: DataFrame, resolved_all: DataFrame) -> DataFrame:
+def table_section(paragraphs: DataFrame, tables: DataFrame, resolved: DataFrame) -> DataFrame:
     """Real tables: more than one row and column, and text; their title is the paragraph before."""
     real = tables.where("n_cols > 1 and n_rows > 1 and has_text")
-    titles = real.join(resolved_all.withColumnRenamed("para_no", "prev_para_no").drop("table_no", "block_no"), ["doc_id", "prev_para_no"], "left")
+    titles = real.join(resolved.withColumnRenamed("para_no", "prev_para_no").drop("table_no", "block_no"), ["doc_id", "prev_para_no"], "left")
     titles = titles.withColumn("text", F.coalesce("text", F.lit("")))
     refs = captions.table_references(paragraphs.where("scope = 'body'").select("doc_id", "text"), titles)
     numbered = captions.caption_format(captions.number_tables(titles, refs))
     styled = styles.check_style(numbered.withColumn("rule", captions.caption_rule(F.col("text"), "table")))
-    verdict = captions.caption_style_verdict(F.col("text"), F.col("style_ok"), F.coalesce(F.col("style_name").isin(*styles.CAPTION_STYLES), F.lit(False)))
-    checks = {c: scoring.flag(F.col(c)) for c in ("text_format_ok", "order_ok", "used_ok")} | {"style_ok": verdict}
-    return _rows(styled, "Tables", checks, "id", F.array_join("messages", "; "))
+    floating = captions.is_floating(F.col("anchored"), F.col("tblpY"), F.col("tblW_type"))
+    shape = F.format_string("rows: %d, columns: %d, floating: %s", "n_rows", "n_cols", F.when(floating, "True").otherwise("False"))
+    checks = {c: scoring.flag(F.col(c)) for c in ("text_format_ok", "order_ok", "used_ok")} | {"style_ok": _caption_verdict("table")}
+    return _rows(styled, "Tables", checks, "id", {"text_format_ok": F.array_join("messages", "; "), "order_ok": shape, "style_ok": _failures()}, styles.details())
 
 
-def reference_section(parts: DataFrame, runs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Entries of the reference list: form, use, order, uniqueness, style and the font of URLs."""
-    late = parts.where("para_no > abstract_at").select("doc_id", F.col("para_no").cast("bigint").alias("para_no"), "text")
-    groups = late.select("doc_id", "para_no", F.posexplode(citations.bracket_groups(F.col("text"))).alias("n", "g"))
-    expanded = groups.withColumn("ids", citations.expand_group(F.col("g")))
+def reference_section(parts: DataFrame, runs: DataFrame, sheets: DataFrame, strict: bool = False) -> DataFrame:
+    """Entries of the reference list: form, use, order, uniqueness, style and the font of URLs.
+
+    A URL's own font has no say in its paragraph's.  ``strict`` asks for the style by name instead of
+    by what it looks like.
+    """
+    late = parts.where("para_no > abstract_at").select("doc_id", F.col("para_no").cast("bigint").alias("para_no"), "text", "length")
+    groups = late.select("doc_id", "para_no", "length", F.posexplode(citations.bracket_groups(F.col("text"))).alias("n", "g"))
+    expanded = groups.withColumn("ids", citations.expand_group(F.col("g"), F.col("length")))
     rows = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("para_no", "n", "ids"))))
     cited = expanded.groupBy("doc_id").agg(F.transform(rows, lambda r: r["ids"]).alias("groups"), F.count_if(F.col("ids").isNull()).alias("malformed"))
     items = citations.check_items(citations.list_items(late), cited)
     listed = F.array_sort(F.collect_list(F.struct("run_no", "text", "font_name", (F.col("size_emu") / geometry.EMU_PT).alias("size"))))
-    fonts = runs.groupBy("doc_id", "para_no").agg(citations.url_font_ok(listed).alias("url_ok"))
-    full = items.join(resolved, ["doc_id", "para_no"]).join(fonts, ["doc_id", "para_no"], "left")
+    fonts = styles.character_fonts(runs, sheets).groupBy("doc_id", "para_no").agg(citations.url_font_ok(listed).alias("url_ok"))
+    full = items.join(parts.drop("length"), ["doc_id", "para_no"]).join(fonts, ["doc_id", "para_no"], "left")
+    full = full.withColumns({c: F.col(f"no_url_{c}") for c in ("bold", "italic", "font_size", "font_name")})
     styled = styles.check_style(full.withColumn("rule", citations.reference_rule(F.col("place"), F.col("total"))))
-    form = F.rlike(strip(F.col("text")), F.lit(citations.LIST_ITEM_TAB)) & F.coalesce("url_ok", F.lit(True))
-    checks = {c: scoring.flag(F.col(c)) for c in ("used_ok", "order_ok", "unique_ok", "style_ok")} | {"text_ok": scoring.flag(form)}
-    found = _rows(styled, "References", checks, "place", F.array_join("failures", "; "))
+    form = F.rlike(strip(F.col("text")), F.lit(citations.LIST_ITEM_TAB))
+    text = F.concat_ws(
+        "; ", F.when(~form, F.format_string("Number format error should be [%d] followed by a tab", "place")),
+        F.when(~F.coalesce("url_ok", F.lit(True)), F.lit(f"URLs and DOIs should be {citations.URL_FONT[0]} and size {citations.URL_FONT[1]:g}pt")),
+    )
+    named = F.create_map(*[F.lit(x) for r in ("reference_few", "reference_first", "reference_later") for x in (r, styles.RULES[r]["style"])])[F.col("rule")]
+    style = F.coalesce(F.col("style_name") == named, F.lit(False)) if strict else F.col("style_ok")
+    checks = {c: scoring.flag(F.col(c)) for c in ("used_ok", "order_ok", "unique_ok")} | {"style_ok": scoring.flag(style), "text_ok": scoring.flag(form & F.coalesce("url_ok", F.lit(True)))}
+    found = _rows(styled, "References", checks, "place", {"style_ok": _failures(), "text_ok": text}, styles.details())
     bad = cited.where("malformed > 0")
-    return found.unionByName(_rows(bad, "References", {"citation_ok": F.lit(scoring.FAIL)}, None, F.format_string("%d malformed citations", "malformed")))
+    return found.unionByName(_rows(bad, "References", {"citation_ok": F.lit(scoring.FAIL)}, None, {"citation_ok": F.format_string("%d malformed citations", "malformed")}))
 
 
-def upload_check(parsed: DataFrame) -> DataFrame:
-    """All findings of parsed documents (rows of ``sources.docx``).
+def guards(parsed: DataFrame) -> DataFrame:
+    """(doc_id, reason): why a document isn't checked, or null; the first reason that holds."""
+    seen = F.filter("paragraphs", lambda p: p["scope"] == "body")
+    tracked = F.coalesce(F.exists(seen, lambda p: p["has_insertion"]), F.lit(False))
+    abstract = F.coalesce(F.exists(seen, lambda p: F.lower(strip(p["text"])) == "abstract"), F.lit(False))
+    reason = F.when(F.col("parse_error").isNotNull(), F.col("parse_error")).when(tracked, "tracked changes are on").when(~abstract, "abstract header not found")
+    return parsed.select("doc_id", reason.alias("reason"))
+
+
+def upload_check(parsed: DataFrame, strict: bool = False) -> DataFrame:
+    """All findings of parsed documents (rows of ``sources.docx``), which are written first unless they are a table.
 
     Documents that can't be parsed, have tracked insertions or lack an abstract get one finding
     that says so, and no others.
     """
-    good = parsed.where("parse_error is null")
+    parsed = stored(parsed, "parsed")
+    guard = guards(parsed)
+    stopped = _rows(guard.where("reason is not null"), "Document", {"parsed_ok": F.lit(scoring.FAIL)}, None, {"parsed_ok": F.col("reason")})
+    good = parsed.join(guard.where("reason is null").select("doc_id"), "doc_id", "left_semi")
     paragraphs, runs, tables, sheets = (table(good, n) for n in ("paragraphs", "runs", "tables", "styles"))
-    marks = paragraphs.where("scope = 'body'").groupBy("doc_id").agg(F.bool_or("has_insertion").alias("tracked"), F.bool_or(F.lower(strip(F.col("text"))) == "abstract").alias("abstract"))
-    guard = parsed.select("doc_id", "parse_error").join(marks, "doc_id", "left").withColumn(
-        "reason", F.when(F.col("parse_error").isNotNull(), F.col("parse_error")).when(F.coalesce("tracked", F.lit(False)), "tracked changes are on").when(~F.coalesce("abstract", F.lit(False)), "abstract header not found")
-    )
-    stopped = _rows(guard.where("reason is not null"), "Document", {"parsed_ok": F.lit(scoring.FAIL)}, None, F.col("reason"))
-    fine = guard.where("reason is null").select("doc_id")
-    paragraphs, runs, tables, sheets = (df.join(fine, "doc_id", "left_semi") for df in (paragraphs, runs, tables, sheets))
-    resolved = styles.resolve(paragraphs, sheets, styles.run_fonts(runs, citations.URL_STARTS))
-    parts = segments(resolved)
-    pages = geometry.check_sections(table(good, "sections").join(fine, "doc_id", "left_semi"))
+    resolved = stored(styles.resolve(paragraphs, sheets, styles.both_fonts(runs, citations.URL_STARTS)), "resolved")
+    counted = segments(resolved).withColumn("length", F.count("*").over(Window.partitionBy("doc_id")).cast("int"))
+    parts = stored(counted, "segments")
+    cased = styles.cased_text(runs, sheets).join(resolved.select("doc_id", "para_no", "caps"), ["doc_id", "para_no"])
+    cased = cased.select("doc_id", "para_no", F.when(F.col("caps"), F.upper("text")).otherwise(F.col("text")).alias("cased"))
+    pages = geometry.check_sections(table(good, "sections"))
     found = [
-        stopped, text_sections(parts), figure_section(paragraphs, resolved), table_section(paragraphs, tables, resolved), reference_section(parts, runs, resolved),
-        _rows(styles.embedded_styles(fine, sheets), "Styles", {"style_ok": scoring.flag(F.col("style_ok"))}, None, F.col("style")),
-        _rows(pages, "Margins", {"margins_ok": scoring.flag(F.col("margins_ok")), "columns_ok": scoring.flag(F.col("columns_ok"))}, "section_no", F.col("page_size")),
-        _rows(styles.paragraph_inventory(paragraphs), "Parsed Document", {"style_ok": F.col("verdict")}, "para_no", F.col("in_table")),
+        stopped, text_sections(parts, cased), figure_section(paragraphs, resolved), table_section(paragraphs, tables, resolved), reference_section(parts, runs, sheets, strict),
+        _rows(styles.embedded_styles(good.select("doc_id"), sheets), "Styles", {"style_ok": scoring.flag(F.col("style_ok"))}, None, {"style_ok": F.col("style")}),
+        _rows(pages, "Margins", {"margins_ok": scoring.flag(F.col("margins_ok")), "columns_ok": scoring.flag(F.col("columns_ok"))}, "section_no", {"margins_ok": F.col("page_size")}),
+        _rows(styles.paragraph_inventory(paragraphs), "Parsed Document", {"style_ok": F.col("verdict")}, "para_no", {"style_ok": F.col("in_table")}),
     ]
     return reduce(DataFrame.unionByName, (f.select(*FINDING) for f in found))
 
 
 def catalogue_check(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Findings on title and authors of documents whose paper code the catalogue (paper_id, title, authors) knows."""
-    good = parsed.where("parse_error is null").select("doc_id", "paper_code", "paragraphs")
-    parts = segments(good.select("doc_id", F.explode("paragraphs").alias("x")).select("doc_id", "x.*"))
-    joined = lambda part, gap: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("para_no", "text")))), lambda r: F.concat(r["text"], F.lit(gap))), "")
-    texts = parts.groupBy("doc_id").agg(joined("title", "").alias("title"), joined("authors", ", ").alias("author_text"))
-    known = good.select("doc_id", "paper_code").join(catalogue.withColumnRenamed("title", "their_title"), F.col("paper_code") == F.col("paper_id")).join(texts, "doc_id")
-    titles = _rows(known, "Catalogue", {"title_ok": matching.title_verdict(F.col("title"), F.col("their_title"))}, None, F.col("their_title"))
+    """Findings on title and authors of documents whose paper code the catalogue (paper_id, title, authors) knows.
+
+    Titles are compared as they are shown, authors without their footnote marks.
+    """
+    parsed = stored(parsed, "parsed")
+    good = parsed.join(guards(parsed).where("reason is null").select("doc_id"), "doc_id", "left_semi")
+    known = good.join(catalogue.select("paper_id", F.col("title").alias("their_title"), "authors"), F.col("paper_code") == F.col("paper_id"))
+    known = stored(known.select("doc_id", "their_title", "authors", "paragraphs", "runs", "styles"), "known")
+    paragraphs, runs, sheets = (table(known, n) for n in ("paragraphs", "runs", "styles"))
+    parts = segments(paragraphs).where("part in ('title', 'authors') and shown")
+    caps = styles.with_base(sheets).select("doc_id", F.col("name").alias("style_name"), "caps")
+    plain = styles.without_superscripts(runs).withColumnRenamed("text", "plain")
+    cased = styles.cased_text(runs, sheets).withColumnRenamed("text", "cased")
+    rows = parts.join(caps, ["doc_id", "style_name"], "left").join(plain, ["doc_id", "para_no"], "left").join(cased, ["doc_id", "para_no"], "left")
+    shown = F.when(F.coalesce("caps", F.lit(False)), F.upper("cased")).otherwise(F.col("cased"))
+    line = F.coalesce(F.when(F.col("part") == "title", shown).otherwise(F.concat("plain", F.lit(", "))), F.lit(""))
+    joined = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("para_no", line.alias("line"))))), lambda r: r["line"]), "")
+    texts = rows.groupBy("doc_id").agg(joined("title").alias("title"), joined("authors").alias("author_text"))
+    known = known.select("doc_id", "their_title", "authors").join(texts, "doc_id")
+    titles = _rows(known, "Catalogue", {"title_ok": matching.title_verdict(F.col("title"), F.col("their_title"))}, None, {"title_ok": F.col("their_title")})
     ours = known.select("doc_id", F.posexplode(author_names(F.col("author_text"))).alias("pos", "name"))
     theirs = known.select("doc_id", F.posexplode("authors").alias("pos", "name"))
     matched = matching.match_authors(ours, theirs)
-    return titles.unionByName(_rows(matched, "Catalogue", {"author_ok": F.col("verdict")}, "ord", F.concat_ws(" / ", "document", "catalogue")))
+    return titles.unionByName(_rows(matched, "Catalogue", {"author_ok": F.col("verdict")}, "ord", {"author_ok": F.concat_ws(" / ", "document", "catalogue")}))
 
 
 def metadata(parsed: DataFrame) -> DataFrame:
@@ -176,12 +226,18 @@ def metadata(parsed: DataFrame) -> DataFrame:
 
 
 def report(parsed: DataFrame) -> DataFrame:
-    """(doc_id, filename, report, key): scores, findings and metadata as JSON, and the JSON's own name."""
+    """(doc_id, filename, report, key): scores, sections, findings and metadata as JSON, and the JSON's own name.
+
+    Findings are computed once and written; scores and sections are read from them.
+    """
     from paperloom.operators.queue import content_key
 
-    findings = upload_check(parsed)
+    parsed = stored(parsed, "parsed")
+    findings = stored(upload_check(parsed), "findings")
     scores = scoring.score(findings).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", F.array("positive", "unknown", "negative"))))).alias("scores"))
-    listed = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "item_no", "check_name", "verdict", "message"))).alias("summary"))
-    all_of = metadata(parsed).join(scores, "doc_id").join(listed, "doc_id")
-    body = F.to_json(F.struct("scores", "summary", F.struct("author", "revision", "version", "language", "created", "modified").alias("metadata"), "filename"))
+    checked = guards(parsed).where("reason is null").select("doc_id")
+    sections = scoring.section_summary(checked, findings).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "verdict")))).alias("sections"))
+    listed = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "item_no", "check_name", "verdict", "message", "details"))).alias("summary"))
+    all_of = metadata(parsed).join(scores, "doc_id").join(listed, "doc_id").join(sections, "doc_id", "left")
+    body = F.to_json(F.struct("scores", "sections", "summary", F.struct("author", "revision", "version", "language", "created", "modified").alias("metadata"), "filename"))
     return all_of.select("doc_id", "filename", body.alias("report")).withColumn("key", content_key(F.col("report")))

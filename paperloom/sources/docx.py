@@ -109,7 +109,7 @@ class _Body:
         self.sections.append({"section_no": len(self.sections), "page_w": get(size, "w"), "page_h": get(size, "h"), **{k: get(margin, k) for k in ("top", "bottom", "left", "right")}, "cols_num": get(cols, "num", 1), "cols_space_twips": get(cols, "space", 1)})
 
     def table(self, t, block: int, before) -> None:
-        number, rows, has_text = len(self.tables), t.findall(W + "tr"), False
+        number, rows, has_text = len(self.tables) + 1, t.findall(W + "tr"), False
         row = {"table_no": number, "block_no": block, "n_rows": len(rows), "n_cols": len(t.findall(f"{W}tblGrid/{W}gridCol")), "prev_para_no": before}
         props = t.find(W + "tblPr")
         place = props.find(W + "tblpPr") if props is not None else None
@@ -121,7 +121,7 @@ class _Body:
                     continue  # the merged cell's text stands in its first row
                 for p in tc.findall(W + "p"):
                     has_text |= bool(self.paragraph(p, scope="cell", block_no=block, table_no=number, row_no=r + 1, col_no=c + 1).strip())
-        self.tables[number]["has_text"] = has_text
+        self.tables[number - 1]["has_text"] = has_text
 
 
 def parse_docx(data: bytes) -> dict:
@@ -153,35 +153,41 @@ def parse_docx(data: bytes) -> dict:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """SCHEMA rows of files (filename, content), one for each."""
+    """(doc_id and SCHEMA) of files (doc_id, filename, content), one row for each; a null content isn't parsed."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType([files.schema["doc_id"], *StructType.fromDDL(SCHEMA).fields])
+    kinds = to_arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema)
         for batch in batches:
-            rows = []
-            for name, content in zip(batch.column("filename").to_pylist(), batch.column("content")):
+            for doc, name, content in zip(*(batch.column(c) for c in ("doc_id", "filename", "content"))):
                 try:
-                    row = parse_docx(content.as_py())
+                    row = parse_docx(content.as_py()) if content.is_valid else {"parse_error": "there is no file"}
                 except Exception as e:  # noqa: BLE001  any file may be malformed in any way
                     row = {"parse_error": f"{type(e).__name__}: {e}"}
-                rows.append({"filename": name, **row})
-            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-
-    from pyspark.sql.types import _parse_datatype_string
+                yield pa.RecordBatch.from_pylist([{"doc_id": doc.as_py(), "filename": name.as_py(), **row}], schema=kinds)
 
-    schema = _parse_datatype_string(SCHEMA)
-    return files.select("filename", "content").mapInArrow(run, schema)
+    return files.select("doc_id", "filename", "content").mapInArrow(run, schema)
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed Word files under ``path``; other extensions are rows with a parse_error."""
-    raw = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
-    good = parse_files(raw.where(extension_ok(F.col("filename"))))
-    bad = raw.where(~extension_ok(F.col("filename"))).select("filename", F.lit("not a .docx file").alias("parse_error"))
-    return good.unionByName(bad, allowMissingColumns=True).withColumn("doc_id", F.sha1("filename")).withColumn("paper_code", paper_code(F.col("filename")))
+    """Parsed Word files under ``path``; other extensions are rows with a parse_error.
+
+    ``doc_id`` is the hash of the whole path: files of one name in two folders are two documents.
+    """
+    return parsed_docs(spark.read.format("binaryFile").load(path).select(F.sha1("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content"))
+
+
+def parsed_docs(files: DataFrame) -> DataFrame:
+    """Parsed rows of ``files`` (doc_id, filename, content)."""
+    allowed = extension_ok(F.col("filename"))
+    read = parse_files(files.withColumn("content", F.when(allowed, F.col("content"))))
+    told = F.when(~extension_ok(F.col("filename")), "not a .docx file").otherwise(F.col("parse_error"))
+    return read.withColumn("parse_error", told).withColumn("paper_code", paper_code(F.col("filename")))
 
 
 def table(parsed: DataFrame, name: str) -> DataFrame:
