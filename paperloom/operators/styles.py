@@ -146,15 +146,18 @@ def check_style(resolved: DataFrame, rule: Column | str = "rule") -> DataFrame:
     rule = F.col(rule) if isinstance(rule, str) else rule
     flags, messages = {}, []
     for attr in CHECKED:
-        case = shown = None
+        # Rules that ask for the same share a branch, which keeps the plan's code small.
+        asked: dict[str, tuple] = {}
         for name, wanted in RULES.items():
             if attr in wanted:
-                good = _holds(attr, wanted[attr])
-                text = F.format_string("%s: %s should be " + _shown(wanted[attr]), F.lit(attr), F.coalesce(F.col(attr).cast("string"), F.lit("None")))
-                case = F.when(rule == name, good) if case is None else case.when(rule == name, good)
-                shown = F.when((rule == name) & ~good, text) if shown is None else shown.when((rule == name) & ~good, text)
+                asked.setdefault(repr(wanted[attr]), (wanted[attr], []))[1].append(name)
+        case = shown = None
+        for expected, names in asked.values():
+            good, mine = _holds(attr, expected), rule.isin(*names)
+            case = F.when(mine, good) if case is None else case.when(mine, good)
+            shown = F.when(mine, _shown(expected)) if shown is None else shown.when(mine, _shown(expected))
         flags[f"{attr}_ok"] = case
-        messages.append(shown)
+        messages.append(F.when(~case, F.concat(F.lit(f"{attr}: "), F.coalesce(F.col(attr).cast("string"), F.lit("None")), F.lit(" should be "), shown)))
     out = resolved.withColumns(flags).withColumn("failures", F.array_compact(F.array(*messages)))
     return out.withColumn("style_ok", F.size("failures") == 0)
 

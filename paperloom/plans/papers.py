@@ -93,7 +93,7 @@ def word_file(doc_id: int, blocks) -> bytes:
 def word_files(blocks: DataFrame) -> DataFrame:
     """(doc_id, filename, content) of BLOCKS' rows."""
     lines = F.array_sort(F.collect_list(F.struct("pos", "style", "text", "rpr", "kind")))
-    papers = blocks.groupBy("doc_id").agg(lines.alias("lines"))
+    papers = blocks.groupBy("doc_id").agg(lines.alias("lines")).repartition(blocks.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         import pyarrow as pa

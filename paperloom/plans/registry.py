@@ -177,6 +177,18 @@ def paper_type_routing(files):
     return each.select("contribution_id", F.col("r.id").alias("rev"), *kinds, routing.commented_by(F.col("r.comments"), 7).alias("commented"))
 
 
+@_query(
+    FILES,
+    sql="""SELECT contribution_id, rev, min_by(filename, n) FILTER (filename = 'a.docx') AS first_docx,
+        coalesce(min_by(filename, n) FILTER (filename = 'a.docx' AND file_type IN (180, 31, 352)), min_by(filename, n) FILTER (filename = 'b.tex' AND file_type IN (180, 31, 352))) AS name,
+        CAST(coalesce(min_by(file_type, n) FILTER (filename = 'a.docx' AND file_type IN (180, 31, 352)), min_by(file_type, n) FILTER (filename = 'b.tex' AND file_type IN (180, 31, 352))) AS INT) AS type FROM {0} GROUP BY contribution_id, rev""",
+)
+def paper_file(files):
+    each = _contributions(files).select("contribution_id", F.explode("revisions").alias("r"))
+    found = routing.paper_file(F.col("r.files"), "worker")
+    return each.select("contribution_id", F.col("r.id").alias("rev"), routing.first_docx(F.col("r.files"))["filename"].alias("first_docx"), found["filename"].alias("name"), found["file_type"].alias("type"))
+
+
 DISCOVER_SQL = f"""WITH typed AS ({TYPE_SQL}), top AS (SELECT contribution_id, max(rev) FILTER (rev > -1) AS revision_id FROM {{0}} GROUP BY contribution_id)
     SELECT top.contribution_id, revision_id, coalesce(finder, 'unknown') AS type, coalesce(commented, false) AS commented,
         CASE WHEN revision_id IS NULL THEN 'none' WHEN coalesce(finder, 'unknown') NOT IN ('latex', 'word') THEN 'cache' WHEN commented THEN 'none' ELSE 'queue' END AS route
@@ -189,6 +201,32 @@ def discover_anti_join(files, queued, cached):
     return routing.discover(_contributions(files), queued, cached, 7).drop("event_id")
 
 
+FOUND = "SELECT user_id % 50 AS event_id, event_id AS contribution_id, CASE event_type WHEN 'click' THEN 'queue' WHEN 'view' THEN 'cache' ELSE 'none' END AS route FROM {events}"
+
+
+@_query(FOUND, sql="SELECT event_id, count(*) FILTER (route = 'queue') AS queue_items, count(*) FILTER (route = 'cache') AS cached_items, count(*) FILTER (route = 'none') AS passed_over FROM {0} GROUP BY event_id")
+def discovery_counts(found):
+    return routing.discovery_counts(found)
+
+
+@_query(FOUND, sql=f"SELECT event_id, contribution_id, 'unknown' AS paper_type, TIMESTAMP '{NOW}' AS checked FROM {{0}} WHERE route = 'cache'")
+def cache_rows(found):
+    return routing.cache_rows(found, NOW)
+
+
+RESULTS = """SELECT o_custkey AS event_id, o_orderkey AS contribution_id, o_orderkey % 9 AS revision_id, CASE o_orderkey % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'latex' ELSE 'none' END AS kind, concat(o_orderpriority, '.json') AS key,
+    CASE WHEN o_orderkey % 4 = 0 THEN 'No issues found' ELSE o_orderpriority END AS body FROM {orders}"""
+
+
+@_query(
+    RESULTS,
+    sql="""SELECT event_id, contribution_id, revision_id, CASE kind WHEN 'word' THEN 'This paper has been checked. See the [report](https://x/' || replace(key, '.json', '') || ').'
+        ELSE concat('The references have been checked:', chr(10), chr(10), body, chr(10), chr(10), '[How references are checked](https://x/)') END AS text FROM {0} WHERE kind = 'word' OR (kind = 'latex' AND body <> 'No issues found')""",
+)
+def comments_listing(results):
+    return queue.comments(results, "https://x/")
+
+
 @_query(
     "SELECT l_orderkey AS id, l_linenumber AS n, CASE l_returnflag WHEN 'A' THEN 'word' WHEN 'N' THEN 'latex' ELSE 'unknown' END AS kind, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 4 = 1 END AS editor FROM {lineitem}",
     sql="SELECT id, n, CASE WHEN coalesce(editor, false) THEN 'editor revision' WHEN kind IN ('word', 'latex') THEN kind ELSE 'Unknown file type' END AS target FROM {0}",
@@ -282,10 +320,11 @@ def file_guard(rows):
 # --- citations
 
 GROUPS = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS n, CASE l_partkey % 6 WHEN 0 THEN CAST(l_linenumber AS STRING) WHEN 1 THEN concat(CAST(l_linenumber AS STRING), '-', CAST(l_linenumber + 2 AS STRING))
-    WHEN 2 THEN concat(CAST(l_linenumber + 1 AS STRING), ', ', CAST(l_linenumber AS STRING)) WHEN 3 THEN ' ' WHEN 4 THEN concat(CAST(l_linenumber AS STRING), ',,', CAST(l_linenumber + 1 AS STRING), '-', CAST(l_linenumber + 1 AS STRING)) ELSE '1 2' END AS g FROM {lineitem}"""
+    WHEN 2 THEN concat(CAST(l_linenumber + 1 AS STRING), ', ', CAST(l_linenumber AS STRING)) WHEN 3 THEN CASE WHEN l_suppkey % 3 = 0 THEN ' ' WHEN l_suppkey % 3 = 1 THEN concat(CAST(l_linenumber + 2 AS STRING), '-', CAST(l_linenumber AS STRING)) ELSE concat(CAST(l_linenumber AS STRING), '-', CAST(l_linenumber + 9 AS STRING), '-', CAST(l_suppkey % 2 AS STRING)) END WHEN 4 THEN concat(CAST(l_linenumber AS STRING), ',,', CAST(l_linenumber + 1 AS STRING), '-', CAST(l_linenumber + 1 AS STRING)) ELSE '1 2' END AS g FROM {lineitem}"""
 EXPAND_SQL = r"""SELECT doc_id, n, CASE WHEN bool_and(ok) AND (contains(any_value(g), ',') OR trim(any_value(g)) <> '') THEN coalesce(string_agg(ids, ',' ORDER BY i), '') END AS ids FROM (
-    SELECT doc_id, n, g, i, regexp_matches(p, '^\s*\d+\s*(-\s*\d+\s*)?$') AS ok,
-        array_to_string(CASE WHEN regexp_matches(p, '^\s*\d+\s*(-\s*\d+\s*)?$') THEN range(trim(split_part(p, '-', 1))::BIGINT, trim(split_part(p, '-', -1))::BIGINT + 1) END, ',') AS ids
+    SELECT doc_id, n, g, i, regexp_matches(p, '^\s*\d+\s*(-\s*\d+\s*)?(-\s*\d+\s*)?$') AS ok,
+        array_to_string(CASE WHEN regexp_matches(p, '^\s*\d+\s*(-\s*\d+\s*)?(-\s*\d+\s*)?$') THEN range(trim(split_part(p, '-', 1))::BIGINT, trim(CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END)::BIGINT + 1,
+            CASE WHEN regexp_matches(p, '-.*-') THEN trim(split_part(p, '-', 3))::BIGINT + 2 ELSE 1 END) END, ',') AS ids
     FROM (SELECT doc_id, n, g, unnest(string_split(g, ',')) AS p, generate_subscripts(string_split(g, ','), 1) AS i FROM {0}) WHERE trim(p) <> '' OR NOT contains(g, ','))
     GROUP BY doc_id, n"""
 
@@ -300,7 +339,23 @@ def _cited(groups: DataFrame) -> DataFrame:
     return groups.withColumn("ids", citations.expand_group(F.col("g"))).groupBy("doc_id").agg(F.transform(rows, lambda r: r["ids"]).alias("groups"))
 
 
-@_query(GROUPS)
+#: One step for each number, each end of a group and each number waiting then; ``i`` is the event, ``todo`` what waits to be looked at.
+ORDER_SQL = f"""WITH RECURSIVE g AS (SELECT e.doc_id, e.n, string_split(ids, ',') AS ids FROM ({EXPAND_SQL}) e WHERE ids IS NOT NULL),
+    ev AS (SELECT doc_id, list(ref ORDER BY n, j) AS refs FROM (
+        SELECT doc_id, n, j, CASE WHEN j <= len(ids) THEN try_cast(ids[j] AS INT) END AS ref, j > len(ids) AS ends FROM (SELECT doc_id, n, ids, unnest(range(1, len(ids) + 2)) AS j FROM g)) WHERE ref IS NOT NULL OR ends GROUP BY doc_id),
+    run AS (SELECT d.doc_id, coalesce(refs, []::INT[]) AS refs, 1::BIGINT AS i, false AS ending, 0 AS k, []::INT[] AS seen, []::INT[] AS todo, []::INT[] AS ooo FROM (SELECT DISTINCT doc_id FROM {{0}}) d LEFT JOIN ev ON d.doc_id = ev.doc_id
+        UNION ALL SELECT r.doc_id, refs, CASE WHEN ending AND len(todo) > 0 THEN r.i WHEN ending OR refs[i] IS NOT NULL THEN r.i + 1 ELSE r.i END,
+            CASE WHEN ending THEN len(todo) > 0 ELSE refs[i] IS NULL END,
+            CASE WHEN coalesce(CASE WHEN ending THEN todo[1] ELSE refs[i] END, -1) = k + 1 THEN k + 1 ELSE k END,
+            CASE WHEN ending THEN CASE WHEN todo[1] = k + 1 THEN list_filter(seen, lambda x: x <> k + 1) ELSE seen END WHEN refs[i] > k + 1 AND NOT list_contains(seen, refs[i]) THEN list_append(seen, refs[i]) ELSE seen END,
+            CASE WHEN ending THEN todo[2:] WHEN refs[i] IS NULL THEN seen ELSE []::INT[] END,
+            CASE WHEN ending AND len(todo) = 0 THEN list_concat(ooo, seen) ELSE ooo END
+        FROM run r WHERE i <= len(refs)),
+    last AS (SELECT doc_id, max_by(ooo, i) AS ooo FROM run GROUP BY doc_id)
+    SELECT doc_id, array_to_string(list_sort(list_distinct(ooo)), ',') AS out_of_order FROM last"""
+
+
+@_query(GROUPS, sql=ORDER_SQL)
 def citation_order(groups):
     return _cited(groups).select("doc_id", F.array_join(F.array_sort(citations.out_of_order(F.col("groups"))), ",").alias("out_of_order"))
 
@@ -324,7 +379,15 @@ LISTED = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS para_no
     ELSE concat(' [', CAST(l_linenumber - 1 AS STRING), '] C') END AS text FROM {lineitem}"""
 
 
-@_query(LISTED)
+#: Paragraphs one after the other: an entry's own number, or the next one within the first four characters once the list is on.
+LIST_SQL = r"""WITH RECURSIVE p AS (SELECT doc_id, para_no, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS i, TRY_CAST(nullif(regexp_extract(trim(text), '^[[](\d+)[]]', 1), '') AS INT) AS own, left(trim(text), 4) AS head FROM {0}),
+    run AS (SELECT doc_id, 0::BIGINT AS i, NULL::BIGINT AS para_no, false AS listed, 0 AS last, NULL::INT AS id, NULL::BOOLEAN AS numbered FROM (SELECT DISTINCT doc_id FROM {0})
+        UNION ALL SELECT p.doc_id, p.i, p.para_no, listed OR coalesce(own = 1 AND p.i > 1, false), coalesce(own, CASE WHEN listed AND contains(head, (last + 1)::VARCHAR) THEN last + 1 END, last),
+            coalesce(own, CASE WHEN listed AND contains(head, (last + 1)::VARCHAR) THEN last + 1 END), own IS NOT NULL FROM run r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)
+    SELECT doc_id, para_no, id, numbered FROM run WHERE id IS NOT NULL"""
+
+
+@_query(LISTED, sql=LIST_SQL)
 def reference_list(paragraphs):
     return citations.list_items(paragraphs)
 
@@ -380,7 +443,16 @@ def table_order(titles, references):
     return captions.number_tables(titles, references).select("doc_id", "id", "text", "uses", "used_ok", "order_ok", shown.alias("messages"))
 
 
-@_query(TABLES_TEXT)
+#: What is left of a caption without digits and marks is title case if every word but "of" and "the" within begins with a capital.
+CAPTION_SQL = r"""WITH t AS (SELECT *, trim(text) AS c, regexp_replace(regexp_replace(trim(text), '[^a-zA-Z ]', ' ', 'g'), ' +', ' ', 'g') AS plain FROM {0}),
+    w AS (SELECT doc_id, table_no, bool_and(word = '' OR regexp_matches(word, '^[A-Z]') OR (i > 1 AND i < last AND word IN ('of', 'the', 'and', 'in'))) AS cased FROM (
+        SELECT doc_id, table_no, word, i, max(CASE WHEN word <> '' THEN i END) OVER (PARTITION BY doc_id, table_no) AS last FROM (SELECT doc_id, table_no, unnest(string_split(plain, ' ')) AS word, generate_subscripts(string_split(plain, ' '), 1) AS i FROM t)) GROUP BY doc_id, table_no),
+    m AS (SELECT t.*, array_to_string(list_filter([CASE WHEN NOT regexp_matches(c, '^Table \d+:') THEN 'Does not use "Table N: " format' END, CASE WHEN ends_with(c, '.') THEN 'Has a . at the end of the sentence' END, CASE WHEN NOT cased THEN 'Not in Title Case/Initial Caps' END], lambda x: x IS NOT NULL), '|') AS messages
+        FROM t JOIN w ON t.doc_id = w.doc_id AND t.table_no = w.table_no)
+    SELECT doc_id, table_no, text, messages, messages = '' AS text_format_ok FROM m"""
+
+
+@_query(TABLES_TEXT, sql=CAPTION_SQL)
 def caption_format(titles):
     return captions.caption_format(titles).withColumn("messages", F.array_join("messages", "|"))
 
@@ -396,6 +468,11 @@ def caption_routing(rows):
     return rows.select("id", captions.caption_rule(F.col("text"), "table").alias("rule"), captions.caption_style_verdict(F.col("text"), F.col("good"), F.col("known")).alias("verdict"))
 
 
+@_query("SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS actual FROM {part}", sql="SELECT id, actual > 25 AS gt, actual < 25 AS lt, actual >= 25 AS ge, actual <= 25 AS le, actual = 25 AS eq FROM {0}")
+def comparisons(rows):
+    return rows.select("id", *(styles.compare(F.col("actual"), op, 25.0).alias(n) for op, n in ((">", "gt"), ("<", "lt"), (">=", "ge"), ("<=", "le"), ("=", "eq"))))
+
+
 FLOATS = "SELECT l_orderkey AS id, l_linenumber AS n, l_returnflag = 'A' AS anchored, CASE WHEN l_suppkey % 3 > 0 THEN CAST(l_quantity AS INT) END AS y, CASE WHEN l_linestatus = 'F' THEN 'auto' ELSE 'dxa' END AS w FROM {lineitem}"
 
 
@@ -530,6 +607,11 @@ def style_rules(paragraphs, sheet, runs):
     return checked.select("doc_id", "para_no", "rule", "alignment_ok", "after_ok", "bold_ok", "first_line_ok")
 
 
+@_query("SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'Heading' WHEN 1 THEN 'Heading 2' WHEN 2 THEN 'Heading 3' ELSE n_name END AS style FROM {nation}", sql="SELECT id, CASE style WHEN 'Heading 2' THEN 'subsection' WHEN 'Heading 3' THEN 'third_level' ELSE 'section' END AS rule FROM {0}")
+def heading_guess(rows):
+    return rows.select("id", styles.heading_level(F.col("style")).alias("rule"))
+
+
 EMBEDDED = "SELECT l_orderkey AS doc_id, CASE l_linenumber WHEN 1 THEN 'JACoW_Paper Title' WHEN 2 THEN 'JACoW_Author List' ELSE 'Normal' END AS name FROM {lineitem}"
 
 
@@ -609,6 +691,14 @@ def tri_state_fold(findings):
     return scoring.section_verdicts(findings)
 
 
-@_query("SELECT p_partkey AS id, concat(p_name, ' of the ', p_type) AS text FROM {part}")
+#: Small words stay small between the first and the last; a word with a capital inside stays as it is.
+TITLE_SQL = """WITH w AS (SELECT id, i, word, max(i) OVER (PARTITION BY id) AS last FROM (SELECT id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM {0}))
+    SELECT id, bool_and(word = CASE WHEN i > 1 AND i < last AND lower(word) IN ('of', 'the', 'and') THEN lower(word) WHEN regexp_matches(substr(word, 2), '[A-Z]') THEN word ELSE upper(substr(word, 1, 1)) || substr(word, 2) END) AS title_case FROM w GROUP BY id"""
+
+
+@_query(
+    "SELECT p_partkey AS id, concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2)), CASE p_size % 4 WHEN 0 THEN ' of the ' WHEN 1 THEN ' Of The ' WHEN 2 THEN ' and ' ELSE ' ' END, CASE WHEN p_size % 3 = 0 THEN 'ring' WHEN p_size % 3 = 1 THEN 'Ring' ELSE 'LHC' END) AS text FROM {part}",
+    sql=TITLE_SQL,
+)
 def title_case(rows):
     return rows.select("id", is_title_case(F.col("text")).alias("title_case"))

@@ -164,12 +164,20 @@ def parse_files(files: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
+            held, load = [], 0
             for doc, name, content in zip(*(batch.column(c) for c in ("doc_id", "filename", "content"))):
+                data = content.as_py()
                 try:
-                    row = parse_docx(content.as_py()) if content.is_valid else {"parse_error": "there is no file"}
+                    row = {"parse_error": "there is no file"} if data is None else parse_docx(data)
                 except Exception as e:  # noqa: BLE001  any file may be malformed in any way
                     row = {"parse_error": f"{type(e).__name__}: {e}"}
-                yield pa.RecordBatch.from_pylist([{"doc_id": doc.as_py(), "filename": name.as_py(), **row}], schema=kinds)
+                held.append({"doc_id": doc.as_py(), "filename": name.as_py(), **row})
+                load += len(data or b"")
+                if len(held) >= 64 or load >= 1 << 22:
+                    yield pa.RecordBatch.from_pylist(held, schema=kinds)
+                    held, load = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=kinds)
 
     return files.select("doc_id", "filename", "content").mapInArrow(run, schema)
 
