@@ -75,11 +75,62 @@ QUERIES = {
     for f in (op1_simhash, op2_mixing, op3_license, op4_quality, op5_token_ids, op6_packing, op7_chat, op8_warc, op9_neighbours, op10_language)
 }
 
+
+
+# --- what SQL can say of operators 2, 3, 4, 5 and 6: their columns or sums that don't depend on a choice
+
+
+def licence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_license(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality(spark, sf_dir).drop("kept")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, words and target, and whether the words taken come within its smallest document of it."""
+    by = op2_mixing(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source")
+    near = F.abs(F.sum("taken") - F.max("target")) <= F.greatest(F.min(F.when(F.col("size") > 0, F.col("size"))).cast("double"), 0.01 * F.max("target"))
+    return by.agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"), near.alias("near"), F.bool_and(F.col("taken") <= 2 * F.col("size")).alias("bounded"))
+
+
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether its pieces follow one another from 0 to its end, none of them over 1024 ids."""
+    pieces = op6_packing(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("p"), F.max("doc_tokens").alias("total"))
+    end = F.aggregate("p", F.lit(0).cast("long"), lambda at, x: F.when((x["start"] == at) & (x["length"] <= 1024), at + x["length"]).otherwise(F.lit(-1).cast("long")))
+    return pieces.select("doc_id", (end == F.col("total")).alias("whole"))
+
+
 _ESCAPED = "replace(coalesce(text, ''), '\\', '\\\\')"
 for _c in chat.CONTROLS:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '\\{_c}')"
 
+QUERIES |= {f.__name__: f for f in (licence_places, quality_counts, mix_targets, packed_documents)}
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL = {
+    "licence_places": rf"""
+        WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, i, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl'
+            WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t WHERE len(w) > 0))
+        SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low AS first_word, high AS last_word, coalesce(labels, '') AS base_labels
+        FROM t LEFT JOIN (SELECT doc_id, count(*) AS n, min(i) - 1 AS low, max(i) - 1 AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id) b ON t.doc_id = b.doc_id""",
+    "quality_counts": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS again FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2))),
+        r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(3) s(k) WHERE again GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_WORDS}') GROUP BY doc_id),
+        m AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+            FROM t LEFT JOIN l ON t.doc_id = l.doc_id LEFT JOIN r ON t.doc_id = r.doc_id)
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m""",
+    "mix_targets": rf"""
+        WITH RECURSIVE s AS (SELECT source, count(*) AS n, sum(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')))::BIGINT AS size FROM documents GROUP BY source),
+        w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+        level AS (SELECT 0 AS round, 0.0::DOUBLE AS x UNION ALL SELECT round + 1, (SELECT (1.5 * sum(size) - coalesce(sum(2 * size) FILTER (2 * size <= x * weight), 0)) / sum(weight) FILTER (2 * size > x * weight) FROM w) FROM level WHERE round < 50)
+        SELECT source, n, size, size AS source_size, round(least(2.0 * size, weight * (SELECT max(x) FROM level)), 3) AS target, true AS near, true AS bounded FROM w""",
+    "packed_documents": "SELECT DISTINCT doc_id, true AS whole FROM documents",
     "op7_chat": f"""
         WITH rows AS (
             SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, role, coalesce(text, '') AS text, length({_ESCAPED}) AS n FROM (
