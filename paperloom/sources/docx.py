@@ -3,7 +3,8 @@
 ``read_docx`` reads files with Spark's ``binaryFile`` source and parses each once, in Python, from
 the archive's XML; a file that can't be parsed becomes a row with ``parse_error``.  Paragraph text
 is the concatenation of the paragraph's own runs (not those inside links); tabs and breaks become
-characters.  Cells merged across columns or rows are read once.
+characters.  Cells merged across columns or rows are read once, at the first place they cover;
+columns count places of the table's grid.  A table within a cell isn't one of the document's tables.
 """
 
 from __future__ import annotations
@@ -115,8 +116,11 @@ class _Body:
         place = props.find(W + "tblpPr") if props is not None else None
         self.tables.append(row | {"anchored": place is not None, "tblpY": None if place is None else _number(place.get(W + "tblpY")), "tblW_type": _value(props, "tblW", "type")})
         for r, tr in enumerate(rows):
-            for c, tc in enumerate(tr.findall(W + "tc")):
-                merge = tc.find(f"{W}tcPr/{W}vMerge")
+            column = _number(_value(tr.find(W + "trPr"), "gridBefore")) or 0
+            for tc in tr.findall(W + "tc"):
+                props = tc.find(W + "tcPr")
+                c, column = column, column + max(1, _number(_value(props, "gridSpan")) or 1)
+                merge = props.find(W + "vMerge") if props is not None else None
                 if merge is not None and merge.get(W + "val", "continue") == "continue":
                     continue  # the merged cell's text stands in its first row
                 for p in tc.findall(W + "p"):

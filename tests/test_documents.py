@@ -71,6 +71,21 @@ def test_parse(parsed):
     assert upload.metadata(parsed).where("filename = 'abc12.docx'").first().created == "02/01/2024 03:04"
 
 
+def test_columns_of_merged_cells():
+    def cell(text, props=""):
+        return f"<w:tc><w:tcPr>{props}</w:tcPr>{p(text)}</w:tc>"
+
+    below, wide, inner = '<w:vMerge/>', '<w:gridSpan w:val="2"/>', table([["deep", "er"]])
+    rows = [
+        cell("a", wide) + cell("b", '<w:vMerge w:val="restart"/>'),
+        cell("c") + f"<w:tc>{inner}{p('d')}</w:tc>" + cell("", below),
+    ]
+    grid = f'<w:tbl><w:tblPr/><w:tblGrid>{3 * "<w:gridCol/>"}</w:tblGrid>{"".join(f"<w:tr>{r}</w:tr>" for r in rows)}<w:tr><w:trPr><w:gridBefore w:val="1"/></w:trPr>{cell("e")}</w:tr></w:tbl>'
+    found = docx.parse_docx(word([grid]))
+    assert [(x["text"], x["row_no"], x["col_no"]) for x in found["paragraphs"]] == [("a", 1, 1), ("b", 1, 3), ("c", 2, 1), ("d", 2, 2), ("e", 3, 2)]
+    assert [(x["n_rows"], x["n_cols"], x["has_text"]) for x in found["tables"]] == [(3, 3, True)]
+
+
 def test_upload_check(parsed):
     whole = parsed.where("filename <> 'abc12.docx' or size(paragraphs) > 5 or paragraphs is null")
     checked = upload.upload_check(stored(whole, "whole"))
