@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, langid, license, mixing, packing, quality, simhash, simple8b, warc
+from . import ann, chat, importance, langid, license, mixing, packing, quality, runs, simhash, simple8b, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +72,39 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of one document in ten a stretch repeated to the end; a document without an id stays as it is."""
+    h = 1 if doc_id is None else crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(len(words) - a)]
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_table(spark, sf_dir, "documents"), min_length=24, min_exponent=3, rewrite=_periodic)
+    found = found.withColumn("best", runs.strongest(F.col("runs")))
+    exponent = F.floor(F.expr("1000 * best.length div best.period")).cast("long")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"),
+        F.sha2(runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_mixing, op3_license, op4_quality, op5_token_ids, op6_packing, op7_chat, op8_warc, op9_neighbours, op10_language)
+    for f in (op1_simhash, op2_mixing, op3_license, op4_quality, op5_token_ids, op6_packing, op7_chat, op8_warc, op9_neighbours, op10_language, op11_runs, op12_topk, op13_importance)
 }
 
 
@@ -142,6 +174,12 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE length(role) + 24 END)::BIGINT AS formatted_chars
         FROM rows GROUP BY conv_id, alone""",
+    "op12_topk": """
+        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.c, v.c)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_warc": """
         WITH hashed AS (
             SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
