@@ -20,58 +20,64 @@ MESSAGES = ('Does not use "Table N: " format', "Has a . at the end of the senten
 
 
 def digits(c: Column) -> Column:
-    """All digits of a text as one number; null if there is none, or too many."""
-    return F.regexp_replace(c, r"(?U)\D", "").try_cast("int")
+    """All digits of a text as one number; null if there is none, or more than a long takes."""
+    return F.regexp_replace(c, r"(?U)\D", "").try_cast("bigint")
 
 
-def figure_captions(paragraphs: DataFrame, pattern: str = FIGURE_CAPTION) -> DataFrame:
-    """(doc_id, seq, id, name, text) of paragraphs (doc_id, seq, text), body and cells alike."""
-    text = strip(F.col("text"))
-    rows = paragraphs.select("doc_id", "seq", text.alias("text"), F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("name"))
-    return rows.select("doc_id", "seq", digits(F.col("name")).alias("id"), "name", "text")
+def figure_marks(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, seq, n, kind, id, name, text): captions (c), wrongly formed ones (w) and references (r), in one pass.
 
-
-def figure_references(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, seq, n, id, name) of body paragraphs; a hit that ends in a dot and opens its paragraph is a caption."""
-    rows = paragraphs.select("doc_id", "seq", strip(F.col("text")).alias("t"), F.posexplode(F.regexp_extract_all("text", F.lit(FIGURE_REFERENCE), F.lit(0))).alias("n", "hit"))
-    name = strip(F.col("hit"))
-    rows = rows.withColumn("name", name).where(~(F.endswith("name", F.lit(".")) & F.startswith("t", F.col("name"))))
-    return rows.select("doc_id", "seq", "n", digits(F.col("name")).alias("id"), "name")
-
-
-def correlate_figures(captions: DataFrame, wrong: DataFrame, references: DataFrame) -> DataFrame:
+    Paragraphs (doc_id, seq, text) are those of body and cells; a column ``scope`` keeps references to
+    the body.  A hit that ends in a dot and opens its paragraph is a caption and no reference.
+    """
+    paragraphs = paragraphs.withColumn("shown", strip(F.col("text")))
+    shown = F.col("shown")
+    hits = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    marked = lambda names, kind: F.transform(names, lambda name, n: F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("n"), name.alias("name")))
+    opens = lambda name: F.endswith(name, F.lit(".")) & F.startswith(shown, name)
+    references = F.filter(F.transform(hits(F.col("text"), FIGURE_REFERENCE), strip), lambda name: ~opens(name))
+    if "scope" in paragraphs.columns:
+        references = F.when(F.col("scope") == "body", references).otherwise(F.array().cast("array<string>"))
+    every = F.concat(marked(hits(shown, FIGURE_CAPTION), "c"), marked(hits(shown, FIGURE_WRONG), "w"), marked(references, "r"))
+    rows = paragraphs.select("doc_id", "seq", "shown", F.explode(every).alias("m"))
+    return rows.select("doc_id", "seq", "m.n", "m.kind", digits(F.col("m.name")).alias("id"), "m.name", F.when(F.col("m.kind") != "r", shown).alias("text"))
+
+
+def correlate_figures(marks: DataFrame) -> DataFrame:
     """Figures 1 to the largest number met, per document, with captions (else wrong ones), references and flags.
 
-    The three inputs meet as one union grouped by (doc_id, id); nothing is joined to a series but
-    the numbers of a document, at most its largest.
+    A row stands for ``numbers`` figures from ``id`` on: one that is met, or all of those missing
+    between two, whatever their number; ``each_number`` makes rows of them.  One shuffle by document
+    serves the grouping by number and the search for gaps.
     """
-    empty = F.lit(None).cast("string")
-    kinds = [(captions, "c", "text"), (wrong, "w", "text"), (references, "r", None)]
-    rows = None
-    for df, kind, text in kinds:
-        order = F.struct("seq", (F.col("n") if "n" in df.columns else F.lit(0)).alias("n"), "name", (F.col(text) if text else empty).alias("text"))
-        part = df.where("id is not null").select("doc_id", "id", F.lit(kind).alias("kind"), order.alias("item"))
-        rows = part if rows is None else rows.unionByName(part)
+    item = F.struct("seq", "n", "name", "text")
     pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("item"))))
+    rows = marks.where("id >= 1").select("doc_id", "id", "kind", item.alias("item")).repartition("doc_id")
     met = rows.groupBy("doc_id", "id").agg(*(pick(k).alias(k) for k in "cwr"))
-    last = met.groupBy("doc_id").agg(F.max("id").alias("last")).where("last >= 1")
-    every = last.select("doc_id", F.explode(F.sequence(F.lit(1), "last")).alias("id"))
-    none = F.array().cast("array<struct<seq:bigint,n:int,name:string,text:string>>")
-    full = every.join(met, ["doc_id", "id"], "left")
-    for k in "cwr":
-        full = full.withColumn(k, F.coalesce(k, none.cast(dict(met.dtypes)[k])))
+    before = F.coalesce(F.lag("id").over(Window.partitionBy("doc_id").orderBy("id")), F.lit(0))
+    met = met.withColumn("before", before)
+    none = F.array().cast(dict(met.dtypes)["c"])
+    missing = F.struct((F.col("before") + 1).alias("id"), (F.col("id") - F.col("before") - 1).alias("numbers"), *(none.alias(k) for k in "cwr"))
+    own = F.struct("id", F.lit(1).cast("bigint").alias("numbers"), *"cwr")
+    full = met.select("doc_id", F.explode(F.filter(F.array(missing, own), lambda x: x["numbers"] > 0)).alias("x")).select("doc_id", "x.*")
     shown = F.when(F.size("c") > 0, F.col("c")).when(F.size("w") > 0, F.col("w"))
     out = full.select(
-        "doc_id", "id", F.transform("r", lambda r: r["name"]).alias("refs"), (F.size("r") > 0).alias("used_ok"),
+        "doc_id", "id", "numbers", F.transform("r", lambda r: r["name"]).alias("refs"), (F.size("r") > 0).alias("used_ok"),
         F.when(F.size("c") > 0, F.size("c") == 1).when(F.size("w") > 0, F.size("w") == 1).otherwise(F.lit(False)).alias("unique_ok"),
         (F.size("c") + F.size("w") > 0).alias("found_ok"), (F.size("c") == 1).alias("one"), F.explode_outer(shown).alias("item"),
     )
     return out.select(
-        "doc_id", "id", F.col("item.name").alias("name"), F.col("item.text").alias("text"), "refs", "used_ok", "unique_ok", "found_ok",
+        "doc_id", "id", "numbers", F.col("item.seq").alias("seq"), F.col("item.name").alias("name"), F.col("item.text").alias("text"), "refs", "used_ok", "unique_ok", "found_ok",
         F.coalesce(F.col("one") & F.endswith(F.col("item.name"), F.lit(":")), F.lit(False)).alias("caption_ok"),
     )
 
 
+def each_number(figures: DataFrame) -> DataFrame:
+    """A row for every number that the rows of ``correlate_figures`` stand for."""
+    each = F.explode(F.sequence(F.col("id"), F.col("id") + F.col("numbers") - 1)).alias("id")
+    return figures.select("doc_id", each, *(c for c in figures.columns if c not in ("doc_id", "id", "numbers")))
+
+
 def caption_rule(text: Column, kind: str) -> Column:
     """The style rule of a caption: one line or more."""
     return F.when(F.char_length(strip(text)) > ONE_LINE, f"{kind}_caption_lines").otherwise(f"{kind}_caption_line")

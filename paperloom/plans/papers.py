@@ -1,111 +1,18 @@
 """Registered queries over Word files, from bytes to findings, and their SQL.
 
-The driver's tables hold no manuscripts, so each customer becomes a paper and each of its orders a
-paragraph, a figure, a table and a list entry of it.  ``BLOCKS`` is that paper as rows, in SQL that
-both engines run; ``word_files`` makes the file of it.  What the checks must find follows from the
-rows by rules written out below, without the checks' code.
+The files are those of ``fixtures``.  What the checks must find follows from the rows they are made of
+by rules written out below, without the checks' code.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.operators import scoring
 from paperloom.plans import upload
-from paperloom.sources.docx import parsed_docs, table
-from paperloom.sources.stage import stored
-
-#: In a text, ``~`` begins a second run, which has the properties of ``rpr``, and ``^`` begins and ends a superscript.
-BLOCKS = """(WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS n FROM {orders}),
-    d AS (SELECT DISTINCT doc_id FROM o)
-    SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, 'title' AS kind, CASE WHEN doc_id % 4 = 0 THEN 'Normal' ELSE 'JACoW_Paper Title' END AS style,
-        CASE WHEN doc_id % 5 = 0 THEN 'A great study' WHEN doc_id % 3 = 0 THEN 'A small STUDY' ELSE 'A GREAT STUDY' END AS text, CASE WHEN doc_id % 5 = 0 THEN '<w:caps/>' ELSE '' END AS rpr FROM d
-    UNION ALL SELECT doc_id, 1, 0, 0, 'authors', 'JACoW_Author List', 'A. Bee^*^, C.D. Dee', '' FROM d
-    UNION ALL SELECT doc_id, 2, 0, 0, 'abstract', 'JACoW_Abstract_Heading', CASE WHEN doc_id % 19 = 0 THEN 'Summary' ELSE 'Abstract' END, '' FROM d
-    UNION ALL SELECT doc_id, 3, 0, 0, 'body', 'JACoW_Body Text Indent', 'This abstract is long enough to count as a paragraph of the body.', '' FROM d
-    UNION ALL SELECT doc_id, 10 * n, n, k, 'body', CASE WHEN k % 7 = 0 THEN 'Normal' ELSE 'JACoW_Body Text Indent' END, concat('Study ', CAST(n AS STRING), ' of the storage ring looks at Fig. ', CAST(n AS STRING),
-        CASE WHEN n % 3 = 0 THEN '' ELSE concat(' and Table ', CAST(n AS STRING)) END, ' and cites [', CAST(CASE WHEN n % 6 = 0 THEN 1 ELSE n END AS STRING), '] in passing.'), '' FROM o
-    UNION ALL SELECT doc_id, 10 * n + 1, n, k, 'figure', CASE WHEN k % 5 = 0 THEN 'Table Caption' ELSE 'Figure Caption' END, concat('Figure ', CAST(n AS STRING), CASE WHEN n % 4 = 3 THEN '.' ELSE ':' END, ' A beam'), '' FROM o WHERE n % 2 = 1
-    UNION ALL SELECT doc_id, 10 * n + 2, n, k, 'title of table', CASE WHEN n % 8 = 0 THEN 'Figure Caption' ELSE 'Table Caption' END, CASE WHEN n % 4 = 0 THEN concat('Table ', CAST(CAST(n / 2 AS BIGINT) AS STRING), ': Beam Data') ELSE 'Table 9 rates.' END, '' FROM o WHERE n % 2 = 0
-    UNION ALL SELECT doc_id, 10 * n + 3, n, k, 'table', 'Normal', 'x', '' FROM o WHERE n % 2 = 0
-    UNION ALL SELECT doc_id, 10 * n + 4, n, k, 'heading', 'JACoW_Section Heading', 'RESULTS', '' FROM o WHERE n % 3 = 0
-    UNION ALL SELECT doc_id, 1000000, 0, 0, 'references', 'Normal', 'REFERENCES', '' FROM d
-    UNION ALL SELECT doc_id, 1000000 + n, n, k, 'entry', 'JACoW_Reference #1-9 when >= 10 Refs', CASE WHEN n % 5 = 0 THEN concat('[', CAST(n AS STRING), '] A paper') ELSE concat('[', CAST(n AS STRING), ']', chr(9), 'A paper, ~doi:10.1/x') END,
-        CASE WHEN n % 2 = 1 THEN '<w:rFonts w:ascii="Liberation Mono"/><w:sz w:val="16"/>' ELSE '' END FROM o)"""
-
-_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-#: The formats that the rules ask for, by style: alignment, space before and after and indent in twips, run properties.
-_SHEET = {
-    "JACoW_Paper Title": ("center", 0, 60, "", '<w:b/><w:sz w:val="28"/>'),
-    "JACoW_Author List": ("center", 180, 240, "", '<w:sz w:val="24"/>'),
-    "JACoW_Abstract_Heading": ("", 0, 60, "", '<w:i/><w:sz w:val="24"/>'),
-    "JACoW_Section Heading": ("center", 180, 60, "", '<w:b/><w:sz w:val="24"/>'),
-    "JACoW_Body Text Indent": ("both", 0, 0, 'w:firstLine="187"', '<w:sz w:val="20"/>'),
-    "Figure Caption": ("center", 60, 60, "", '<w:sz w:val="20"/>'),
-    "Table Caption": ("center", 60, 60, "", '<w:sz w:val="20"/>'),
-    "JACoW_Reference #1-9 when >= 10 Refs": ("both", 0, 60, 'w:hanging="295"', '<w:sz w:val="18"/>'),
-}
-
-
-def _escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
-
-
-def _paragraph(style: str, text: str, rpr: str) -> str:
-    def run(piece: str, props: str) -> str:
-        body = "<w:tab/>".join(f'<w:t xml:space="preserve">{_escape(x)}</w:t>' for x in piece.split("\t"))
-        return f"<w:r>{props and f'<w:rPr>{props}</w:rPr>'}{body}</w:r>"
-
-    runs = []
-    for n, part in enumerate(text.split("~")):
-        for m, piece in enumerate(part.split("^")):
-            runs.append(run(piece, '<w:vertAlign w:val="superscript"/>' if m % 2 else rpr if n or "~" not in text else ""))
-    return f'<w:p><w:pPr><w:pStyle w:val="{_escape(style)}"/></w:pPr>{"".join(runs)}</w:p>'
-
-
-def _styles() -> str:
-    made = [f'<w:styles {_NS}><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>']
-    for name, (align, before, after, indent, rpr) in _SHEET.items():
-        ppr = (align and f'<w:jc w:val="{align}"/>') + f'<w:spacing w:before="{before}" w:after="{after}"/>' + (indent and f"<w:ind {indent}/>")
-        made.append(f'<w:style w:type="paragraph" w:styleId="{_escape(name)}"><w:name w:val="{_escape(name)}"/><w:pPr>{ppr}</w:pPr><w:rPr>{rpr}</w:rPr></w:style>')
-    return "".join(made) + "</w:styles>"
-
-
-def word_file(doc_id: int, blocks) -> bytes:
-    """The .docx of a paper's (style, text, rpr, kind) in order; every 29th isn't one, every 23rd has an insertion."""
-    if doc_id % 29 == 0:
-        return b"not a file"
-    cell = f"<w:tc>{_paragraph('Normal', 'x', '')}</w:tc>"
-    grid = f"<w:tbl><w:tblPr/><w:tblGrid><w:gridCol/><w:gridCol/></w:tblGrid>{2 * f'<w:tr>{cell}{cell}</w:tr>'}</w:tbl>"
-    body = "".join(grid if kind == "table" else _paragraph(style, text, rpr) for style, text, rpr, kind in blocks)
-    tracked = "<w:p><w:ins><w:r><w:t>new</w:t></w:r></w:ins></w:p>" if doc_id % 23 == 0 else ""
-    page = f'<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="{1077 if doc_id % 2 else 2098}" w:bottom="1077" w:left="1134" w:right="1134"/></w:sectPr>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as archive:
-        archive.writestr("word/document.xml", f"<w:document {_NS}><w:body>{body}{tracked}{page}</w:body></w:document>")
-        archive.writestr("word/styles.xml", _styles())
-    return out.getvalue()
-
-
-def word_files(blocks: DataFrame) -> DataFrame:
-    """(doc_id, filename, content) of BLOCKS' rows."""
-    lines = F.array_sort(F.collect_list(F.struct("pos", "style", "text", "rpr", "kind")))
-    papers = blocks.groupBy("doc_id").agg(lines.alias("lines")).repartition(blocks.sparkSession.sparkContext.defaultParallelism)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines"))))
-            made = [word_file(doc, [(x["style"], x["text"], x["rpr"], x["kind"]) for x in lines]) for doc, lines in rows]
-            names = [f"p{doc}.{'pdf' if doc % 31 == 0 else 'docx'}" for doc, _ in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(made, pa.binary())], names=["doc_id", "filename", "content"])
-
-    return papers.mapInArrow(run, "doc_id bigint, filename string, content binary")
-
+from paperloom.plans.fixtures import BLOCKS, word_files, write_files
+from paperloom.sources.docx import parsed_docs, read_docx, table
+from paperloom.sources.stage import scratch, stored
 
 def parsed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -128,12 +35,13 @@ def _case(condition: str) -> str:
 
 
 _KNOWN = "style <> 'Normal'"
-_FOUND = f"""{_PARAGRAPHS}, found AS (
+_FOUND = f"""{_PARAGRAPHS}, single AS (
     SELECT doc_id, 'Document' AS section, 0 AS item_no, 'parsed_ok' AS check_name, 'fail' AS verdict FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders) WHERE doc_id % 29 = 0 OR doc_id % 31 = 0 OR doc_id % 23 = 0 OR doc_id % 19 = 0
     UNION ALL SELECT doc_id, 'Title', para_no, 'style_ok', {_case("style <> 'Normal'")} FROM good WHERE kind = 'title'
     UNION ALL SELECT doc_id, 'Title', para_no, 'title_style_ok', {_case("style <> 'Normal'")} FROM good WHERE kind = 'title'
     UNION ALL SELECT doc_id, 'Title', para_no, 'case_ok', {_case("doc_id % 5 = 0 OR doc_id % 3 > 0")} FROM good WHERE kind = 'title'
     UNION ALL SELECT doc_id, CASE kind WHEN 'authors' THEN 'Authors' ELSE 'Abstract' END, para_no, c, 'ok' FROM good, (VALUES ('style_ok'), ('title_style_ok')) v(c) WHERE kind IN ('authors', 'abstract')
+    UNION ALL SELECT DISTINCT doc_id, 'Authors', 0, 'found_ok', {_case("doc_id % 17 > 0")} FROM good
     UNION ALL SELECT doc_id, 'Headings', para_no, 'style_ok', 'ok' FROM good WHERE kind = 'heading'
     UNION ALL SELECT doc_id, 'Paragraphs', para_no, 'style_ok', {_case("style <> 'Normal'")} FROM good WHERE kind = 'body'
     UNION ALL SELECT doc_id, 'Figures', n, c, CASE c WHEN 'used_ok' THEN 'ok' WHEN 'caption_ok' THEN {_case("n % 4 = 1")} ELSE {_case("n % 2 = 1")} END FROM good, (VALUES ('caption_ok'), ('unique_ok'), ('used_ok'), ('found_ok')) v(c) WHERE kind = 'body' AND n > 0
@@ -144,51 +52,69 @@ _FOUND = f"""{_PARAGRAPHS}, found AS (
         FROM good, (VALUES ('used_ok'), ('order_ok'), ('unique_ok'), ('text_ok'), ('style_ok')) v(c) WHERE kind = 'entry'
     UNION ALL SELECT doc_id, 'Styles', 0, 'style_ok', v FROM (SELECT DISTINCT doc_id FROM good), (SELECT CASE WHEN r < 6 THEN 'ok' ELSE 'fail' END AS v FROM range(14) t(r))
     UNION ALL SELECT doc_id, 'Margins', 0, c, CASE WHEN c = 'columns_ok' OR doc_id % 2 = 0 THEN 'ok' ELSE 'fail' END FROM (SELECT DISTINCT doc_id FROM good), (VALUES ('margins_ok'), ('columns_ok')) v(c)
-    UNION ALL SELECT doc_id, 'Parsed Document', para_no + i, 'style_ok', CASE WHEN {_KNOWN} THEN 'ok' ELSE 'unknown' END FROM good, range(4) t(i) WHERE i = 0 OR kind = 'table')"""
-_SCORES = """counted AS (SELECT doc_id, CASE WHEN grouping(section) = 1 THEN 'total' ELSE section END AS section, count(*) FILTER (verdict = 'ok') AS positive, count(*) FILTER (verdict = 'unknown') AS unknown,
-    count(*) FILTER (verdict = 'fail') AS negative FROM found GROUP BY GROUPING SETS ((doc_id, section), (doc_id)))"""
+    UNION ALL SELECT doc_id, 'Parsed Document', para_no + i, 'style_ok', CASE WHEN {_KNOWN} THEN 'ok' ELSE 'unknown' END FROM good, range(4) t(i) WHERE i = 0 OR kind = 'table'),
+    found AS (SELECT doc_id, section, item_no, 1 AS items, check_name, verdict FROM single
+    UNION ALL SELECT DISTINCT doc_id, 'Figures', CASE g WHEN 0 THEN m + 1 ELSE 3000000000 END, CASE g WHEN 0 THEN 2999999999 - m ELSE 1 END, c, CASE WHEN g = 1 AND c = 'used_ok' THEN 'ok' ELSE 'fail' END
+        FROM good, range(2) a(g), (VALUES ('caption_ok'), ('unique_ok'), ('used_ok'), ('found_ok')) v(c) WHERE doc_id % 13 = 0)"""
+#: The catalogue knows the title of every other paper, and of every fourth no author more than the paper names.
+_KNOWN_FOUND = f"""{_FOUND}, known AS (SELECT doc_id, 'Catalogue' AS section, CASE WHEN i = 4 THEN 0 ELSE i END AS item_no, 1 AS items, CASE i WHEN 0 THEN 'title_ok' WHEN 4 THEN 'authors_ok' ELSE 'author_ok' END AS check_name,
+        CASE WHEN i = 0 THEN {_case("doc_id % 2 = 0 AND (doc_id % 3 > 0 OR doc_id % 5 = 0)")} WHEN i = 4 THEN {_case("doc_id % 4 = 1 AND doc_id % 17 > 0")} WHEN doc_id % 17 = 0 OR i = 3 THEN 'fail' WHEN i = 1 THEN 'ok' ELSE 'unknown' END AS verdict
+        FROM (SELECT DISTINCT doc_id FROM good WHERE doc_id % 7 > 0), range(5) t(i) WHERE NOT (i = 3 AND doc_id % 4 = 1)),
+    every AS (SELECT * FROM found UNION ALL SELECT * FROM known)"""
+_SCORES = """counted AS (SELECT doc_id, CASE WHEN grouping(section) = 1 THEN 'total' ELSE section END AS section, coalesce(sum(items) FILTER (verdict = 'ok'), 0)::BIGINT AS positive, coalesce(sum(items) FILTER (verdict = 'unknown'), 0)::BIGINT AS unknown,
+    coalesce(sum(items) FILTER (verdict = 'fail'), 0)::BIGINT AS negative FROM every GROUP BY GROUPING SETS ((doc_id, section), (doc_id)))"""
 
 
 def docx_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parsed_papers(spark, sf_dir)
-    return table(parsed.where("parse_error is null"), "paragraphs").select("doc_id", "para_no", "scope", "table_no", "row_no", "col_no", "text", "style_name")
+    """The papers as files in a folder, read by the data source with no more than their paragraphs."""
+    folder = scratch(spark, "word-files")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    write_files(word_files(spark.sql(f"SELECT * FROM {BLOCKS}", orders=orders)), folder)
+    number = F.regexp_extract("filename", r"\d+", 0).cast("bigint")
+    parsed = read_docx(spark, folder, ("paragraphs",)).where("parse_error is null").withColumn("doc_id", number)
+    return table(parsed, "paragraphs").select("doc_id", "para_no", "scope", "table_no", "row_no", "col_no", "text", "style_name")
 
 
 def upload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upload.upload_check(parsed_papers(spark, sf_dir)).drop("message", "details")
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and authors of the papers, of every seventh without the paper's code."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    title = F.when(F.col("c_custkey") % 2 == 0, "A great  study").otherwise("Another")
+    names = F.array(*map(F.lit, ("C. D. Dee", "A. X. Bee", "Z. Zed")))
+    code = F.when(F.col("c_custkey") % 7 > 0, F.format_string("P%d", "c_custkey"))
+    return customers.select(code.alias("paper_id"), title.alias("title"), F.when(F.col("c_custkey") % 4 == 1, F.slice(names, 1, 2)).otherwise(names).alias("authors"))
+
+
 def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parsed_papers(spark, sf_dir)
-    return scoring.section_summary(upload.guards(parsed).where("reason is null"), upload.upload_check(parsed))
+    return scoring.section_summary(upload.guards(parsed).where("reason is null"), upload.all_findings(parsed, _catalogue(spark, sf_dir)))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores that the stored reports hold, and whether each is found by its own hash."""
-    made = upload.report(parsed_papers(spark, sf_dir))
+    made = upload.report(parsed_papers(spark, sf_dir), _catalogue(spark, sf_dir))
     scores = F.from_json("report", "scores map<string,array<bigint>>")["scores"]
     rows = made.select("doc_id", "filename", (F.concat(F.sha1("report"), F.lit(".json")) == F.col("key")).alias("key_ok"), F.explode(scores).alias("section", "n"))
     return rows.select("doc_id", "filename", "key_ok", "section", *(F.col("n")[i].alias(c) for i, c in enumerate(("positive", "unknown", "negative"))))
 
 
 def catalogue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 > 0")
-    title = F.when(F.col("c_custkey") % 2 == 0, "A great  study").otherwise("Another")
-    catalogue = customers.select(F.format_string("P%d", "c_custkey").alias("paper_id"), title.alias("title"), F.array(*map(F.lit, ("C. D. Dee", "A. X. Bee", "Z. Zed"))).alias("authors"))
-    return upload.catalogue_check(parsed_papers(spark, sf_dir), catalogue).drop("message", "details")
+    return upload.catalogue_check(parsed_papers(spark, sf_dir), _catalogue(spark, sf_dir)).drop("message", "details")
 
 
 QUERIES = {f.__name__: f for f in (docx_parse, upload_check, section_summary, report, catalogue_check)}
 ORACLE_SQL = {
     "docx_parse": _PARSE_SQL,
-    "upload_check": f"WITH {_FOUND} SELECT doc_id, section, item_no::BIGINT AS item_no, check_name, verdict FROM found",
-    "section_summary": f"""WITH {_FOUND}, folded AS (SELECT doc_id, section, CASE WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (verdict = 'unknown') > 0 THEN 'unknown' ELSE 'ok' END AS verdict
-            FROM found WHERE NOT (section = 'Tables' AND check_name = 'used_ok') AND check_name <> 'title_style_ok' GROUP BY doc_id, section)
+    "upload_check": f"WITH {_FOUND} SELECT doc_id, section, item_no::BIGINT AS item_no, items::BIGINT AS items, check_name, verdict FROM found",
+    "section_summary": f"""WITH {_KNOWN_FOUND}, folded AS (SELECT doc_id, section, CASE WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (verdict = 'unknown') > 0 THEN 'unknown' ELSE 'ok' END AS verdict
+            FROM every WHERE NOT (section = 'Tables' AND check_name = 'used_ok') AND check_name NOT IN ('title_style_ok', 'author_ok') GROUP BY doc_id, section)
         SELECT d.doc_id, s.section, coalesce(verdict, CASE WHEN s.section = 'References' THEN 'fail' ELSE 'ok' END) AS verdict FROM (SELECT DISTINCT doc_id FROM good) d,
             (VALUES ('Title'), ('Authors'), ('Abstract'), ('Headings'), ('Paragraphs'), ('Figures'), ('Tables'), ('References'), ('Styles'), ('Margins'), ('Parsed Document')) s(section)
-        LEFT JOIN folded f ON f.doc_id = d.doc_id AND f.section = s.section""",
-    "report": f"WITH {_FOUND}, {_SCORES} SELECT doc_id, 'p' || doc_id || CASE WHEN doc_id % 31 = 0 THEN '.pdf' ELSE '.docx' END AS filename, true AS key_ok, section, positive, unknown, negative FROM counted",
-    "catalogue_check": f"""WITH {_PARAGRAPHS} SELECT doc_id, 'Catalogue' AS section, i::BIGINT AS item_no, CASE WHEN i = 0 THEN 'title_ok' ELSE 'author_ok' END AS check_name,
-        CASE i WHEN 0 THEN {_case("doc_id % 2 = 0 AND (doc_id % 3 > 0 OR doc_id % 5 = 0)")} WHEN 1 THEN 'ok' WHEN 2 THEN 'unknown' ELSE 'fail' END AS verdict
-        FROM (SELECT DISTINCT doc_id FROM good WHERE doc_id % 7 > 0), range(4) t(i)""",
+        LEFT JOIN folded f ON f.doc_id = d.doc_id AND f.section = s.section
+        UNION ALL SELECT doc_id, section, verdict FROM folded WHERE section = 'Catalogue'""",
+    "report": f"WITH {_KNOWN_FOUND}, {_SCORES} SELECT doc_id, 'p' || doc_id || CASE WHEN doc_id % 31 = 0 THEN '.pdf' ELSE '.docx' END AS filename, true AS key_ok, section, positive, unknown, negative FROM counted",
+    "catalogue_check": f"WITH {_KNOWN_FOUND} SELECT doc_id, section, item_no::BIGINT AS item_no, items::BIGINT AS items, check_name, verdict FROM known",
 }

@@ -361,15 +361,15 @@ def citation_order(groups):
 
 
 ITEMS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 AS BIGINT) AS para_no, CAST(CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE l_linenumber END AS INT) AS id FROM {lineitem}"
-PLAIN_GROUPS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS n, CAST(l_linenumber AS STRING) AS g FROM {lineitem} WHERE l_returnflag <> 'A'"
+PLAIN_GROUPS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS n, CASE WHEN l_returnflag <> 'A' THEN CAST(l_linenumber AS STRING) ELSE 'none' END AS g FROM {lineitem}"
 
 
 @_query(
     ITEMS, PLAIN_GROUPS,
-    sql="""SELECT i.doc_id, para_no, id, place, unique_ok, place = id AND NOT (place IN (SELECT n FROM {1} g WHERE g.doc_id = i.doc_id) AND place > coalesce(k, 0)) AS order_ok, place IN (SELECT n FROM {1} g WHERE g.doc_id = i.doc_id) AS used_ok,
+    sql="""SELECT i.doc_id, para_no, id, place, unique_ok, place = id AND NOT (place IN (SELECT n FROM {1} g WHERE g.doc_id = i.doc_id AND g.g <> 'none') AND place > coalesce(k, 0)) AS order_ok, place IN (SELECT n FROM {1} g WHERE g.doc_id = i.doc_id AND g.g <> 'none') AS used_ok,
         count(*) OVER (PARTITION BY i.doc_id) AS total
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS place, row_number() OVER (PARTITION BY doc_id, id ORDER BY para_no) = 1 AS unique_ok FROM {0}) i
-        LEFT JOIN (SELECT doc_id, max(n) FILTER (n = r) AS k FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM {1}) GROUP BY doc_id) m ON m.doc_id = i.doc_id""",
+        LEFT JOIN (SELECT doc_id, max(n) FILTER (n = r) AS k FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM {1} WHERE g <> 'none') GROUP BY doc_id) m ON m.doc_id = i.doc_id""",
 )
 def reference_items(items, groups):
     return citations.check_items(items, _cited(groups))
@@ -414,8 +414,23 @@ FIGURE_SQL = r"""
 
 @_query(FIGURES, sql=FIGURE_SQL)
 def figure_correlation(paragraphs):
-    found = captions.correlate_figures(captions.figure_captions(paragraphs), captions.figure_captions(paragraphs, captions.FIGURE_WRONG), captions.figure_references(paragraphs))
-    return found.withColumn("refs", F.array_join("refs", "|"))
+    found = captions.each_number(captions.correlate_figures(captions.figure_marks(paragraphs)))
+    return found.withColumn("refs", F.array_join("refs", "|")).withColumn("id", F.col("id").cast("int")).drop("seq")
+
+
+#: Numbers far apart and beyond an int, with what stands between them left out.
+FAR_FIGURES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS seq, concat(CASE WHEN l_partkey % 3 = 0 THEN 'Figure ' WHEN l_partkey % 3 = 1 THEN 'Fig. ' ELSE 'See Fig. ' END,
+    CAST(CASE WHEN l_suppkey % 5 = 0 THEN CAST(3000000000 AS BIGINT) + l_suppkey WHEN l_suppkey % 5 = 1 THEN 0 ELSE l_linenumber * (l_suppkey % 7) END AS STRING), ': A beam') AS text FROM {lineitem}"""
+GAP_SQL = r"""
+    WITH m AS (SELECT doc_id, seq, CASE WHEN text LIKE 'Figure %' THEN 'c' WHEN text LIKE 'Fig. %' THEN 'w' ELSE 'r' END AS kind, regexp_extract(text, '\d+')::BIGINT AS id FROM {0}),
+    g AS (SELECT doc_id, id, count(*) FILTER (kind = 'c') AS c, count(*) FILTER (kind = 'w') AS w, count(*) FILTER (kind <> 'c') AS r, coalesce(lag(id) OVER (PARTITION BY doc_id ORDER BY id), 0) AS before FROM m WHERE id > 0 GROUP BY doc_id, id)
+    SELECT doc_id, id, 1::BIGINT AS numbers, r > 0 AS used_ok, CASE WHEN c > 0 THEN c = 1 ELSE w = 1 END AS unique_ok, c + w > 0 AS found_ok, c = 1 AS caption_ok, unnest(range(CASE WHEN c > 0 THEN c ELSE greatest(w, 1) END)) AS k FROM g
+    UNION ALL SELECT doc_id, before + 1, id - before - 1, false, false, false, false, 0 FROM g WHERE id - before > 1"""
+
+
+@_query(FAR_FIGURES, sql=f"SELECT * EXCLUDE (k) FROM ({GAP_SQL})")
+def figure_gaps(paragraphs):
+    return captions.correlate_figures(captions.figure_marks(paragraphs)).drop("seq", "name", "text", "refs")
 
 
 TABLES_TEXT = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS table_no, CASE l_partkey % 5 WHEN 0 THEN concat('Table ', CAST(l_linenumber AS STRING), ': Beam Data') WHEN 1 THEN concat('Tables ', CAST(l_linenumber AS STRING), ' and 9 and Table', chr(160), '4')
@@ -423,7 +438,7 @@ TABLES_TEXT = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS table
 
 
 @_query(
-    TABLES_TEXT, "SELECT l_orderkey AS doc_id, CASE l_partkey % 5 WHEN 0 THEN concat('Table ', CAST(l_linenumber AS STRING), ': Beam Data') END AS text FROM {lineitem} WHERE l_partkey % 5 = 0",
+    TABLES_TEXT, "SELECT l_orderkey AS doc_id, CASE l_partkey % 5 WHEN 0 THEN concat('Table ', CAST(l_linenumber AS STRING), ': Beam Data') END AS text FROM {lineitem}",
     sql=r"""SELECT doc_id, w::INT AS id FROM (SELECT doc_id, unnest(string_split(h, ' ')) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, chr(160), ' '), 'Table\s?\d+|Tables\s?\d+\sand\s\d+')) AS h FROM {0} p
         WHERE NOT EXISTS (SELECT 1 FROM {1} t WHERE t.doc_id = p.doc_id AND t.text = p.text))) WHERE regexp_matches(w, '^\d+$')""",
 )

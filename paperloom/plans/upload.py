@@ -2,8 +2,9 @@
 
 Parsed documents are written once (``sources.stage``), and each section reads the columns it needs;
 no file is parsed again.  Every section takes and gives DataFrames keyed by doc_id; findings are
-(doc_id, section, item_no, check_name, verdict, message, details), details being the formatting
-measured, as JSON.
+(doc_id, section, item_no, items, check_name, verdict, message, details), details being the formatting
+measured, as JSON, and items how many things from item_no on the finding is about: one, or the figures
+missing between two.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from paperloom.operators import captions, citations, geometry, matching, scoring
 from paperloom.sources.docx import table
 from paperloom.sources.stage import stored
 
-FINDING = ("doc_id", "section", "item_no", "check_name", "verdict", "message", "details")
+FINDING = ("doc_id", "section", "item_no", "items", "check_name", "verdict", "message", "details")
 MIN_BODY = 50
 
 
@@ -47,17 +48,18 @@ def segments(paragraphs: DataFrame) -> DataFrame:
         .when((n >= F.col("title_at")) & (n < F.least(F.coalesce("authors_at", end), end)), "title")
         .when((n >= F.col("authors_at")) & (n < end), "authors").otherwise("before")
     )
+    w = w.withColumn("authors_found", F.coalesce(F.max((part == "authors") & F.col("shown")).over(doc), F.lit(False)))
     return w.withColumn("part", part).drop("_style_before")
 
 
-def _rows(df: DataFrame, section: Column | str, checks: dict[str, Column], item: str | None = None, messages: dict[str, Column] | None = None, details: Column | None = None) -> DataFrame:
+def _rows(df: DataFrame, section: Column | str, checks: dict[str, Column], item: str | None = None, messages: dict[str, Column] | None = None, details: Column | None = None, items: str | None = None) -> DataFrame:
     """A finding per check and row, all from one pass: the checks are exploded, not unioned.  Null verdicts are none."""
     none = F.lit(None).cast("string")
     section = F.lit(section) if isinstance(section, str) else section
     number = (F.col(item) if item else F.lit(0)).cast("bigint")
     structs = [
         F.struct(
-            section.alias("section"), number.alias("item_no"), F.lit(name).alias("check_name"), verdict.alias("verdict"),
+            section.alias("section"), number.alias("item_no"), (F.col(items) if items else F.lit(1)).cast("bigint").alias("items"), F.lit(name).alias("check_name"), verdict.alias("verdict"),
             (messages or {}).get(name, none).cast("string").alias("message"), (details if details is not None and name == "style_ok" else none).alias("details"),
         )
         for name, verdict in checks.items()
@@ -92,19 +94,19 @@ def text_sections(parts: DataFrame, cased: DataFrame) -> DataFrame:
         "case_ok": F.when(F.col("rule") == "title", scoring.flag(upper_ratio_ok(F.coalesce("cased", F.lit(""))))),
         "title_style_ok": F.when(wanted.isNotNull(), scoring.flag(style == wanted)),
     }
-    return _rows(checked, section, checks, "para_no", {"style_ok": _failures()}, styles.details())
+    found = _rows(checked, section, checks, "para_no", {"style_ok": _failures()}, styles.details())
+    # Every document that gets here has one abstract heading.
+    missing = F.when(~F.col("authors_found"), F.lit("authors not found"))
+    return found.unionByName(_rows(parts.where("part = 'head'"), "Authors", {"found_ok": scoring.flag(F.col("authors_found"))}, None, {"found_ok": missing}))
 
 
 def figure_section(paragraphs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Figures 1 to the largest number met, and the style of each caption."""
+    """Figures 1 to the largest number met, and the style of each caption shown, right or wrong in form."""
     rows = paragraphs.select("doc_id", F.col("para_no").cast("bigint").alias("seq"), "text", "scope")
-    caps = captions.figure_captions(rows)
-    wrong = captions.figure_captions(rows, captions.FIGURE_WRONG)
-    refs = captions.figure_references(rows.where("scope = 'body'"))
-    figures = captions.correlate_figures(caps, wrong, refs)
+    figures = captions.correlate_figures(captions.figure_marks(rows))
     checks = {c: scoring.flag(F.col(c)) for c in ("caption_ok", "unique_ok", "used_ok", "found_ok")}
-    flags = _rows(figures, "Figures", checks, "id", {c: F.col("text") for c in checks})
-    ruled = caps.select("doc_id", F.col("seq").alias("para_no"), "id").join(resolved, ["doc_id", "para_no"])
+    flags = _rows(figures, "Figures", checks, "id", {c: F.col("text") for c in checks}, items="numbers")
+    ruled = figures.where("seq is not null").select("doc_id", F.col("seq").alias("para_no"), "id").join(resolved, ["doc_id", "para_no"])
     styled = styles.check_style(ruled.withColumn("rule", captions.caption_rule(F.col("text"), "figure")))
     return flags.unionByName(_rows(styled, "Figures", {"style_ok": _caption_verdict("figure")}, "id", {"style_ok": _failures()}, styles.details()))
 
@@ -196,7 +198,8 @@ def upload_check(parsed: DataFrame, strict: bool = False) -> DataFrame:
 def catalogue_check(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Findings on title and authors of documents whose paper code the catalogue (paper_id, title, authors) knows.
 
-    Titles are compared as they are shown, authors without their footnote marks.
+    Titles are compared as they are shown, authors without their footnote marks.  The list of authors
+    as a whole is in order if each of either side has a partner, near matches included.
     """
     parsed = stored(parsed, "parsed")
     good = parsed.join(guards(parsed).where("reason is null").select("doc_id"), "doc_id", "left_semi")
@@ -217,7 +220,11 @@ def catalogue_check(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
     ours = known.select("doc_id", F.posexplode(author_names(F.col("author_text"))).alias("pos", "name"))
     theirs = known.select("doc_id", F.posexplode("authors").alias("pos", "name"))
     matched = matching.match_authors(ours, theirs)
-    return titles.unionByName(_rows(matched, "Catalogue", {"author_ok": F.col("verdict")}, "ord", {"author_ok": F.concat_ws(" / ", "document", "catalogue")}))
+    single = _rows(matched, "Catalogue", {"author_ok": F.col("verdict")}, "ord", {"author_ok": F.concat_ws(" / ", "document", "catalogue")})
+    left_over = matched.groupBy("doc_id").agg(F.count_if(F.col("verdict") == scoring.FAIL).alias("left_over"))
+    lists = known.select("doc_id", F.array_join("authors", " ").alias("theirs")).join(left_over, "doc_id", "left")
+    whole = _rows(lists, "Catalogue", {"authors_ok": scoring.flag(F.coalesce("left_over", F.lit(0)) == 0)}, None, {"authors_ok": F.col("theirs")})
+    return titles.unionByName(whole).unionByName(single)
 
 
 def metadata(parsed: DataFrame) -> DataFrame:
@@ -225,19 +232,27 @@ def metadata(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", "filename", "author", "revision", "version", "language", shown("created"), shown("modified"))
 
 
-def report(parsed: DataFrame) -> DataFrame:
+def all_findings(parsed: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """The upload check's findings and, with a catalogue, those on title and authors."""
+    parsed = stored(parsed, "parsed")
+    found = upload_check(parsed)
+    return found if catalogue is None else found.unionByName(catalogue_check(parsed, catalogue).select(*FINDING))
+
+
+def report(parsed: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """(doc_id, filename, report, key): scores, sections, findings and metadata as JSON, and the JSON's own name.
 
-    Findings are computed once and written; scores and sections are read from them.
+    Findings are computed once and written; scores and sections are read from them.  With a catalogue
+    its section is one of them.
     """
     from paperloom.operators.queue import content_key
 
     parsed = stored(parsed, "parsed")
-    findings = stored(upload_check(parsed), "findings")
+    findings = stored(all_findings(parsed, catalogue), "findings")
     scores = scoring.score(findings).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", F.array("positive", "unknown", "negative"))))).alias("scores"))
     checked = guards(parsed).where("reason is null").select("doc_id")
     sections = scoring.section_summary(checked, findings).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "verdict")))).alias("sections"))
-    listed = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "item_no", "check_name", "verdict", "message", "details"))).alias("summary"))
+    listed = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "item_no", "items", "check_name", "verdict", "message", "details"))).alias("summary"))
     all_of = metadata(parsed).join(scores, "doc_id").join(listed, "doc_id").join(sections, "doc_id", "left")
     body = F.to_json(F.struct("scores", "sections", "summary", F.struct("author", "revision", "version", "language", "created", "modified").alias("metadata"), "filename"))
     return all_of.select("doc_id", "filename", body.alias("report")).withColumn("key", content_key(F.col("report")))

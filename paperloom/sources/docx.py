@@ -1,7 +1,9 @@
 """Word documents as tables.
 
-``read_docx`` reads files with Spark's ``binaryFile`` source and parses each once, in Python, from
-the archive's XML; a file that can't be parsed becomes a row with ``parse_error``.  Paragraph text
+``read_docx`` reads files with the data source ``docx`` (``sources.word``) and ``parsed_docs`` parses
+bytes that a table holds; each file is parsed once, and one that can't be becomes a row with
+``parse_error``.  The archive's XML is pulled as events: what is kept of it at a time is one paragraph
+or row of a table, beside the rows made so far.  What a file inflates to is bounded.  Paragraph text
 is the concatenation of the paragraph's own runs (not those inside links); tabs and breaks become
 characters.  Cells merged across columns or rows are read once, at the first place they cover;
 columns count places of the table's grid.  A table within a cell isn't one of the document's tables.
@@ -39,6 +41,11 @@ SCHEMA = (
     "tables array<struct<table_no:int,block_no:int,n_rows:int,n_cols:int,has_text:boolean,anchored:boolean,tblpY:int,tblW_type:string,prev_para_no:bigint>>, "
     "sections array<struct<section_no:int,page_w:bigint,page_h:bigint,top:bigint,bottom:bigint,left:bigint,right:bigint,cols_num:int,cols_space_twips:int>>"
 )
+WHOLE_SCHEMA = f"doc_id string, {SCHEMA}, paper_code string"
+#: The columns that come from within a file.
+COLUMNS = ("author", "revision", "version", "language", "created", "modified", "styles", "paragraphs", "runs", "tables", "sections")
+#: Bytes that a file's XML may inflate to; what a zip bomb holds beyond is never read.
+MOST_INFLATED = 1 << 28
 
 
 def _value(node, name: str, attr: str = "val"):
@@ -84,22 +91,37 @@ def _run_text(run) -> str:
 
 
 class _Body:
-    """Walks a document's blocks in order and collects rows."""
+    """Takes a document's blocks in order and collects rows; ``wanted`` names the columns to fill."""
 
-    def __init__(self, names: dict[str, str], default: str | None):
-        self.names, self.default = names, default
+    def __init__(self, names: dict[str, str], default: str | None, wanted: frozenset[str]):
+        self.names, self.default, self.wanted = names, default, wanted
         self.paragraphs, self.runs, self.tables, self.sections = [], [], [], []
+        self.count, self.before, self.open = 0, None, None
+
+    def block(self, node, block: int) -> None:
+        """A paragraph, the end of a table or the last section, all of its rows taken before."""
+        if node.tag == W + "p":
+            self.before = self.count
+            self.paragraph(node, scope="body", block_no=block, table_no=None, row_no=None, col_no=None)
+        elif node.tag == W + "tbl":
+            self.row(node, None, block)
+            self.open = None
+        elif node.tag == W + "sectPr":
+            self.section(node)
 
     def paragraph(self, p, **place) -> str:
-        props, number, parts = p.find(W + "pPr"), len(self.paragraphs), []
+        props, number, parts = p.find(W + "pPr"), self.count, []
+        self.count += 1
         for n, run in enumerate(p.findall(W + "r")):
             rpr, text = run.find(W + "rPr"), _run_text(run)
             parts.append(text)
-            style = _value(rpr, "rStyle")
-            self.runs.append({"para_no": number, "run_no": n, "text": text, "style_name": self.names.get(style), "superscript": _value(rpr, "vertAlign") == "superscript", **_font(rpr)})
+            if "runs" in self.wanted:
+                style = _value(rpr, "rStyle")
+                self.runs.append({"para_no": number, "run_no": n, "text": text, "style_name": self.names.get(style), "superscript": _value(rpr, "vertAlign") == "superscript", **_font(rpr)})
         text = "".join(parts)
-        style = self.names.get(_value(props, "pStyle"), self.default)
-        self.paragraphs.append({"para_no": number, "text": text, "style_name": style, "has_insertion": p.find(W + "ins") is not None, "has_deletion": p.find(W + "del") is not None, **place, **_paragraph_format(props)})
+        if "paragraphs" in self.wanted:
+            style = self.names.get(_value(props, "pStyle"), self.default)
+            self.paragraphs.append({"para_no": number, "text": text, "style_name": style, "has_insertion": p.find(W + "ins") is not None, "has_deletion": p.find(W + "del") is not None, **place, **_paragraph_format(props)})
         if props is not None and props.find(W + "sectPr") is not None:
             self.section(props.find(W + "sectPr"))
         return text
@@ -109,51 +131,102 @@ class _Body:
         get = lambda node, n, unit=TWIP: None if node is None else _number(node.get(W + n), unit)
         self.sections.append({"section_no": len(self.sections), "page_w": get(size, "w"), "page_h": get(size, "h"), **{k: get(margin, k) for k in ("top", "bottom", "left", "right")}, "cols_num": get(cols, "num", 1), "cols_space_twips": get(cols, "space", 1)})
 
-    def table(self, t, block: int, before) -> None:
-        number, rows, has_text = len(self.tables) + 1, t.findall(W + "tr"), False
-        row = {"table_no": number, "block_no": block, "n_rows": len(rows), "n_cols": len(t.findall(f"{W}tblGrid/{W}gridCol")), "prev_para_no": before}
-        props = t.find(W + "tblPr")
-        place = props.find(W + "tblpPr") if props is not None else None
-        self.tables.append(row | {"anchored": place is not None, "tblpY": None if place is None else _number(place.get(W + "tblpY")), "tblW_type": _value(props, "tblW", "type")})
-        for r, tr in enumerate(rows):
-            column = _number(_value(tr.find(W + "trPr"), "gridBefore")) or 0
-            for tc in tr.findall(W + "tc"):
-                props = tc.find(W + "tcPr")
-                c, column = column, column + max(1, _number(_value(props, "gridSpan")) or 1)
-                merge = props.find(W + "vMerge") if props is not None else None
-                if merge is not None and merge.get(W + "val", "continue") == "continue":
-                    continue  # the merged cell's text stands in its first row
-                for p in tc.findall(W + "p"):
-                    has_text |= bool(self.paragraph(p, scope="cell", block_no=block, table_no=number, row_no=r + 1, col_no=c + 1).strip())
-        self.tables[number - 1]["has_text"] = has_text
-
-
-def parse_docx(data: bytes) -> dict:
-    """A row of SCHEMA but for the file name; raises for what isn't a Word document."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+    def row(self, t, tr, block: int) -> None:
+        """One row of the table ``t``, whose properties and grid stand before its rows; no row at its end."""
+        if self.open is None:
+            props = t.find(W + "tblPr")
+            place = props.find(W + "tblpPr") if props is not None else None
+            self.open = {"table_no": len(self.tables) + 1, "block_no": block, "n_rows": 0, "n_cols": len(t.findall(f"{W}tblGrid/{W}gridCol")), "prev_para_no": self.before, "has_text": False}
+            self.open |= {"anchored": place is not None, "tblpY": None if place is None else _number(place.get(W + "tblpY")), "tblW_type": _value(props, "tblW", "type")}
+            self.tables.append(self.open)
+        if tr is None:
+            return
+        self.open["n_rows"] += 1
+        column = _number(_value(tr.find(W + "trPr"), "gridBefore")) or 0
+        for tc in tr.findall(W + "tc"):
+            props = tc.find(W + "tcPr")
+            c, column = column, column + max(1, _number(_value(props, "gridSpan")) or 1)
+            merge = props.find(W + "vMerge") if props is not None else None
+            if merge is not None and merge.get(W + "val", "continue") == "continue":
+                continue  # the merged cell's text stands in its first row
+            for p in tc.findall(W + "p"):
+                text = self.paragraph(p, scope="cell", block_no=block, table_no=self.open["table_no"], row_no=self.open["n_rows"], col_no=c + 1)
+                self.open["has_text"] |= bool(text.strip())
+
+
+class _Plain(ET.TreeBuilder):
+    """Builds a tree; Word's files have no document type, and one could name entities that grow."""
+
+    def doctype(self, name, pubid, system):
+        raise ValueError("a document type isn't allowed")
+
+
+class _Puller(_Plain):
+    """Hands blocks and rows of tables to a body as they end, and lets go of them."""
+
+    def __init__(self, body: _Body):
+        super().__init__()
+        self.to, self.path, self.blocks = body, [], 0
+
+    def start(self, tag, attrs):
+        node = super().start(tag, attrs)
+        self.path.append(node)
+        return node
+
+    def end(self, tag):
+        node, depth = super().end(tag), len(self.path)
+        self.path.pop()
+        if depth in (3, 4) and self.path[1].tag == W + "body":
+            if depth == 3:
+                self.to.block(node, self.blocks)
+                self.blocks += 1
+                self.path[1].clear()
+            elif tag == W + "tr" and self.path[2].tag == W + "tbl":
+                self.to.row(self.path[2], node, self.blocks)
+                self.path[2].remove(node)
+            elif self.path[2].tag not in (W + "p", W + "tbl", W + "sectPr"):
+                self.path[2].clear()
+        return node
+
+
+def _pull(archive: zipfile.ZipFile, member: str, target, room: list[int]):
+    """What ``target`` makes of a member's XML; ``room`` holds the bytes that the archive may still inflate to."""
+    parser = ET.XMLParser(target=target)
+    with archive.open(member) as stream:
+        while chunk := stream.read(1 << 16):
+            room[0] -= len(chunk)
+            if room[0] < 0:
+                raise ValueError("the archive inflates to more than is allowed")
+            parser.feed(chunk)
+    return parser.close()
+
+
+def parse_docx(file, wanted=COLUMNS, most_inflated: int = MOST_INFLATED) -> dict:
+    """A row of SCHEMA but for the file name, from bytes or a seekable file; raises for what isn't a Word document.
+
+    Only the columns of ``wanted`` are filled.  All that is read of the archive inflates to
+    ``most_inflated`` bytes at most.
+    """
+    wanted, room = frozenset(wanted), [most_inflated]
+    with zipfile.ZipFile(io.BytesIO(file) if isinstance(file, bytes) else file) as archive:
         names = set(archive.namelist())
         if "word/document.xml" not in names:
             raise ValueError("there is no document in the archive")
-        root = ET.fromstring(archive.read("word/document.xml"))
-        sheet = ET.fromstring(archive.read("word/styles.xml")) if "word/styles.xml" in names else None
-        core = ET.fromstring(archive.read("docProps/core.xml")) if "docProps/core.xml" in names else None
-    entries = sheet.findall(W + "style") if sheet is not None else []
-    shown = {s.get(W + "styleId"): _value(s, "name") for s in entries}
-    default = next((_value(s, "name") for s in entries if s.get(W + "default") == "1" and s.get(W + "type") == "paragraph"), None)
-    styles = [
-        {"name": _value(s, "name"), "base_name": shown.get(_value(s, "basedOn")), **_paragraph_format(s.find(W + "pPr")), **_font(s.find(W + "rPr"))} for s in entries
-    ]
-    body, walk, before = root.find(W + "body"), _Body(shown, default), None
-    for block, child in enumerate(body if body is not None else []):
-        if child.tag == W + "p":
-            before = len(walk.paragraphs)
-            walk.paragraph(child, scope="body", block_no=block, table_no=None, row_no=None, col_no=None)
-        elif child.tag == W + "tbl":
-            walk.table(child, block, before)
-        elif child.tag == W + "sectPr":
-            walk.section(child)
+        read = lambda member: _pull(archive, member, _Plain(), room) if member in names else None
+        sheet = read("word/styles.xml") if wanted & {"styles", "paragraphs", "runs"} else None
+        core = read("docProps/core.xml") if wanted & set(CORE) else None
+        entries = sheet.findall(W + "style") if sheet is not None else []
+        shown = {s.get(W + "styleId"): _value(s, "name") for s in entries}
+        default = next((_value(s, "name") for s in entries if s.get(W + "default") == "1" and s.get(W + "type") == "paragraph"), None)
+        styles = [
+            {"name": _value(s, "name"), "base_name": shown.get(_value(s, "basedOn")), **_paragraph_format(s.find(W + "pPr")), **_font(s.find(W + "rPr"))} for s in entries
+        ]
+        body = _Body(shown, default, wanted)
+        if wanted & {"paragraphs", "runs", "tables", "sections"}:
+            _pull(archive, "word/document.xml", _Puller(body), room)
     found = {k: None if core is None else core.findtext(tag) for k, tag in CORE.items()}
-    return found | {"styles": styles, "paragraphs": walk.paragraphs, "runs": walk.runs, "tables": walk.tables, "sections": walk.sections}
+    found |= {"styles": styles, "paragraphs": body.paragraphs, "runs": body.runs, "tables": body.tables, "sections": body.sections}
+    return {k: v for k, v in found.items() if k in wanted}
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -186,12 +259,23 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "filename", "content").mapInArrow(run, schema)
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed Word files under ``path``; other extensions are rows with a parse_error.
+def read_docx(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS, **options) -> DataFrame:
+    """Parsed Word files under ``path``, with ``columns`` of what is in them; other extensions are rows with a parse_error.
 
     ``doc_id`` is the hash of the whole path: files of one name in two folders are two documents.
     """
-    return parsed_docs(spark.read.format("binaryFile").load(path).select(F.sha1("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content"))
+    from paperloom.sources.word import WordFiles
+
+    spark.dataSource.register(WordFiles)
+    return spark.read.format("docx").schema(word_schema(columns)).options(**options).load(path)
+
+
+def word_schema(columns: tuple[str, ...] = COLUMNS):
+    """The schema of the source ``docx``, with the columns given of those that come from within a file."""
+    from pyspark.sql.types import StructType
+
+    every = StructType.fromDDL(WHOLE_SCHEMA)
+    return StructType([f for f in every.fields if f.name not in COLUMNS or f.name in columns])
 
 
 def parsed_docs(files: DataFrame) -> DataFrame:

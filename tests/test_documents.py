@@ -127,14 +127,16 @@ def test_fonts_capitals_and_caption_styles(spark, tmp_path):
     strict = {(r.section, r.check_name): r.verdict for r in upload.upload_check(parsed, strict=True).collect()}
     assert strict["References", "style_ok"] == "fail"
     catalogue = spark.createDataFrame([("X1", "A SMALL TITLE", ["A. Bee"])], "paper_id string, title string, authors array<string>")
-    assert {(r.check_name, r.verdict) for r in upload.catalogue_check(parsed, catalogue).collect()} == {("title_ok", "ok"), ("author_ok", "ok")}
+    assert {(r.check_name, r.verdict) for r in upload.catalogue_check(parsed, catalogue).collect()} == {("title_ok", "ok"), ("author_ok", "ok"), ("authors_ok", "ok")}
 
 
 def test_catalogue_check(spark, parsed):
     catalogue = spark.createDataFrame([("ABC12", "A great  title", ["C. Dee", "A. X. Bee"])], "paper_id string, title string, authors array<string>")
     parsed = stored(parsed.where("filename <> 'abc12.docx' or size(paragraphs) > 5"), "catalogued")
     found = [(r.check_name, r.verdict) for r in upload.catalogue_check(parsed, catalogue).orderBy("check_name", "item_no").collect()]
-    assert found == [("author_ok", "ok"), ("author_ok", "unknown"), ("title_ok", "ok")]
+    assert found == [("author_ok", "ok"), ("author_ok", "unknown"), ("authors_ok", "ok"), ("title_ok", "ok")]
+    report = json.loads(upload.report(parsed, catalogue).where("filename = 'abc12.docx'").first().report)
+    assert report["sections"]["Catalogue"] == "ok" and report["scores"]["Catalogue"] == [3, 1, 0]
 
 
 def test_landing(spark, tmp_path):
