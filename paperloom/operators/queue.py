@@ -78,17 +78,6 @@ def comments(results: DataFrame, site: str) -> DataFrame:
     return results.select("event_id", "contribution_id", "revision_id", text.alias("text")).where("text is not null")
 
 
-def put_reports(reports: DataFrame, path: str) -> None:
-    """Write reports (key, report), JSON without line breaks, as text under ``path``/key=<key>."""
-    reports.select("key", "report").distinct().write.mode("append").partitionBy("key").text(path)
-
-
-def get_reports(spark, path: str, keys: list[str] | None = None) -> DataFrame:
-    """(key, report) of stored reports; with ``keys`` only their folders are read, and an unknown key has no row."""
-    stored = spark.read.schema("value string, key string").text(path).select("key", F.col("value").alias("report")).distinct()
-    return stored if keys is None else stored.where(F.col("key").isin(*keys))
-
-
 def expired(objects: DataFrame, now, minutes: int = 5) -> DataFrame:
     """Objects (path, modificationTime) older than ``minutes`` at ``now``."""
     return objects.where(F.col("modificationTime") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(minutes)} MINUTES"))

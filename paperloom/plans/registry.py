@@ -12,6 +12,9 @@ from paperloom.functions import text as T
 from paperloom.functions.titlecase import is_title_case
 from paperloom.operators import captions, citations, geometry, latex, matching, queue, routing, scoring, styles
 from paperloom.plans import papers, upload
+from paperloom.sources import reports as report_store
+from paperloom.sources.stage import scratch
+from paperloom.streaming import claims
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 QUERIES: dict = dict(papers.QUERIES)
@@ -124,6 +127,41 @@ def latex_comment(bodies):
     return bodies.select("id", queue.latex_comment(F.col("body"), "https://x").alias("comment"))
 
 
+@_query(
+    "SELECT p_partkey AS id, concat(p_name, ' ', p_type) AS report FROM {part}",
+    sql="SELECT DISTINCT sha1(report) || '.json' AS key, report FROM {0} WHERE id % 7 = 0",
+)
+def stored_reports(made):
+    """Reports put in two batches that overlap, and those of every seventh paper read back by key."""
+    path = scratch(made.sparkSession, "reports")
+    keyed = made.withColumn("key", queue.content_key(F.col("report")))
+    report_store.put(keyed.where("id % 3 < 2"), path)
+    report_store.put(keyed.where("id % 3 > 0"), path)
+    return report_store.lookup(keyed.where("id % 7 = 0"), path)
+
+
+CLAIMS = """SELECT l_orderkey AS id, TIMESTAMP '2024-01-01 00:00:00' + (l_linenumber * 25 + l_suppkey % 11) * INTERVAL '1' MINUTE AS at,
+    CASE WHEN l_partkey % 5 < 3 THEN 'claim' WHEN l_partkey % 5 = 3 THEN 'done' ELSE 'failed' END AS kind, concat('w', CAST(l_suppkey % 2 AS STRING)) AS worker FROM {lineitem}"""
+#: One step for each event of an item, in order; a claim lapses 60 minutes after it, if an event or the end of time comes then.
+CLAIM_SQL = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at") AS i FROM {0}),
+    s AS (SELECT id, 0::BIGINT AS i, NULL::TIMESTAMP AS "at", NULL::VARCHAR AS state, NULL::VARCHAR AS worker, NULL::VARCHAR AS owner, NULL::TIMESTAMP AS since, 0 AS attempt, false AS ended, false AS lapsed, NULL::VARCHAR AS gone, NULL::TIMESTAMP AS gone_at, 0 AS gone_attempt FROM (SELECT DISTINCT id FROM e)
+        UNION ALL SELECT id, i, "at", state, worker, CASE WHEN state = 'claimed' THEN worker WHEN state IN ('done', 'waiting') OR live IS NULL THEN NULL ELSE live END, CASE WHEN state = 'claimed' THEN "at" ELSE since END,
+            attempt + CASE WHEN state = 'claimed' THEN 1 ELSE 0 END, ended OR state = 'done', owner IS NOT NULL AND live IS NULL, owner, since + INTERVAL 60 MINUTES, attempt
+        FROM (SELECT *, CASE WHEN kind = 'claim' THEN CASE WHEN live IS NOT NULL OR ended THEN 'refused' ELSE 'claimed' END WHEN live = worker THEN CASE kind WHEN 'done' THEN 'done' ELSE 'waiting' END ELSE 'late' END AS state
+            FROM (SELECT e.id, e.i, e."at", e.kind, e.worker, s.owner, s.since, s.attempt, s.ended, CASE WHEN e."at" < s.since + INTERVAL 60 MINUTES THEN s.owner END AS live FROM s JOIN e ON s.id = e.id AND e.i = s.i + 1)))
+    SELECT id, "at", state, worker, attempt FROM s WHERE i > 0
+    UNION ALL SELECT id, gone_at, 'lapsed', gone, gone_attempt FROM s WHERE lapsed
+    UNION ALL SELECT id, since + INTERVAL 60 MINUTES, 'lapsed', owner, attempt FROM s WHERE owner IS NOT NULL AND i = (SELECT max(i) FROM e WHERE e.id = s.id) AND since + INTERVAL 60 MINUTES <= (SELECT max("at") - INTERVAL 10 MINUTES FROM e)"""
+
+
+@_query(CLAIMS, sql=CLAIM_SQL)
+def claim_transitions(events):
+    """The events as a stream of files, worked off to its end."""
+    spark, folder = events.sparkSession, scratch(events.sparkSession, "claims")
+    events.write.parquet(f"{folder}/in")
+    return claims.run(spark, spark.readStream.schema(events.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint")
+
+
 # --- routing
 
 NOTICES = """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'create' WHEN 'view' THEN 'update' WHEN 'purchase' THEN NULL ELSE 'delete' END AS action,

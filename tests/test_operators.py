@@ -213,12 +213,6 @@ def test_files_and_small_listings(spark, tmp_path):
     pick = lambda f, m: one(spark, f, lambda c: routing.paper_file(c, m), files)
     assert pick([("A.DOCX", 7)], "finder").filename == "A.DOCX" and pick([("a.docx", 7), ("b.TEX", 31)], "worker").filename == "b.TEX" and pick([("c.pdf", 1)], "worker") is None
     assert one(spark, [("a.DOCX", 1), ("b.docx", 2)], routing.first_docx, files).file_type == 2
-    reports = spark.createDataFrame([("{}",), ("{}",), ("[]",)], "report string").withColumn("key", queue.content_key(F.col("report")))
-    queue.put_reports(reports, str(tmp_path / "reports"))
-    found = queue.get_reports(spark, str(tmp_path / "reports"))
-    assert {(r.key, r.report) for r in found.collect()} == {(r.key, r.report) for r in reports.collect()}
-    key = reports.where("report = '[]'").first().key
-    assert [r.report for r in queue.get_reports(spark, str(tmp_path / "reports"), [key, "none.json"]).collect()] == ["[]"]
     assert one(spark, "a\\\\b", T.without_line_breaks) == "ab"
     catalogue = spark.createDataFrame([("P1", 3, "t"), ("P1", 4, "u")], "paper_id string, conference_id int, title string")
     assert [r.title for r in matching.lookup(catalogue, "P1", 4).collect()] == ["u"]
