@@ -21,7 +21,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialise, numbered, slices
+from .shared import at_places, materialise, numbered, slices
 
 #: Byte by byte: digits, letters in lower case and all of non-ASCII characters stay, the rest parts words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -141,4 +141,4 @@ def drawn(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: int =
     docs, file, at = numbered(docs, "importance-docs")
     gain = gains(bucket_counts(docs, buckets, text_col), bucket_counts(target, buckets, target_col))
     chosen = rank(weigh(docs, gain, seed, text_col, id_col, (file, at)), percent, min_words, id_col).where("rank IS NOT NULL")
-    return docs.join(chosen.select(file, at), [file, at], "left_semi").select(*columns)
+    return at_places(docs, chosen.select(file, at), file, at).select(*columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import fresh_names, materialise, numbered
+from .shared import at_places, fresh_names, materialise, numbered
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: A word, as ASCII white space parts them.
@@ -181,6 +181,6 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     counted = _mixed(materialise(listed, "mix-sizes"), ("tie_file", "tie_at"), weights, share, most).where("copies > 0")
     (times,) = fresh_names(rows, "_times")
     chosen = materialise(counted.select(F.col("tie_file").alias(file), F.col("tie_at").alias(at), F.col("copies").cast("int").alias(times)), "mix-chosen")
-    taken = rows.join(chosen, [file, at])
+    taken = at_places(rows, chosen, file, at, times, planes=int(most).bit_length())
     (copy,) = fresh_names(taken, "_copy")
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(file, at, times, copy)

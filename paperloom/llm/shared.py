@@ -90,6 +90,32 @@ def numbered(docs: DataFrame, label: str = "rows") -> tuple[DataFrame, str, str]
     return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), *names
 
 
+#: Words of 64 places that are broadcast at most; Spark takes some 60 bytes for each.
+MOST_WORDS = 1 << 20
+
+
+def at_places(rows: DataFrame, places: DataFrame, file: str, at: str, value: str | None = None, planes: int = 1, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows whose place (file, at) is one of ``places``, each of them once; their ``value`` (1 to 2^planes - 1) comes along.
+
+    Of 64 places each bit of their values makes a word.  The words are broadcast while they are
+    ``most_words`` or fewer, and then no row is shuffled; beyond that the tables are joined.
+    """
+    own = [value] if value else []
+    shift = lambda name, c, by: F.call_function(name, c, (by % 64).cast("int"))
+    word, bit = F.floor(F.col(at) / 64), shift("shiftleft", F.lit(1).cast("bigint"), F.col(at))
+    held, number, *bits = fresh_names(rows, "_held", "_word", *(f"_bits{p}" for p in range(planes)))
+    level = F.col(value).cast("bigint") if value else F.lit(1).cast("bigint")
+    words = places.groupBy(F.col(file).alias(held), word.alias(number)).agg(
+        *(F.coalesce(F.bit_or(F.when(F.call_function("shiftright", level, F.lit(p)).bitwiseAND(F.lit(1).cast("bigint")) == 1, bit)), F.lit(0).cast("bigint")).alias(b) for p, b in enumerate(bits))
+    )
+    words = materialise(words, "places")
+    if words.count() > most_words:
+        return rows.join(places.select(file, at, *own), [file, at]).select(*rows.columns, *own)
+    met = rows.join(F.broadcast(words), (F.col(file) == F.col(held)) & (word == F.col(number)))
+    found = sum((shift("shiftrightunsigned", F.col(b), F.col(at)).bitwiseAND(F.lit(1).cast("bigint")) * (1 << p) for p, b in enumerate(bits)), F.lit(0).cast("bigint"))
+    return met.where(found > 0).select(*(F.col(c) for c in rows.columns), *([found.cast("int").alias(value)] if value else []))
+
+
 def _is_parquet(docs: DataFrame) -> bool:
     from pyspark.errors import AnalysisException
 

@@ -16,7 +16,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialise, numbered, slices
+from .shared import at_places, materialise, numbered, slices
 
 BITS, BYTES = 64, 8
 
@@ -240,4 +240,4 @@ def rows_of_heads(rows: DataFrame, prints: DataFrame, links: DataFrame, key: str
     placed = least.join(links, F.col(key) == F.col("node"), "left").select("row", F.coalesce("root", key).alias("root"))
     heads = placed.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.file").alias(file), F.col("row.at").alias(at))
     kept = materialise(heads, "kept-rows")
-    return rows.join(kept, [file, at], "left_semi").drop(file, at)
+    return at_places(rows, kept, file, at).drop(file, at)

@@ -59,3 +59,16 @@ def test_pieces_without_ids_in_a_full_cache():
     encoder.cache, encoder.room, encoder.folds, encoder.pattern = {"x": b""}, 0, False, __import__("re").compile("[a-z]")
     encoder._whole = lambda texts: [t.encode() for t in texts]
     assert encoder.encode_many(["xy"]) == [b"y"]
+
+
+def test_rows_at_places(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 as _word", "'t' as _bits0").repartition(3).write.parquet(str(tmp_path / "t"))
+    rows, file, at = shared.numbered(spark.read.parquet(str(tmp_path / "t")))
+    wanted = rows.where("id % 5 < 3 and id < 990").selectExpr(file, at, "cast(id % 5 + 1 as int) as n")
+    want = sorted((i, i % 7, "t", i % 5 + 1) for i in range(990) if i % 5 < 3)
+    for most in (1 << 20, 0):
+        found = shared.at_places(rows, wanted, file, at, "n", planes=2, most_words=most)
+        assert sorted(map(tuple, found.drop(file, at).collect())) == want
+        plain = shared.at_places(rows, wanted, file, at, most_words=most)
+        assert plain.columns == rows.columns and plain.count() == len(want)
+    assert shared.at_places(rows, wanted.limit(0), file, at).count() == 0
