@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import arrow_batches, materialise, text_rows
-from .tokens import encoder_of
+from .tokens import CACHE_SIZE, encoder_of
 
 
 class Tournament:
@@ -63,12 +63,13 @@ def padded(used: int, capacity: int) -> int:
 PIECE = "doc_id {}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_size: int = 4096, id_col: str = "doc_id", text_col: str = "text", cache_size: int = CACHE_SIZE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, sequence_length.
 
     Every document ends in ``end_id``, so null and empty texts are pieces of one id.  Sequences are
     numbered: even numbers hold one full piece, odd ones are packed.  ``sequence_length`` is
     ``capacity``, or the ids held where that is a power of two.  Repeated rows are packed each.
+    ``cache_size`` pieces are remembered by each worker; more of them take memory, fewer take time.
     """
     import pyarrow as pa
 
@@ -78,7 +79,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     def cut(batches):
         import numpy as np
 
-        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer, cache_size), np.array([end_id], "<u4").tobytes()
 
         def rows() -> Iterator[tuple]:
             serial = None

@@ -103,11 +103,12 @@ class PieceEncoder:
             yield from zip(held, self.encode_many([r[text_at] for r in held]))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+CACHE_SIZE = 600_000
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder_of(path: str) -> PieceEncoder:
+def encoder_of(path: str, cache_size: int = CACHE_SIZE) -> PieceEncoder:
     """This worker process's encoder of a tokenizer; its pieces serve all the worker's tasks."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, cache_size) not in _encoders:
+        _encoders[path, cache_size] = PieceEncoder(path, cache_size)
+    return _encoders[path, cache_size]
