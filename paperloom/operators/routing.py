@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from paperloom.functions.text import event_number
 
@@ -107,6 +109,17 @@ def discovery_counts(discovered: DataFrame) -> DataFrame:
     return discovered.groupBy("event_id").agg(n("queue").alias("queue_items"), n("cache").alias("cached_items"), n("none").alias("passed_over"))
 
 
+def write_discovered(discovered: DataFrame, path: str) -> dict:
+    """Append what ``discover`` found to the table ``path`` and tell how the run went: counts of each route, and seconds.
+
+    The counts are observed on the rows as they are written, so nothing runs a second time for them.
+    """
+    watch, began = Observation(), time.monotonic()
+    n = lambda route: F.count_if(F.col("route") == route)
+    discovered.observe(watch, n("queue").alias("queue_items"), n("cache").alias("cached_items"), n("none").alias("passed_over")).write.mode("append").parquet(path)
+    return watch.get | {"duration": time.monotonic() - began}
+
+
 def dispatch(kind: Column, editor_revision: Column) -> Column:
     """Which check a queued item goes to, or why none."""
     return F.when(F.coalesce(editor_revision, F.lit(False)), "editor revision").when(kind == "word", "word").when(kind == "latex", "latex").otherwise("Unknown file type")

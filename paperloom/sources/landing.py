@@ -40,6 +40,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+def jdbc_catalog(spark: SparkSession, name: str, url: str, driver: str, **options) -> None:
+    """Make a database known as the catalog ``name``: ``spark.table("name.schema.table")`` reads its tables then.
+
+    Filters, and the aggregates, limits and orders that the database's dialect knows, are done there.
+    """
+    wanted = {"url": url, "driver": driver, "pushDownAggregate": "true", "pushDownLimit": "true", "pushDownOffset": "true"} | options
+    for key, value in wanted.items():
+        spark.conf.set(f"spark.sql.catalog.{name}.{key}", value)
+    spark.conf.set(f"spark.sql.catalog.{name}", "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+
+
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """Stored objects with path, modificationTime, length and content."""
     return spark.read.format("binaryFile").load(path)
