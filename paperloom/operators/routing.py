@@ -7,6 +7,7 @@ import time
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from paperloom.functions.text import event_number
+from paperloom.operators import bloom
 
 #: File types of sources and of bibliographies.
 SOURCE_TYPES, BIB_TYPES = (180, 31, 352), (182, 354)
@@ -86,13 +87,15 @@ def validate(notifications: DataFrame) -> DataFrame:
 def discover(contributions: DataFrame, queued: DataFrame, cached: DataFrame, bot_id, mode: str = "finder") -> DataFrame:
     """Contributions neither queued lately nor cached, with revision_id, type and route (queue, cache or none).
 
-    Left out are those without a revision and those already commented.
+    Those without a revision and those already commented have the route none.  What is known leaves by
+    an anti-join behind a Bloom filter; what is asked of the revisions comes first, so they aren't shuffled.
     """
-    known = queued.select("event_id", "contribution_id").unionByName(cached.select("event_id", "contribution_id"))
-    new = contributions.join(known, ["event_id", "contribution_id"], "left_anti")
-    picked = new.withColumn("revision", latest_revision(F.col("revisions")))
+    keys = ["event_id", "contribution_id"]
+    known = queued.select(keys).unionByName(cached.select(keys))
+    picked = contributions.withColumn("revision", latest_revision(F.col("revisions")))
     kind = paper_type(F.col("revision.files"), mode)
-    told = picked.select("event_id", "contribution_id", F.col("revision.id").alias("revision_id"), kind.alias("type"), commented_by(F.col("revision.comments"), bot_id).alias("commented"))
+    slim = picked.select(*keys, F.col("revision.id").alias("revision_id"), kind.alias("type"), commented_by(F.col("revision.comments"), bot_id).alias("commented"))
+    told = bloom.anti_join(slim, known, keys)
     route = F.when(F.col("revision_id").isNull(), "none").when(~F.col("type").isin("latex", "word"), "cache").when(F.col("commented"), "none").otherwise("queue")
     return told.withColumn("route", route)
 

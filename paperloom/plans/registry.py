@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.functions import text as T
-from paperloom.functions.titlecase import is_title_case
-from paperloom.operators import captions, citations, geometry, latex, matching, queue, routing, scoring, styles
+from paperloom.functions import text as T, titlecase
+from paperloom.operators import captions, citations, geometry, latex, matching, queue, routing, scoring, spans, styles
 from paperloom.plans import papers, upload
 from paperloom.sources import reports as report_store
 from paperloom.sources.stage import scratch
@@ -744,14 +743,49 @@ def tri_state_fold(findings):
     return scoring.section_verdicts(findings)
 
 
-#: Small words stay small between the first and the last; a word with a capital inside stays as it is.
-TITLE_SQL = """WITH w AS (SELECT id, i, word, max(i) OVER (PARTITION BY id) AS last FROM (SELECT id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM {0}))
-    SELECT id, bool_and(word = CASE WHEN i > 1 AND i < last AND lower(word) IN ('of', 'the', 'and') THEN lower(word) WHEN regexp_matches(substr(word, 2), '[A-Z]') THEN word ELSE upper(substr(word, 1, 1)) || substr(word, 2) END) AS title_case FROM w GROUP BY id"""
+#: Types of parts followed by compounds, names, phrases, initials, addresses and small words, some all in capitals.
+TITLES = """SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN upper(t) ELSE t END AS text FROM (SELECT p_partkey, p_size, concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2)), CASE p_size % 4 WHEN 0 THEN ' of the ' WHEN 1 THEN ' Of The ' WHEN 2 THEN ' and ' ELSE ' ' END,
+    CASE p_partkey % 11 WHEN 0 THEN 'x-ray and step-by-step' WHEN 1 THEN 'To/From the LHC' WHEN 2 THEN concat('O', chr(39), 'Brien: A Study') WHEN 3 THEN concat('D', chr(39), 'arcy for mcDonald') WHEN 4 THEN 'J.R. Smith vs. 3d' WHEN 5 THEN 'A Walk-In' WHEN 6 THEN 'a Walk-in'
+        WHEN 7 THEN 'See http://x.y/of. the End' WHEN 8 THEN concat('d', chr(39), 'Arcy via McDonald') WHEN 9 THEN '(Ring) pre-LHC' ELSE 'Ring' END) AS t FROM {part}) titles"""
+TITLE_SQL = r"""WITH w AS (SELECT id, text, unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) AS i FROM {0}),
+    p AS (SELECT id, text, i, CASE WHEN text = upper(text) AND NOT regexp_matches(raw, '^([A-Z]\.)+[A-Z]?$') THEN lower(raw) ELSE raw END AS word, max(i) OVER (PARTITION BY id) AS last, i = 1 OR regexp_matches(lag(raw) OVER (PARTITION BY id ORDER BY i), '[:.;?!-]$') AS opens FROM w),
+    s AS (SELECT *, regexp_matches(word, '[A-Za-z]\.[A-Za-z]|.//') AS shaped FROM p),
+    l AS (SELECT *, CASE WHEN shaped THEN [word] ELSE regexp_extract_all(word, '[^/-]*[/-]|[^/-]+') END AS parts FROM s),
+    e AS (SELECT * EXCLUDE (parts), unnest(parts) AS part, generate_subscripts(parts, 1) AS j, len(parts) AS n FROM l),
+    c AS (SELECT id, text, i, j, CASE WHEN shaped THEN part
+        WHEN lower(rtrim(part, '-/')) IN ('a', 'and', 'by', 'for', 'of', 'the', 'to', 'via', 'vs.', 'in') AND NOT ((opens AND j = 1) OR (i = last AND j = n)) THEN lower(part)
+        WHEN regexp_matches(substr(part, 2), '[A-Z]') THEN part
+        WHEN part[2] = chr(39) AND lower(part[1]) = 'd' THEN 'd' || chr(39) || upper(part[3]) || substr(part, 4) WHEN part[2] = chr(39) AND lower(part[1]) = 'o' THEN 'O' || chr(39) || upper(part[3]) || substr(part, 4)
+        WHEN lower(part[1:2]) = 'mc' THEN 'Mc' || upper(part[3]) || substr(part, 4) WHEN part[1] = '(' THEN '(' || upper(part[2]) || substr(part, 3) ELSE upper(part[1]) || substr(part, 2) END AS cased FROM e),
+    j AS (SELECT id, text, i, string_agg(cased, '' ORDER BY j) AS cased FROM c GROUP BY id, text, i), t AS (SELECT id, text, string_agg(cased, ' ' ORDER BY i) AS shown FROM j GROUP BY id, text)
+    SELECT id, shown, shown = text AS title_case FROM t"""
+
+
+@_query(TITLES, sql=TITLE_SQL)
+def title_case(rows):
+    return rows.select("id", titlecase.title_case(F.col("text")).alias("shown"), titlecase.is_title_case(F.col("text")).alias("title_case"))
+
+
+# --- spans
+
+SPANS = """SELECT CAST(l_suppkey % 100 AS BIGINT) AS doc_id, l_orderkey AS id, l_linenumber AS n, CAST((l_orderkey * 3701 + l_linenumber * 17) % 2000000 AS BIGINT) AS start,
+    CAST((l_orderkey * 3701 + l_linenumber * 17) % 2000000 + l_quantity * 200 AS BIGINT) AS stop FROM {lineitem}"""
+MARKS = "SELECT CAST(o_custkey % 100 AS BIGINT) AS doc_id, CAST((o_orderkey * 5303) % 2000000 AS BIGINT) AS start, CAST((o_orderkey * 5303) % 2000000 + o_orderkey % 1500 AS BIGINT) AS stop FROM {orders}"
 
 
 @_query(
-    "SELECT p_partkey AS id, concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2)), CASE p_size % 4 WHEN 0 THEN ' of the ' WHEN 1 THEN ' Of The ' WHEN 2 THEN ' and ' ELSE ' ' END, CASE WHEN p_size % 3 = 0 THEN 'ring' WHEN p_size % 3 = 1 THEN 'Ring' ELSE 'LHC' END) AS text FROM {part}",
-    sql=TITLE_SQL,
-)
-def title_case(rows):
-    return rows.select("id", is_title_case(F.col("text")).alias("title_case"))
+    SPANS, MARKS,
+    sql="""SELECT s.doc_id, s.id, s.n, s.start, s.stop, EXISTS (FROM {1} m WHERE m.doc_id = s.doc_id AND m.start >= s.start AND m.stop <= s.stop) AS holds, EXISTS (FROM {1} m WHERE m.doc_id = s.doc_id AND m.start <= s.start AND m.stop > s.start) AS inside FROM {0} s""",
+)
+def span_containment(items, marks):
+    items, marks = (x.withColumnRenamed("stop", "end") for x in (items, marks))
+    return spans.starts_inside(spans.holds_any(items, marks), marks).withColumnRenamed("end", "stop")
+
+
+@_query(
+    SPANS, MARKS,
+    sql="SELECT s.doc_id, s.start, s.stop, m.start AS mark_start, m.stop AS mark_stop FROM {0} s JOIN {1} m ON m.doc_id = s.doc_id AND m.start >= s.start AND m.stop <= s.stop",
+)
+def span_pairs(items, marks):
+    items, marks = (x.withColumnRenamed("stop", "end") for x in (items, marks))
+    return spans.pairs(items, marks).withColumnsRenamed({"end": "stop", "mark_end": "mark_stop"})
