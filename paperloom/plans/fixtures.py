@@ -68,8 +68,15 @@ def _styles() -> str:
     return "".join(made) + "</w:styles>"
 
 
+def _core(doc_id: int) -> str:
+    """What a file says of itself."""
+    said = {"dc:creator": f"A. Bee {doc_id}", "dc:language": "en-GB", "cp:revision": doc_id % 7, "dcterms:created": f"2024-01-{1 + doc_id % 28:02d}T10:20:30Z"} | ({"cp:version": "1.2"} if doc_id % 2 else {})
+    spaces = 'xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/"'
+    return f"<cp:coreProperties {spaces}>{''.join(f'<{k}>{v}</{k}>' for k, v in said.items())}</cp:coreProperties>"
+
+
 def word_file(doc_id: int, blocks) -> bytes:
-    """The .docx of a paper's (style, text, rpr, kind) in order; every 29th isn't one, every 23rd has an insertion."""
+    """The .docx of a paper's (style, text, rpr, kind) in order; every 29th isn't one, every 23rd has an insertion, every fifth says nothing of itself."""
     if doc_id % 29 == 0:
         return b"not a file"
     cell = f"<w:tc>{_paragraph('Normal', 'x', '')}</w:tc>"
@@ -81,6 +88,8 @@ def word_file(doc_id: int, blocks) -> bytes:
     with zipfile.ZipFile(out, "w") as archive:
         archive.writestr("word/document.xml", f"<w:document {_NS}><w:body>{body}{tracked}{page}</w:body></w:document>")
         archive.writestr("word/styles.xml", _styles())
+        if doc_id % 5:
+            archive.writestr("docProps/core.xml", _core(doc_id))
     return out.getvalue()
 
 

@@ -105,16 +105,64 @@ def catalogue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upload.catalogue_check(parsed_papers(spark, sf_dir), _catalogue(spark, sf_dir)).drop("message", "details")
 
 
-QUERIES = {f.__name__: f for f in (docx_parse, upload_check, section_summary, report, catalogue_check)}
-ORACLE_SQL = {
-    "docx_parse": _PARSE_SQL,
-    "upload_check": f"WITH {_FOUND} SELECT doc_id, section, item_no::BIGINT AS item_no, items::BIGINT AS items, check_name, verdict FROM found",
-    "section_summary": f"""WITH {_KNOWN_FOUND}, folded AS (SELECT doc_id, section, CASE WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (verdict = 'unknown') > 0 THEN 'unknown' ELSE 'ok' END AS verdict
+def upload_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the findings say, and what was measured."""
+    found = upload.upload_check(parsed_papers(spark, sf_dir)).where("message is not null and section <> 'Styles'")
+    return found.select("doc_id", "section", "item_no", "check_name", "message", "details")
+
+
+def strict_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the reference lists where the style is asked for by name."""
+    found = upload.upload_check(parsed_papers(spark, sf_dir), strict=True).where("section = 'References'")
+    return found.select("doc_id", "item_no", "check_name", "verdict")
+
+
+def report_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored reports hold beside scores: metadata, verdicts of sections, and how many findings there are."""
+    made = upload.report(parsed_papers(spark, sf_dir), _catalogue(spark, sf_dir))
+    held = "metadata struct<author:string,revision:string,version:string,language:string,created:string,modified:string>, sections map<string,string>, summary array<struct<items:bigint>>"
+    rows = made.select("doc_id", F.from_json("report", held).alias("r"))
+    verdicts = F.array_join(F.array_sort(F.transform(F.map_entries("r.sections"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return rows.select("doc_id", "r.metadata.*", verdicts.alias("verdicts"), F.size("r.summary").cast("bigint").alias("n_findings"))
+
+
+QUERIES = {f.__name__: f for f in (docx_parse, upload_check, section_summary, report, catalogue_check, upload_messages, strict_references, report_body)}
+_CENTRED = '{"alignment":"CENTER","font_size":10.0,"before":3.0,"after":3.0}'
+_MESSAGES_SQL = f"""WITH {_PARAGRAPHS},
+    found AS (SELECT doc_id, 'Document' AS section, 0 AS item_no, 'parsed_ok' AS check_name, CASE WHEN doc_id % 31 = 0 THEN 'not a .docx file' WHEN doc_id % 29 = 0 THEN 'BadZipFile: File is not a zip file' WHEN doc_id % 23 = 0 THEN 'tracked changes are on' WHEN doc_id % 19 = 0 THEN 'abstract header not found' END AS message, NULL AS details
+        FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders)
+    UNION ALL SELECT DISTINCT doc_id, 'Authors', 0, 'found_ok', CASE WHEN doc_id % 17 = 0 THEN 'authors not found' END, NULL FROM good
+    UNION ALL SELECT doc_id, 'Title', para_no, 'style_ok', CASE WHEN style = 'Normal' THEN 'alignment: None should be CENTER; font_size: 10.0 should be 14.0; after: None should be 3.0; bold: None should be True' ELSE '' END,
+        CASE WHEN style = 'Normal' THEN '{{"font_size":10.0}}' ELSE '{{"alignment":"CENTER","font_size":14.0,"before":0.0,"after":3.0,"bold":true}}' END FROM good WHERE kind = 'title'
+    UNION ALL SELECT doc_id, CASE kind WHEN 'authors' THEN 'Authors' WHEN 'abstract' THEN 'Abstract' ELSE 'Headings' END, para_no, 'style_ok', '', CASE kind WHEN 'authors' THEN '{{"alignment":"CENTER","font_size":12.0,"before":9.0,"after":12.0}}'
+        WHEN 'abstract' THEN '{{"font_size":12.0,"before":0.0,"after":3.0,"italic":true}}' ELSE '{{"alignment":"CENTER","font_size":12.0,"before":9.0,"after":3.0,"bold":true}}' END FROM good WHERE kind IN ('authors', 'abstract', 'heading')
+    UNION ALL SELECT doc_id, 'Paragraphs', para_no, 'style_ok', CASE WHEN style = 'Normal' THEN 'alignment: None should be JUSTIFY; first_line: None should be 9.35' ELSE '' END,
+        CASE WHEN style = 'Normal' THEN '{{"font_size":10.0}}' ELSE '{{"alignment":"JUSTIFY","font_size":10.0,"before":0.0,"after":0.0,"first_line":9.35}}' END FROM good WHERE kind = 'body'
+    UNION ALL SELECT doc_id, 'Figures', n, c, CASE c WHEN 'style_ok' THEN '' ELSE text END, CASE c WHEN 'style_ok' THEN '{_CENTRED}' END FROM good, (VALUES ('caption_ok'), ('unique_ok'), ('used_ok'), ('found_ok'), ('style_ok')) v(c) WHERE kind = 'figure'
+    UNION ALL SELECT doc_id, 'Tables', n // 2, c, CASE c WHEN 'order_ok' THEN 'rows: 2, columns: 2, floating: False' WHEN 'style_ok' THEN '' WHEN 'text_format_ok' THEN CASE WHEN n % 4 = 0 THEN '' ELSE 'Does not use "Table N: " format; Has a . at the end of the sentence; Not in Title Case/Initial Caps' END END,
+        CASE c WHEN 'style_ok' THEN '{_CENTRED}' END FROM good, (VALUES ('text_format_ok'), ('order_ok'), ('style_ok')) v(c) WHERE kind = 'title of table'
+    UNION ALL SELECT doc_id, 'References', n, 'style_ok', concat_ws('; ', CASE WHEN n % 5 = 0 AND n % 2 = 1 THEN 'font_size: 8.0 should be 9.0' END, CASE WHEN m > 9 AND n > 9 THEN 'first_line: -14.75 should be -19.3' END),
+        concat('{{"alignment":"JUSTIFY","font_size":', CASE WHEN n % 5 = 0 AND n % 2 = 1 THEN '8.0' ELSE '9.0' END, ',"before":0.0,"after":3.0,"first_line":-14.75}}') FROM good WHERE kind = 'entry'
+    UNION ALL SELECT doc_id, 'References', n, 'text_ok', CASE WHEN n % 5 = 0 THEN concat('Number format error should be [', n, '] followed by a tab') WHEN n % 2 = 0 THEN 'URLs and DOIs should be Liberation Mono and size 8pt' ELSE '' END, NULL FROM good WHERE kind = 'entry'
+    UNION ALL SELECT DISTINCT doc_id, 'Margins', 0, 'margins_ok', 'A4', NULL FROM good
+    UNION ALL SELECT doc_id, 'Parsed Document', para_no + i, 'style_ok', CASE WHEN kind = 'table' THEN concat('Table ', tables_so_far, ':<br/>row ', i // 2 + 1, ', col ', i % 2 + 1) ELSE 'No' END, NULL FROM good, range(4) t(i) WHERE i = 0 OR kind = 'table')
+    SELECT doc_id, section, item_no::BIGINT AS item_no, check_name, message, details FROM found WHERE message IS NOT NULL"""
+_SUMMARY_SQL = f"""WITH {_KNOWN_FOUND}, folded AS (SELECT doc_id, section, CASE WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (verdict = 'unknown') > 0 THEN 'unknown' ELSE 'ok' END AS verdict
             FROM every WHERE NOT (section = 'Tables' AND check_name = 'used_ok') AND check_name NOT IN ('title_style_ok', 'author_ok') GROUP BY doc_id, section)
         SELECT d.doc_id, s.section, coalesce(verdict, CASE WHEN s.section = 'References' THEN 'fail' ELSE 'ok' END) AS verdict FROM (SELECT DISTINCT doc_id FROM good) d,
             (VALUES ('Title'), ('Authors'), ('Abstract'), ('Headings'), ('Paragraphs'), ('Figures'), ('Tables'), ('References'), ('Styles'), ('Margins'), ('Parsed Document')) s(section)
         LEFT JOIN folded f ON f.doc_id = d.doc_id AND f.section = s.section
-        UNION ALL SELECT doc_id, section, verdict FROM folded WHERE section = 'Catalogue'""",
+        UNION ALL SELECT doc_id, section, verdict FROM folded WHERE section = 'Catalogue'"""
+ORACLE_SQL = {
+    "docx_parse": _PARSE_SQL,
+    "upload_check": f"WITH {_FOUND} SELECT doc_id, section, item_no::BIGINT AS item_no, items::BIGINT AS items, check_name, verdict FROM found",
+    "section_summary": _SUMMARY_SQL,
     "report": f"WITH {_KNOWN_FOUND}, {_SCORES} SELECT doc_id, 'p' || doc_id || CASE WHEN doc_id % 31 = 0 THEN '.pdf' ELSE '.docx' END AS filename, true AS key_ok, section, positive, unknown, negative FROM counted",
     "catalogue_check": f"WITH {_KNOWN_FOUND} SELECT doc_id, section, item_no::BIGINT AS item_no, items::BIGINT AS items, check_name, verdict FROM known",
+    "upload_messages": _MESSAGES_SQL,
+    "strict_references": f"WITH {_FOUND} SELECT doc_id, item_no::BIGINT AS item_no, check_name, CASE WHEN check_name = 'style_ok' THEN CASE WHEN m > 9 AND item_no <= 9 THEN 'ok' ELSE 'fail' END ELSE verdict END AS verdict FROM found JOIN (SELECT DISTINCT doc_id, m FROM good) USING (doc_id) WHERE section = 'References'",
+    "report_body": f"""WITH {_KNOWN_FOUND}, summed AS ({_SUMMARY_SQL}), listed AS (SELECT doc_id, string_agg(section || '=' || verdict, ',' ORDER BY section || '=' || verdict) AS verdicts FROM summed GROUP BY doc_id), counts AS (SELECT doc_id, count(*) AS n_findings FROM every GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN says THEN 'A. Bee ' || doc_id END AS author, CASE WHEN says THEN (doc_id % 7)::VARCHAR END AS revision, CASE WHEN says AND doc_id % 2 = 1 THEN '1.2' END AS version, CASE WHEN says THEN 'en-GB' END AS language,
+            CASE WHEN says THEN lpad((1 + doc_id % 28)::VARCHAR, 2, '0') || '/01/2024 10:20' END AS created, NULL::VARCHAR AS modified, verdicts, n_findings
+        FROM (SELECT *, doc_id % 5 > 0 AND doc_id % 29 > 0 AND doc_id % 31 > 0 AS says FROM counts) LEFT JOIN listed USING (doc_id)""",
 }

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paperloom.functions import text as T, titlecase
 from paperloom.operators import captions, citations, geometry, latex, matching, queue, routing, scoring, spans, styles
 from paperloom.plans import papers, upload
-from paperloom.sources import reports as report_store
+from paperloom.sources import landing, reports as report_store
 from paperloom.sources.stage import scratch
-from paperloom.streaming import claims
+from paperloom.streaming import claims, queue as stream_queue
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 QUERIES: dict = dict(papers.QUERIES)
@@ -178,6 +178,37 @@ def notify_validation(notices):
     return routing.validate(notices).select("id", "reason", "logged", "queued", "event_id", "revision_id")
 
 
+QUEUED_SQL = """WITH told AS (SELECT *, action IN ('create', 'update') AND editable_type = 'paper' AS good, coalesce(CAST(contrib_id AS VARCHAR), '') <> '' AND event IS NOT NULL AND action IS NOT NULL AND editable_type IS NOT NULL AS whole FROM {0})
+    SELECT 'log' AS kept, split_part(event, '-', -1) AS event_id, contrib_id, coalesce(revision_id, -1) AS revision_id FROM told WHERE whole
+    UNION ALL SELECT 'queue', split_part(event, '-', -1), contrib_id, coalesce(revision_id, -1) FROM told WHERE whole AND good"""
+
+
+def _arrived(notices: DataFrame) -> tuple[DataFrame, str]:
+    """The notices as a stream of JSON files, and a folder for what comes of it."""
+    folder = scratch(notices.sparkSession, "notices")
+    notices.drop("id").write.json(f"{folder}/in")
+    return stream_queue.notifications(notices.sparkSession, f"{folder}/in"), folder
+
+
+@_query(NOTICES, sql=QUEUED_SQL)
+def notification_queue(notices):
+    """The tables that the stream of notices has left."""
+    stream, folder = _arrived(notices)
+    stream_queue.start(stream, f"{folder}/log", f"{folder}/queue", f"{folder}/checkpoint").awaitTermination()
+    read = notices.sparkSession.read
+    told = [read.parquet(f"{folder}/{name}").select(F.lit(name).alias("kept"), "event_id", "contrib_id", "revision_id") for name in ("log", "queue")]
+    return told[0].unionByName(told[1])
+
+
+@_query(NOTICES, sql=f"SELECT DISTINCT event_id, contrib_id FROM ({QUEUED_SQL}) WHERE kept = 'queue'")
+def guarded_queue(notices):
+    """What is queued if a submission may be so once in 24 hours."""
+    stream, folder = _arrived(notices)
+    for q in stream_queue.start_guarded(stream, f"{folder}/log", f"{folder}/queue", f"{folder}/checkpoint"):
+        q.awaitTermination()
+    return notices.sparkSession.read.parquet(f"{folder}/queue").select("event_id", "contrib_id")
+
+
 FILES = """SELECT l_orderkey AS contribution_id, l_suppkey % 9 - 1 AS rev, l_linenumber AS n, CASE l_returnflag WHEN 'A' THEN 'a.docx' WHEN 'N' THEN 'b.tex' ELSE 'c.bib' END AS filename,
     CASE l_partkey % 5 WHEN 0 THEN 180 WHEN 1 THEN 31 WHEN 2 THEN 182 WHEN 3 THEN 354 ELSE 99 END AS file_type, l_partkey % 50 AS commenter FROM {lineitem}"""
 
@@ -226,6 +257,31 @@ def paper_file(files):
     return each.select("contribution_id", F.col("r.id").alias("rev"), routing.first_docx(F.col("r.files"))["filename"].alias("first_docx"), found["filename"].alias("name"), found["file_type"].alias("type"))
 
 
+@_query(
+    FILES,
+    sql="""SELECT contribution_id AS id, count(DISTINCT rev) AS n_revisions, count(*) AS n_files, max(rev) FILTER (rev > -1) AS latest, NULL::VARCHAR AS bad FROM {0} WHERE contribution_id % 10 > 0 GROUP BY contribution_id
+        UNION ALL SELECT DISTINCT NULL::BIGINT, 0, 0, NULL::BIGINT, concat('submission ', contribution_id, ' is not to be had') FROM {0} WHERE contribution_id % 10 = 0""",
+)
+def contributions_json(files):
+    """Submissions as JSON lines, every tenth no JSON at all, read back."""
+    spark, folder = files.sparkSession, scratch(files.sparkSession, "submissions")
+    told = F.to_json(F.struct(F.struct(F.col("contribution_id").alias("id")).alias("contribution"), "revisions"))
+    sad = F.concat(F.lit("submission "), F.col("contribution_id").cast("string"), F.lit(" is not to be had"))
+    _contributions(files).select(F.when(F.col("contribution_id") % 10 > 0, told).otherwise(sad).alias("value")).write.text(folder)
+    read = landing.read_contributions(spark, folder)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    n_files = F.coalesce(F.aggregate("revisions", F.lit(0).cast("bigint"), lambda n, r: n + F.size(r["files"])), F.lit(0))
+    latest = routing.latest_revision(F.col("revisions"))["id"]
+    return read.select(F.col("contribution.id").alias("id"), F.greatest(size("revisions"), F.lit(0)).alias("n_revisions"), n_files.alias("n_files"), latest.alias("latest"), F.col("_corrupt_record").alias("bad"))
+
+
+@_query("SELECT o_custkey AS event_id, o_orderkey AS contribution_id FROM {orders}", sql="SELECT event_id, contribution_id FROM {0}")
+def paper_list(papers_of):
+    """Events' lists of papers, from JSON."""
+    bodies = papers_of.groupBy("event_id").agg(F.to_json(F.collect_list(F.struct(F.col("contribution_id").alias("id"), F.lit("A title").alias("title")))).alias("body"))
+    return landing.paper_list(bodies)
+
+
 DISCOVER_SQL = f"""WITH typed AS ({TYPE_SQL}), top AS (SELECT contribution_id, max(rev) FILTER (rev > -1) AS revision_id FROM {{0}} GROUP BY contribution_id)
     SELECT top.contribution_id, revision_id, coalesce(finder, 'unknown') AS type, coalesce(commented, false) AS commented,
         CASE WHEN revision_id IS NULL THEN 'none' WHEN coalesce(finder, 'unknown') NOT IN ('latex', 'word') THEN 'cache' WHEN commented THEN 'none' ELSE 'queue' END AS route
@@ -585,6 +641,25 @@ def bibitem_issues(lines):
     return checked.select("filename", F.explode("issues").alias("i")).select("filename", "i.type", "i.start", "i.end")
 
 
+@_query(LINES, sql=f"SELECT filename, 'issue' AS kind, type AS what, start, \"end\" FROM ({ISSUE_SQL}) UNION ALL SELECT filename, 'item', concat(doi, '|', ref), start, \"end\" FROM ({ITEM_SQL})")
+def latex_payload(lines):
+    """The reports on LaTeX sources, read back from their JSON."""
+    place = "location:struct<start:int,end:int>"
+    held = F.from_json("payload", f"issues array<struct<type:string,{place}>>, bibItems array<struct<doi:string,ref:string,{place}>>")
+    read = latex.payload(latex.check_tex(_tex(lines))).select("filename", held.alias("r"))
+    kinds = (("issue", "issues", F.col("x.type")), ("item", "bibItems", F.concat_ws("|", "x.doi", "x.ref")))
+    told = [read.select("filename", F.explode(f"r.{name}").alias("x")).select("filename", F.lit(kind).alias("kind"), what.alias("what"), "x.location.*") for kind, name, what in kinds]
+    return told[0].unionByName(told[1])
+
+
+BREAKS = "SELECT p_partkey AS id, concat(p_name, chr(92), chr(92), CASE WHEN p_size % 3 = 0 THEN concat(' ', chr(92), 'x') ELSE concat(chr(92), chr(92), p_type) END) AS text FROM {part}"
+
+
+@_query(BREAKS, sql="SELECT id, replace(text, chr(92) || chr(92), '') AS text FROM {0}")
+def tex_line_breaks(rows):
+    return rows.select("id", T.without_line_breaks(F.col("text")).alias("text"))
+
+
 DOIS = "SELECT p_partkey AS id, concat('First DOI: 10.1234/', CAST(p_size AS STRING), CASE WHEN p_size % 2 = 0 THEN concat(', last 10.9012/Q', CAST(p_partkey AS STRING), '.') ELSE ' 10.12/no' END) AS text FROM {part}"
 
 
