@@ -147,6 +147,7 @@ def scan(raw: bytes | None) -> tuple:
     words = (raw or b"").translate(_TABLE).split()
     line = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
     base, labels, starts, level, tags = set(), set(), [], None, []
+    at = before = 0
     for end, (phrase, label, is_base) in _phrases().iter(line) if words else ():
         start = end - len(phrase) - 1
         if is_base:
@@ -156,7 +157,9 @@ def scan(raw: bytes | None) -> tuple:
             labels.add(label)
             level = max(level or 0, strictness(label))
         else:
-            tags.append(line.count(" ", 0, start))
+            before += line.count(" ", at, start)  # hits of one phrase come in order, so blanks are counted once
+            at = start
+            tags.append(before)
     n_tags = bad = 0
     if tags:
         low, wanted = raw.lower(), set(tags)

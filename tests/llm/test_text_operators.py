@@ -200,6 +200,12 @@ def test_tags_count_where_they_are_spelled():
         assert license.scan(f"é {other}\n{tag}".encode())[5] == "mit"
 
 
+def test_license_tags_without_number():
+    lines = [f"{'é ' * (n % 3)}SPDX-License-Identifier: {('MIT', 'GPL-2.0-only OR', 'Apache-2.0')[n % 3]}\ncc by of it" for n in range(30_000)]
+    row = license.scan("\n".join(lines).encode())
+    assert row[8:] == (30_000, 10_000) and row[1] == 30_000 and {"mit", "apache-2.0", "cc-by"} <= set(row[5].split(","))
+
+
 # --- quality
 
 
